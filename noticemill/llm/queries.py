@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import table
+from .langid import identify_languages
+from .secrets import secret_findings
 from .simhash import simhash_groups
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -20,6 +30,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_ledger": op3_secret_ledger,
+    "op7_language_id": op7_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
