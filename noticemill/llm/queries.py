@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
 from .bpe import bpe_round_trip
 from .common import table
 from .langid import identify_languages
@@ -21,6 +22,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -32,7 +37,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_ledger": op3_secret_ledger,
     "op7_language_id": op7_language_id,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL}
