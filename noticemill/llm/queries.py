@@ -10,10 +10,15 @@ from . import decontaminate
 from .bpe import bpe_round_trip
 from .common import table
 from .langid import identify_languages
+from .pii import personal_data
 from .secrets import secret_findings
 from .simhash import simhash_groups
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_secret_ledger": op3_secret_ledger,
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
