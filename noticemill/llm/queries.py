@@ -11,7 +11,10 @@ from .bpe import bpe_round_trip
 from .common import table
 from .langid import identify_languages
 from .pii import personal_data
+from .lines import ORACLE_SQL as LINES_SQL
+from .lines import dedup_lines
 from .secrets import secret_findings
+from .sentences import drop_repeated_spans
 from .simhash import simhash_groups
 
 
@@ -19,10 +22,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(table(spark, sf_dir, "documents"))
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -41,10 +52,12 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_sentence_spans": op2_sentence_spans,
     "op3_secret_ledger": op3_secret_ledger,
+    "op5_line_runs": op5_line_runs,
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_runs": LINES_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
