@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate
 from .bpe import bpe_round_trip
 from .common import table
+from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
+from .embeddings import near_vectors
 from .langid import identify_languages
 from .pii import personal_data
 from .lines import ORACLE_SQL as LINES_SQL
@@ -34,6 +36,10 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -55,9 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentence_spans": op2_sentence_spans,
     "op3_secret_ledger": op3_secret_ledger,
     "op5_line_runs": op5_line_runs,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_runs": LINES_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_runs": LINES_SQL, "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
