@@ -7,34 +7,53 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from noticemill.llm.bpe import bpe_round_trip
-from noticemill.llm.common import table
+from noticemill.llm.common import shared_folder, table
+from noticemill.llm.decontaminate import drop_contaminated
+from noticemill.llm.langid import keep_identified
+from noticemill.llm.lines import without_repeated_lines
 from noticemill.llm.simhash import drop_near_copies
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be identified go."""
+    return keep_identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs are deleted from the texts; documents that were nothing else go."""
+    return without_repeated_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
     return drop_near_copies(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and hashes of what is left."""
     return bpe_round_trip(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("bpe", encode)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("bpe", encode),
+]
 
-#: SQL can't express fingerprint hashes, reachability over links or byte-pair merges.
+#: SQL can't express a trained model, XXH64 fingerprints or byte-pair merges; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")

@@ -12,11 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute df once into the folder of spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one, set for the session, where that is unset, as in tests."""
+    sc = spark.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="noticemill-"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="noticemill-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute df once into the shared folder, which cuts its lineage and survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
