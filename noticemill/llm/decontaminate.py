@@ -19,20 +19,24 @@ GRAM = 5
 BROADCAST_ROWS = 100_000
 _REACH = WINDOW - GRAM
 _PLACE = 28  # low bits that hold a gram's place in the text
-#: What parts words once A-Z are lower-cased.
+#: What parts words, A-Z being lower-cased or not yet.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = BETWEEN_WORDS.replace("[", "[^", 1)
 
 
 def words(text: Column) -> Column:
-    """Array of words; null text has none."""
-    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(low, BETWEEN_WORDS, -1), lambda w: w != "")
+    """Array of words as they are written; null text has none."""
+    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), BETWEEN_WORDS, -1), lambda w: w != "")
 
 
 def _hashed(texts: DataFrame) -> DataFrame:
-    """Adds n, the number of words, and h, their hashes."""
-    return texts.withColumn("n", F.size("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    """Adds n, the number of words, and h, their hashes.
+
+    Hashes are of fully lower-cased words, which is fast and equal wherever words with A-Z lower-cased are equal; the
+    words themselves are compared once hashes have met.
+    """
+    return texts.withColumn("n", F.size("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
 
 
 def _places(count: Column) -> Column:
@@ -50,9 +54,9 @@ def _winnowed(texts: DataFrame) -> DataFrame:
     return out.withColumn("picks", picks).drop("h", "grams").withColumn("pick", F.explode_outer("picks")).drop("picks")
 
 
-def _around(place: Column) -> Column:
-    """The words that a window with the gram at place can hold; null beyond either end."""
-    return F.transform(F.sequence(F.lit(-_REACH), F.lit(WINDOW - 1)), lambda t: F.get("words", place + t))
+def _around(offsets: range) -> Column:
+    """The words at these offsets from a gram's place, A-Z lower-cased; null beyond either end of the text."""
+    return F.array(*(F.translate(F.get("words", F.col("at") + t), UPPER, LOWER) for t in offsets))
 
 
 def _parted(picked: DataFrame) -> DataFrame:
@@ -60,8 +64,24 @@ def _parted(picked: DataFrame) -> DataFrame:
     return picked.withColumn("gram", F.shiftright("pick", _PLACE)).withColumn("at", place).drop("pick")
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], bound: int) -> DataFrame:
-    return left.join(F.broadcast(right) if right.count() <= bound else right, keys)
+def _met(own: DataFrame, ours: DataFrame, theirs: DataFrame, offsets: range, bound: int) -> DataFrame:
+    """(doc_id, version, at, ours, item_id, theirs) of equal grams, with our words at the offsets, as a stored table.
+
+    Stored, because a later condition on arrays would else move into the join, which then leaves code generation and
+    copies a text's words for each of its grams. theirs is broadcast up to bound rows; beyond, grams are shuffled
+    without the words, which are joined to what has met.
+    """
+    columns = ["doc_id", "version", "at", _around(offsets).alias("ours"), "item_id", "theirs"]
+    if theirs.count() <= bound:
+        return materialize(ours.join(F.broadcast(theirs), ["gram"]).select(*columns))
+    met = materialize(ours.select("doc_id", "version", "gram", "at").join(theirs, ["gram"]))
+    texts = own.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "words").dropDuplicates(["_d", "_v"])
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("version").eqNullSafe(F.col("_v"))
+    return materialize(met.join(texts, same).select(*columns))
+
+
+def _whole(size: int):
+    return lambda i: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(size))).alias("gram"), i.alias("at"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,24 +91,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     """
     own = docs.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
     items = _hashed(benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")))
-    kept = _parted(_winnowed(items)).select("item_id", "gram", _around(F.col("at")).alias("theirs")).distinct()
-    kept = materialize(kept)
-    found = _joined(_parted(_winnowed(_hashed(own))), kept, ["gram"], broadcast_rows)
-    found = found.select("doc_id", "version", "item_id", "at", F.transform(F.arrays_zip(_around(F.col("at")).alias("ours"), "theirs"), lambda x: F.coalesce(x["ours"] == x["theirs"], F.lit(False))).alias("same"))
-    core = [F.get("same", F.lit(_REACH + j)) for j in range(GRAM)]
-    found = found.where(" and ".join(f"get(same, {_REACH + j})" for j in range(len(core))))
+    reach = range(-_REACH, WINDOW)
+    kept = materialize(_parted(_winnowed(items)).select("item_id", "gram", _around(reach).alias("theirs")).distinct())
+    found = _met(own, _parted(_winnowed(_hashed(own))), kept, reach, broadcast_rows)
+    equal = F.zip_with("ours", "theirs", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    found = found.select("doc_id", "version", "item_id", "at", equal.alias("same"))
+    found = found.where(" and ".join(f"get(same, {_REACH + j})" for j in range(GRAM)))
     run = lambda places: sum((F.when(F.expr(" and ".join(f"get(same, {p})" for p in places[: k + 1])), 1).otherwise(0) for k in range(len(places))), F.lit(0))
     before, after = run([_REACH - 1 - k for k in range(_REACH)]), run([WINDOW + k for k in range(_REACH)])
     found = found.select("doc_id", "version", "item_id", (F.col("at") - before).alias("first"), (F.col("at") + after + (GRAM - 1)).alias("last"))
     out = found.where(F.col("last") - F.col("first") >= WINDOW - 1)
-    few = items.where(f"n > 0 and n < {WINDOW}").select("item_id", "n", F.col("words").alias("theirs"))
+    few = items.where(f"n > 0 and n < {WINDOW}").withColumn("at", F.lit(0))
     for size in sorted(r["n"] for r in few.select("n").distinct().collect()):  # nine at most
-        window = lambda i, s=size: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(s))).alias("gram"), i.alias("at"))
-        mine = few.where(F.col("n") == size).withColumn("gram", F.expr(f"xxhash64({', '.join(f'xxhash64(get(theirs, {j}))' for j in range(size))})"))
-        ours = _hashed(own).withColumn("w", F.explode_outer(F.transform(_places(F.col("n") - (size - 1)), window)))
+        gram = F.xxhash64(*(F.get("h", F.lit(j)) for j in range(size)))
+        mine = few.where(F.col("n") == size).select("item_id", gram.alias("gram"), _around(range(size)).alias("theirs"))
+        ours = _hashed(own).withColumn("w", F.explode_outer(F.transform(_places(F.col("n") - (size - 1)), _whole(size))))
         ours = ours.select("doc_id", "version", "words", F.col("w.gram").alias("gram"), F.col("w.at").alias("at"))
-        met = _joined(ours, materialize(mine.select("item_id", "theirs", "gram")), ["gram"], broadcast_rows)
-        met = met.where(F.slice("words", F.col("at") + 1, size) == F.col("theirs"))
+        met = _met(own, ours, materialize(mine), range(size), broadcast_rows).where("ours = theirs")
         out = out.union(met.select("doc_id", "version", "item_id", F.col("at").alias("first"), (F.col("at") + (size - 1)).alias("last")))
     return out.distinct()
 
@@ -105,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
     covered = covered.groupBy(key).agg(F.count("*").alias("n_hit"))
     items = found.groupBy(key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     by_text = covered.join(items, [covered[k].eqNullSafe(items[k]) for k in key]).select(*(covered[k].alias(f"_{k}") for k in key), "n_hit", "items")
-    own = docs.select("doc_id", F.xxhash64("text").alias("version"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("version"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
     out = own.join(by_text, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("version").eqNullSafe(F.col("_version")), "left")
     named = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
