@@ -18,6 +18,7 @@ from .lines import dedup_lines
 from .secrets import secret_findings
 from .sentences import drop_repeated_spans
 from .simhash import simhash_groups
+from .suffixes import drop_repeats
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentence_spans": op2_sentence_spans,
     "op3_secret_ledger": op3_secret_ledger,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_line_runs": op5_line_runs,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
