@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-From each sentence a span runs over the next sentences until it has MIN_SENTENCES sentences and MIN_WORDS words. Spans
-are hashed and joined globally; a sentence goes if a span that covers it stands in a document with a smaller doc_id, or
+From each sentence a span runs over the next, and to each sentence one over those before, until it has MIN_SENTENCES
+sentences and MIN_WORDS words. Spans are hashed and joined globally; a sentence goes if a span that covers it stands in a document with a smaller doc_id, or
 earlier in its own.
 """
 
@@ -31,13 +31,18 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(parts: list[str]) -> list[tuple[int, int, int]]:
-    """(first, end, hash) of the span that starts at each sentence, where the text has enough left for one."""
+    """(first, end, hash) of the spans that begin or end at each sentence, where the text has enough for one.
+
+    With both, every sentence of a stretch that is itself long enough for a span is covered by a span within it.
+    """
     clean = [" ".join(p.split()).encode() for p in parts]
     sizes = np.cumsum([0] + [len(p.split()) for p in clean])
     n = len(parts)
     ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + MIN_WORDS), np.arange(n) + MIN_SENTENCES)
+    firsts = np.minimum(np.searchsorted(sizes, sizes[1:] - MIN_WORDS, side="right") - 1, np.arange(1, n + 1) - MIN_SENTENCES)
+    runs = {(i, e) for i, e in enumerate(ends.tolist()) if e <= n} | {(i, e) for e, i in enumerate(firsts.tolist(), 1) if i >= 0}
     digest = xxhash.xxh3_64_intdigest
-    return [(i, e, digest(b" ".join(clean[i:e]))) for i, e in enumerate(ends.tolist()) if e <= n]
+    return [(i, e, digest(b" ".join(clean[i:e]))) for i, e in sorted(runs)]
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
