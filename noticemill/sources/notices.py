@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.dates import parse_date
 
@@ -19,12 +20,13 @@ def read_notices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
-    """Records of a JSON file; corrupt ones are dropped, or fail if strict."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
-    with_corrupt = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    """Records of a JSON array file. A missing file or a corrupt record gives none, or fails if strict."""
+    try:
+        return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if strict or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def cleaned_payload(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from noticemill.operators import project, store
@@ -75,7 +76,12 @@ def test_sources(spark, tmp_path):
     bodies = spark.createDataFrame([('({"item": {"a": 1}})',), ('{"items": [{"a": 2}]}',), ("[1]",), ("x",)], "b string")
     out = bodies.select(F.to_json(source.unwrapped(source.cleaned_payload(F.col("b")))).alias("v"))
     assert [r.v for r in out.collect()] == ['{"a":1}', '{"a":2}', None, None]
-    assert source.read_checkpoint(spark, str(tmp_path / "page.json"), STORED).count() == 1
+    kept = STORED.fromDDL("titulo string, link string")
+    (tmp_path / "good.json").write_text('[{"titulo": "a", "link": "l"}, {"titulo": "b", "link": "m"}]')
+    (tmp_path / "bad.json").write_text('[{"titulo": "a", ')
+    assert [len(source.read_checkpoint(spark, str(tmp_path / n), kept).collect()) for n in ("good.json", "bad.json", "missing.json")] == [2, 0, 0]
+    with pytest.raises(Exception):
+        source.read_checkpoint(spark, str(tmp_path / "bad.json"), kept, strict=True).collect()
 
 
 def test_stream_equals_batch(spark, tmp_path):
