@@ -48,8 +48,10 @@ def empty_to_null(df: DataFrame, name: str) -> Column:
 
 def overlay(listing: DataFrame, detail: DataFrame, key: str = "id") -> DataFrame:
     """Left join; a detail's value wins unless it is null or empty. One detail for a key is assumed."""
-    out = listing.join(detail, listing[key] == detail[key], "left")
-    return out.select(*((F.coalesce(empty_to_null(detail, c), listing[c]) if c in detail.columns and c != key else listing[c]).alias(c) for c in listing.columns))
+    shared = [c for c in detail.columns if c in listing.columns and c != key]
+    own = detail.select(F.col(key).alias("_key"), *(empty_to_null(detail, c).alias(f"_{c}") for c in shared))
+    out = listing.join(own, F.col(key) == F.col("_key"), "left")
+    return out.select(*((F.coalesce(F.col(f"_{c}"), F.col(c)) if c in shared else F.col(c)).alias(c) for c in listing.columns))
 
 
 def full_text(df: DataFrame) -> Column:

@@ -54,14 +54,14 @@ def upsert(store: DataFrame, updates: DataFrame, key: str = "link", columns: lis
     """A new non-blank value wins, else the old one stays; rows of either side stay. One update for a key is assumed."""
     given = [c for c in (columns or ENRICHED) if c in updates.columns and c in store.columns]
     new = updates.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in updates.columns if c != key))
-    out = store.join(new, store[key] == new["_key"], "full_outer")
+    out = store.join(new, F.col(key) == F.col("_key"), "full_outer")
 
     def value(c: str):
         if c == key:
-            return F.coalesce(store[key], F.col("_key"))
+            return F.coalesce(F.col(key), F.col("_key"))
         if c in given:
-            return F.coalesce(blank_to_null(F.col(f"_{c}")), store[c])
-        return F.coalesce(store[c], F.col(f"_{c}")) if c in updates.columns else store[c]
+            return F.coalesce(blank_to_null(F.col(f"_{c}")), F.col(c))
+        return F.coalesce(F.col(c), F.col(f"_{c}")) if c in updates.columns else F.col(c)
 
     return out.select(*(value(c).alias(c) for c in store.columns))
 
