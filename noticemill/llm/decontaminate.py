@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item's window occurs; columns unchanged."""
     found = materialize(hits(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct())
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_v")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(found["_v"]), "left_anti")
 
 
 #: The same by joining all windows as text.

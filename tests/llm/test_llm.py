@@ -300,3 +300,13 @@ def test_pipeline(spark, docs):
     assert all(r.component_id == r.doc_id for r in groups)
     assert not any(r.contaminated for r in decontaminate.contamination(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect())
     assert got == {r.doc_id for r in left.collect()}
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    import corpus_pipeline
+
+    names = ["_gone", "_left", "_d", "_v", "_kept", "row", "version", "n"]
+    left = docs.withColumns({n: docs["source"] for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = common.materialize(stage(spark, left, SF))
+        assert left.columns == [*docs.columns, *names] and left.where(" or ".join(f"{n} <> source" for n in names)).isEmpty()
