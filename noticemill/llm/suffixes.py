@@ -93,6 +93,7 @@ def _anchors(blocks: int):
         for part, some in _by_block(doc[own].astype(np.uint64), blocks):
             rows.append((-1 - part, value[own[some]], doc[own[some]], np.ones(len(some), bool)))
         sent = np.flatnonzero(first)
+        sent = sent[np.argsort(doc[sent], kind="stable")]  # equal and close doc_ids together, for compression
         for part, some in _by_block(value[sent], blocks):
             rows.append((part, value[sent[some]], doc[sent[some]], ~member[sent[some]]))
         yield pa.RecordBatch.from_arrays(
@@ -309,7 +310,9 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # without an alias where none is needed, the two exchanges of the texts are one and the same to the planner
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(doc_id, text.alias("text"))
 
 
 def _runs_of_shared(own: DataFrame, settle: bool) -> tuple[DataFrame, int]:
