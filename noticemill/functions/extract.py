@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, clean_text, collapse, pstrip
+from .text import blank_to_null, clean_text, collapse, fold, pstrip
 
 #: The labels of a notice's document.
 CRITERION = r"(?isu)Nome:\s*(.*?)\s+Ponderação:\s*([0-9]{1,3})%"
@@ -51,9 +51,62 @@ def delivery_date(text: Column) -> Column:
 
 
 def percentage(text: Column) -> Column:
-    """First percentage, comma as point, `.0` dropped."""
-    found = F.replace(F.regexp_extract(text, r"([0-9]{1,3}(?:[.,][0-9]+)?)\s*%", 1), F.lit(","), F.lit("."))
-    return F.nullif(F.regexp_replace(found, r"\.0+$", ""), F.lit(""))
+    """First percentage, comma as point, `.0` dropped; null if none."""
+    found = F.replace(F.regexp_extract(text, r"(?U)(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(","), F.lit("."))
+    return F.when(found != "", F.concat(F.regexp_replace(found, r"\.0$", ""), F.lit("%")))
+
+
+def criteria_section(text: Column, most: int = 100) -> Column:
+    """Lines from the heading of the award criteria to the next heading with a greater number; empty if none."""
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    heading = F.transform(lines, lambda x: fold(F.lower(x), compat=True).rlike(r"criterios?\s+de\s+adjudicacao"))
+    whole = F.struct(lines.alias("lines"), F.array_position(heading, True).cast("int").alias("at"))
+    section = F.get(F.transform(F.array(whole), lambda s: _section(s["lines"], s["at"], most)), F.lit(0))
+    return pstrip(F.coalesce(section, F.lit("")))
+
+
+def _section(lines: Column, at: Column, most: int) -> Column:
+    number = lambda x, more: F.nullif(F.regexp_extract(x, rf"^\s*([0-9]+)\s*[-–—.]{more}", 1), F.lit("")).try_cast("int")
+    own = number(F.get(lines, at - 1), "")
+    rest = F.slice(lines, at + 1, F.lit(most - 1))
+    ends = F.transform(rest, lambda x: F.coalesce(number(pstrip(x), r"\s+\S") > F.coalesce(own, F.lit(-1)), F.lit(False)))
+    end = F.array_position(ends, True).cast("int")
+    kept = F.when(end > 0, F.slice(rest, F.lit(1), end - 1)).otherwise(rest)
+    return F.when(at > 0, F.array_join(F.concat(F.slice(lines, at, F.lit(1)), kept), "\n"))
+
+
+#: Labels of factors and weights.
+_NAME_LABEL = r"(?i)^\s*(?:nome|designacao|fator|factor)\s*:\s*"
+_WEIGHT_LABEL = r"(?i)^\s*(?:ponderacao|peso|percentagem)\s*:\s*"
+_NO_FACTOR = r"^(?:[0-9]+\s*[-–—.]?\s*criterios?\s+de\s+adjudicacao|multifator|monofator|sim|nao)\s*:?\s*(?:sim|nao)?\s*$"
+
+
+def factor_name(text: Column) -> Column:
+    """Without its label and punctuation around it."""
+    return F.regexp_replace(collapse(F.regexp_replace(text, _NAME_LABEL, "")), r"^[ :\-–—.;]+|[ :\-–—.;]+$", "")
+
+
+def factors(section: Column) -> Column:
+    """Distinct (nome, peso) of a section's lines: a weight belongs to the name on its line, else to the last name before it."""
+    lines = F.filter(F.transform(F.split(section, "\n"), clean_text), lambda x: x != "")
+    lines = F.filter(lines, lambda x: ~fold(F.lower(x), compat=True).rlike(_NO_FACTOR))
+
+    def read(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x, r"[0-9]+(?:[.,][0-9]+)?\s*%", ""), _WEIGHT_LABEL, "")
+        named = x.rlike(_NAME_LABEL + r"\S") | (~x.rlike(_WEIGHT_LABEL) & (F.length(x) <= 100))
+        return F.struct(percentage(x).alias("peso"), factor_name(bare).alias("own"), F.when(named, factor_name(x)).alias("name"))
+
+    pair = "struct<nome:string,peso:string>"
+    start = F.struct(F.lit("").alias("pending"), F.array().cast(f"array<{pair}>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        name = F.coalesce(F.nullif(x["own"], F.lit("")), acc["pending"])
+        taken = x["peso"].isNotNull() & (name != "")
+        found = F.when(taken, F.array_append(acc["found"], F.struct(name.alias("nome"), x["peso"].alias("peso")))).otherwise(acc["found"])
+        pending = F.when(taken, F.lit("")).when(x["peso"].isNotNull(), acc["pending"]).otherwise(F.coalesce(x["name"], acc["pending"]))
+        return F.struct(pending.alias("pending"), found.alias("found"))
+
+    return F.array_distinct(F.aggregate(F.transform(lines, read), start, step, lambda acc: acc["found"]))
 
 
 def cpv_codes(text: Column) -> Column:

@@ -105,3 +105,12 @@ def test_categories_and_services(spark):
     assert column(spark, ["Revisão do projeto", "Coordenação", "Concurso de conceção", "Projeto", "x"], lambda c: classify.service(c, F.lit(None).cast("string"))) == [
         "Revisão / Análise de projeto", "Fiscalização / Coordenação", "Concurso de conceção", "Elaboração de projeto", None,
     ]
+
+
+def test_criteria_section_and_factors(spark):
+    doc = "9 - Outros\n10 - Critérios de adjudicação\nMultifator\nNome: Qualidade técnica\nPonderação: 60,0%\nPreço 40%\nPrazo\nPeso: 5 %\n 11 - Garantia 5%\nfim"
+    section = "10 - Critérios de adjudicação\nMultifator\nNome: Qualidade técnica\nPonderação: 60,0%\nPreço 40%\nPrazo\nPeso: 5 %"
+    assert column(spark, [doc, "nada", None], extract.criteria_section) == [section, "", ""]
+    as_text = lambda c: F.array_join(F.transform(extract.factors(c), lambda x: F.concat_ws("=", x["nome"], x["peso"])), "|")
+    assert column(spark, [section, ""], as_text) == ["Ponderação=60%|Preço=40%|Prazo=5%", ""]
+    assert column(spark, ["a 12,5 %", "7.0%", "x", None], extract.percentage) == ["12.5%", "7%", None, None]
