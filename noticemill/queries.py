@@ -114,6 +114,11 @@ def price_stats(spark, sf_dir):
     return out.select("n_precos", F.col("soma").cast("decimal(38,6)").cast("string").alias("soma"), F.round(F.col("media").cast("double"), 2).alias("media"))
 
 
+@query("{T} SELECT id, coalesce(replace(replace(replace(format('{:,.2f}', CAST(preco AS DOUBLE)), ',', '#'), '.', ','), '#', '.') || ' €', 'Não disponível') AS preco FROM t")
+def price_display(spark, sf_dir):
+    return _typed(spark, sf_dir).select("id", money.format_eur(F.col("preco"), "Não disponível").alias("preco"))
+
+
 # Listings ------------------------------------------------------------------------------------------------------------
 
 
