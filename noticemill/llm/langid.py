@@ -20,6 +20,8 @@ from .common import materialize
 
 #: About so many labelled rows of each language are learned from, chosen by a hash of doc_id.
 ROWS_PER_LANGUAGE = 2500
+#: So many lang values are learned at most, the most frequent ones.
+LANGUAGES = 1000
 #: Tokens of the model: the most frequent words, and the most frequent n-grams of each length.
 WORDS = 60_000
 GRAMS = 30_000
@@ -136,12 +138,12 @@ def is_held_out() -> Column:
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learn from text and lang of a bounded sample of the rows that aren't held out."""
     own = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return build([])
     share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(_SCALE, rows_per_language * _SCALE // r["n"] + 1)))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE))
-    sample = own.where(draw < F.element_at(share, F.col("lang"))).select("lang", F.col("text").cast("string"))
+    sample = own.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).select("lang", F.col("text").cast("string"))
     tokens = sample.mapInArrow(_count, "lang string, n int, token string, c long")
     totals = materialize(tokens.groupBy("n", "token", "lang").agg(F.sum("c").alias("c")))
     best = [totals.where(F.col("n") == n).orderBy(F.desc("c"), "token", "lang").limit(WORDS if n == 0 else GRAMS) for n in range(LONGEST + 1)]
