@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +171,7 @@ def _segments(blocks: int, settle: bool = True):
     """
 
     def pack(found: dict[bytes, list[tuple[int, int, int, int]]]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         sent: dict[int, list[tuple[bytes, int, int, int]]] = {}
         for content, places in found.items():
             least = min(p[0] for p in places) if settle else None
@@ -181,8 +183,9 @@ def _segments(blocks: int, settle: bool = True):
         rows = []
         for part, own in sent.items():
             content, doc, start, left = zip(*own)
-            sizes = np.array(list(map(len, content)), np.int64)
-            rows.append((part, b"".join(content) if part >= 0 else b"", *(np.array(c, np.int64).tobytes() for c in (sizes, doc, start, left))))
+            numbers = ((list(map(len, content)), np.int32), (doc, np.int64), (start, np.int32), ((left if not settle else ()), np.int16))
+            text = b"".join(content) if part >= 0 else b""
+            rows.append((part, *(squeeze(x) for x in (text, *(np.array(c, kind).tobytes() for c, kind in numbers)))))
         if rows:
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], [c.split()[0] for c in _SEGMENTS.split(", ")])
@@ -258,11 +261,17 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, lef
             yield length, own
 
 
+def _unpacked(columns: list[list[bytes]]) -> list[np.ndarray]:
+    """Text as bytes, sizes, docs, starts and left bytes of rows of _SEGMENTS."""
+    expand = zstandard.ZstdDecompressor().decompress
+    kinds = (np.uint8, np.int32, np.int64, np.int32, np.int16)
+    whole = [np.frombuffer(b"".join(map(expand, c)), k) for c, k in zip(columns, kinds)]
+    return [whole[0], *(x.astype(np.int64) for x in whole[1:])]
+
+
 def _suffixes(columns: list[list[bytes]]):
     """(data, docs, starts, lefts, run of each suffix, its place, its reach) of a block."""
-    content, sizes, docs, starts, lefts = columns
-    data = np.frombuffer(b"".join(content), np.uint8)
-    size, doc, start, left = (np.frombuffer(b"".join(c), np.int64) for c in (sizes, docs, starts, lefts))
+    data, size, doc, start, left = _unpacked(columns)
     windows = size - (MIN_BYTES - 1)
     run = np.repeat(np.arange(len(size)), windows)
     begin = np.cumsum(size) - size
@@ -274,7 +283,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, first, last): bytes that an earlier document has, last excluded."""
     for part, columns in _collected(batches):
         if part < 0:
-            size, doc, start = (np.frombuffer(b"".join(c), np.int64) for c in columns[1:4])
+            _, size, doc, start, _ = _unpacked(columns)
             first, last = start, start + size
         else:
             data, docs, starts, _, run, place, reach, offset = _suffixes(columns)
