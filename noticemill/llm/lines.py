@@ -10,6 +10,10 @@ interval's later members in a text is its maximal repeated runs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,9 @@ from .common import materialize
 MIN_LINES = 2
 #: A run counts only if one of its first min_lines lines has so many characters, so that blank lines are no run.
 MIN_CHARS = 30
+#: In without_repeated_lines a line of so many characters is a run by itself.
+ALONE_CHARS = 80
+_BASE = 0x9E3779B97F4A7C15
 _KEY = ["doc_id", "version", "n"]
 
 
@@ -44,9 +51,54 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = M
     return later.select("doc_id", "version", F.explode(F.sequence("n", F.col("n") + (size - 1))).alias("n")).distinct()
 
 
+def windows(names: np.ndarray, chars: np.ndarray, min_chars: int = MIN_CHARS, alone_chars: int = ALONE_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, hash) of a text's pairs of lines of which one has min_chars characters, and of its long lines."""
+    n = len(names)
+    pairs = np.flatnonzero(np.maximum(chars[1:], chars[:-1]) >= min_chars)
+    alone = np.flatnonzero(chars >= alone_chars)
+    first, end = np.concatenate((pairs, alone)), np.concatenate((pairs + 2, alone + 1))
+    powers, back = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    # the difference of two sums is the polynomial of the lines between them, times the power at its first line
+    sums = np.append(np.uint64(0), np.cumsum(names * powers[:n], dtype=np.uint64))
+    return first, end, ((sums[end] - sums[first]) * back[first]) ^ ((end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            found = [windows(names.values.to_numpy().view(np.uint64), chars.values.to_numpy().astype(np.int64)) for names, chars in zip(part.column(2), part.column(3))]
+            sizes = [len(x[0]) for x in found]
+            first, end, name = (np.concatenate(x) for x in zip(*found))
+            doc, version = (np.repeat(part.column(k).to_numpy(), sizes) for k in (0, 1))
+            columns = (doc, version, first.astype(np.int32), end.astype(np.int32), name.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "version", "n", "end", "name"])
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for firsts, ends in zip(batch.column(2), batch.column(3)):
+            first, end = firsts.values.to_numpy(), ends.values.to_numpy()
+            depth = np.bincount(first, minlength=end.max() + 1) - np.bincount(end, minlength=end.max() + 1)
+            rows.append(np.flatnonzero(np.cumsum(depth) > 0).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "version", "_gone"])
+
+
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, _gone): lines, from 0, of each text that belong to a later copy of a run or of a long line."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), _lines("text").alias("lines"))
+    own = own.select("doc_id", "version", F.transform("lines", lambda x: F.xxhash64(x)).alias("names"), F.transform("lines", F.length).alias("chars"))
+    named = materialize(own.mapInArrow(_windows, "doc_id long, version long, n int, end int, name long"))
+    place = F.struct(*_KEY)
+    first = named.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    later = named.join(materialize(first.select("name", "first")), "name").where(place > F.col("first"))
+    later = later.groupBy("doc_id", "version").agg(F.collect_list("n").alias("firsts"), F.collect_list("end").alias("ends"))
+    return later.mapInArrow(_covered, "doc_id long, version long, _gone array<int>")
+
+
 def _stripped(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with its lines and the places of those that stay."""
-    gone = gone.groupBy("doc_id", "version").agg(F.collect_set("n").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "_gone")
     out = docs.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left")
     out = out.withColumn("_lines", _lines("text")).withColumn("_gone", F.array_sort(F.coalesce("_gone", F.array().cast("array<int>"))))
@@ -64,7 +116,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     text too. A null text counts as one empty line. Exact repeats of a row are one text and keep the same lines. Rows
     without doc_id keep all lines. An empty table gives no rows; other columns are not read.
     """
-    out = _stripped(docs.select("doc_id", "text"), later_copies(docs, min_lines, min_chars))
+    gone = later_copies(docs, min_lines, min_chars).groupBy("doc_id", "version").agg(F.collect_set("n").alias("_gone"))
+    out = _stripped(docs.select("doc_id", "text"), gone)
     starts = F.size(F.filter(F.transform("_gone", lambda n, i: (i == 0) | (F.get("_gone", i - 1) < n - 1)), lambda x: x))
     return out.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -76,11 +129,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with later copies of line runs deleted from text and n_chars set anew; rows that lose all they had go."""
+    """docs with later copies of line runs deleted from text and n_chars set anew; rows that lose all they had go.
+
+    Beyond dedup_lines, whose rule its SQL fixes, a line of ALONE_CHARS characters is a run by itself.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # the other columns travel in one struct, whatever their names are
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"))
-    out = _stripped(packed, later_copies(docs)).where((F.size("_gone") == 0) | (F.trim("_left") != ""))
+    out = _stripped(packed, whole_copies(docs)).where((F.size("_gone") == 0) | (F.trim("_left") != ""))
     whole = F.size("_gone") == 0
     columns = {c: F.col("row")[f"c{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.when(whole, F.col("text")).otherwise(F.col("_left"))}
     if "n_chars" in columns:

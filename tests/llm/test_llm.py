@@ -176,6 +176,13 @@ def test_line_runs_of_any_length(spark, size):
     assert {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, TEXTS), size).collect()} == want
 
 
+def test_long_line_alone_is_a_run(spark):
+    long = "one paragraph that stands on a single line and is copied between other neighbours, word by word " * 2
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, "short line\ne"), (5, "short line\nf")]
+    left = {r.doc_id: r.text for r in lines.without_repeated_lines(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert left == {1: rows[0][1], 2: "c\nd", 4: rows[3][1], 5: rows[4][1]}
+
+
 def brute_links(vectors):
     n, own = len(vectors), [(i, k, np.asarray(v, float)) for i, k, v in vectors if k is not None and v and np.isfinite(v).all() and np.any(v)]
     root, count = {i: i for i, _, _ in vectors}, {i: 0 for i, _, _ in vectors}
