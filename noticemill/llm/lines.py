@@ -52,11 +52,18 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = M
 
 
 def windows(names: np.ndarray, chars: np.ndarray, min_chars: int = MIN_CHARS, alone_chars: int = ALONE_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, end, hash) of a text's pairs of lines of which one has min_chars characters, and of its long lines."""
+    """(first, end, hash) of the shortest runs that count from each line on, and of the shortest that end at each line.
+
+    A run counts if it has MIN_LINES lines and min_chars characters in all, or is one line of alone_chars. Every line of
+    a run that counts is covered by one of these within it, so their later copies are those of the maximal runs.
+    """
     n = len(names)
-    pairs = np.flatnonzero(np.maximum(chars[1:], chars[:-1]) >= min_chars)
-    alone = np.flatnonzero(chars >= alone_chars)
-    first, end = np.concatenate((pairs, alone)), np.concatenate((pairs + 2, alone + 1))
+    total, at = np.append(0, np.cumsum(chars)), np.arange(n)
+    end = np.maximum(np.searchsorted(total, total[:-1] + min_chars), at + MIN_LINES)
+    first = np.minimum(np.searchsorted(total, total[1:] - min_chars, side="right"), at + 2 - MIN_LINES) - 1
+    end, first = np.where(chars >= alone_chars, at + 1, end), np.where(chars >= alone_chars, at, first)
+    runs = np.concatenate((np.stack((at, end), axis=1)[end <= n], np.stack((first, at + 1), axis=1)[first >= 0]))
+    first, end = np.unique(runs, axis=0).T
     powers, back = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
     # the difference of two sums is the polynomial of the lines between them, times the power at its first line
     sums = np.append(np.uint64(0), np.cumsum(names * powers[:n], dtype=np.uint64))
@@ -86,7 +93,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, _gone): lines, from 0, of each text that belong to a later copy of a run or of a long line."""
+    """(doc_id, version, _gone): lines, from 0, of each text that belong to a later copy of a maximal run that counts."""
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), _lines("text").alias("lines"))
     own = own.select("doc_id", "version", F.transform("lines", lambda x: F.xxhash64(x)).alias("names"), F.transform("lines", F.length).alias("chars"))
     named = materialize(own.mapInArrow(_windows, "doc_id long, version long, n int, end int, name long"))
@@ -131,7 +138,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with later copies of line runs deleted from text and n_chars set anew; rows that lose all they had go.
 
-    Beyond dedup_lines, whose rule its SQL fixes, a line of ALONE_CHARS characters is a run by itself.
+    Beyond dedup_lines, whose rule its SQL fixes, a line of ALONE_CHARS characters is a run by itself, and MIN_CHARS is
+    asked of a whole run, not of one of its lines.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     # the other columns travel in one struct, whatever their names are

@@ -183,6 +183,37 @@ def test_long_line_alone_is_a_run(spark):
     assert left == {1: rows[0][1], 2: "c\nd", 4: rows[3][1], 5: rows[4][1]}
 
 
+def test_run_of_short_lines_counts_as_a_whole(spark):
+    verse = "\n".join(f"verse {c}" for c in "abcdefg")
+    mixed = "short\n\ntiny\nthe one line of this run that is long enough\nx\ny"
+    rows = [(1, f"one\n{verse}\ntwo"), (2, f"three\n{verse}\nfour"), (3, f"five\n{mixed}\nsix"), (4, f"{mixed}\nseven"), (5, "a\nb\nc"), (6, "a\nb\nd\n\n\n\n\ne"), (7, "f\n\n\n\n\ng")]
+    left = {r.doc_id: r.text for r in lines.without_repeated_lines(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert left == dict(rows) | {2: "three\nfour", 4: "seven"}
+
+
+def test_line_windows_cover_the_maximal_runs():
+    rnd = random.Random(8)
+    for _ in range(60):
+        chars = [rnd.choice([0, 0, 3, 9, 14, 31, 80]) for _ in range(9)]
+        texts = [[rnd.randrange(9) for _ in range(14)] for _ in range(3)]
+        texts[1][3:9] = texts[0][5:11]
+        seen, brute = [], []
+        for t in texts:
+            runs = [(i, e) for i in range(14) for e in range(i + 1, 15) if sum(chars[x] for x in t[i:e]) >= (30 if e - i > 1 else 80)]
+            hit = [(i, e) for i, e in runs if t[i:e] in seen or any(t[j : j + e - i] == t[i:e] for j in range(i))]
+            brute.append({n for i, e in hit for n in range(i, e)})
+            seen += [t[i:e] for i, e in runs]
+        known, found = set(), []
+        for t in texts:
+            got = sorted(zip(*(x.tolist() for x in lines.windows(np.array(t, np.uint64) + np.uint64(7), np.array([chars[x] for x in t])))))
+            gone = set()
+            for i, e, name in got:
+                gone |= set(range(i, e)) if name in known else set()
+                known.add(name)
+            found.append(gone)
+        assert found == brute
+
+
 def brute_links(vectors):
     n, own = len(vectors), [(i, k, np.asarray(v, float)) for i, k, v in vectors if k is not None and v and np.isfinite(v).all() and np.any(v)]
     root, count = {i: i for i, _, _ in vectors}, {i: 0 for i, _, _ in vectors}
