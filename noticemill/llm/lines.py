@@ -1,11 +1,9 @@
-"""Line dedup: names of line runs by distributed prefix doubling, later copies of repeated runs deleted.
-
-The suffixes of a text's sequence of line IDs are named by their first lines: after a round, equal names stand for
-equal prefixes of twice the lines. A round joins each name with the name as many lines further on in the same text.
-Names that occur once leave before it: their suffixes share no longer prefix with any other, so only suffixes in an
-interval of common prefixes are carried on. Doubling ends when names cover min_lines lines. The intervals of that
-depth hold every repeated run of min_lines lines or more, longer prefixes change no decision, and the union of an
-interval's later members in a text is its maximal repeated runs.
+"""Line dedup: line runs named by their hashes, later copies of repeated runs deleted.
+
+later_copies, the rule of op5_line_runs and its SQL, names the runs of min_lines lines by doubling; with MIN_LINES = 2
+that is one round, a hash of each pair of lines. A round joins each name with the name as many lines further on in the
+same text; names that occur once leave before it. No suffix order and no intervals of common prefixes are computed.
+whole_copies, the rule of the pipeline's stage, names the shortest runs that count instead, which cover maximal runs.
 """
 
 from __future__ import annotations
