@@ -20,15 +20,12 @@ from .common import materialize
 
 #: About so many labelled rows of each language are learned from, chosen by a hash of doc_id.
 ROWS_PER_LANGUAGE = 2500
-#: So many lang values are learned at most, the most frequent ones.
-LANGUAGES = 1000
-#: Tokens of the model: the most frequent words, and the most frequent n-grams of each length.
-WORDS = 60_000
-GRAMS = 30_000
 LONGEST = 4
 UNDETERMINED = "und"
-#: Words an executor process remembers the scores of; only speed depends on it.
-REMEMBERED = 300_000
+#: Scores an executor process remembers, one of each language for a word; only speed depends on it.
+REMEMBERED = 1_200_000
+#: A model of so many scores is laid out with all languages of each token; only speed depends on it.
+DENSE = 8_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SCALE = 1 << 20
 
@@ -47,21 +44,43 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """A token scores the floor of its length in each language, and more in the languages it was seen in."""
+
     languages: list[str]
-    rows: dict[tuple[int, str], int]  # (0, word) or (n, n-gram) to a row of scores
-    scores: np.ndarray
+    rows: dict[tuple[int, str], int]  # (0, word) or (n, n-gram) to a row
+    floors: np.ndarray  # by length and language
+    ends: np.ndarray  # a row's columns and gains end here, and the next row's begin
+    columns: np.ndarray
+    gains: np.ndarray
     known: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.cache = np.zeros((REMEMBERED if self.languages else 1, len(self.languages)))
+        self.room = max(1000, REMEMBERED // max(1, len(self.languages)))
+        small = len(self.rows) * len(self.languages) <= DENSE
+        self.dense = np.zeros((len(self.rows), len(self.languages))) if small else None
+        if small:
+            self.dense[np.repeat(np.arange(len(self.rows)), np.diff(self.ends, prepend=0)), self.columns] = self.gains
+        self.cache = np.zeros((self.room if self.languages else 1, len(self.languages)))
+
+    def parts(self) -> tuple:
+        return self.languages, self.rows, self.floors, self.ends, self.columns, self.gains
+
+    def mean(self, n: int, rows: list[int]) -> np.ndarray:
+        if self.dense is not None:
+            return self.floors[n] + self.dense[rows].mean(axis=0)
+        out = np.zeros(len(self.languages))
+        for i in rows:
+            own = slice(self.ends[i - 1] if i else 0, self.ends[i])
+            out[self.columns[own]] += self.gains[own]
+        return self.floors[n] + out / len(rows)
 
     def word(self, word: str) -> np.ndarray:
         at = self.rows.get((0, word))
         if at is not None:
-            return self.scores[at]
+            return self.mean(0, [at])
         for n in range(LONGEST, 0, -1):
             if found := [i for g in grams_of(word, n) if (i := self.rows.get((n, g))) is not None]:
-                return self.scores[found].mean(axis=0)
+                return self.mean(n, found)
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -69,9 +88,9 @@ class Model:
         if not self.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.languages))
-        for begin in range(0, len(words), 100_000):
-            some = words[begin : begin + 100_000]
-            if len(self.known) + len(some) > REMEMBERED:
+        for begin in range(0, len(words), self.room):
+            some = words[begin : begin + self.room]
+            if len(self.known) + len(some) > self.room:
                 self.known.clear()
             at = list(map(self.known.get, some))
             if None in at:
@@ -88,22 +107,21 @@ class Model:
 
 
 def build(counts: list[tuple[int, str, str, int]]) -> Model:
-    """The model of (length or 0 for a word, token, language, count) rows, add-one smoothed, centred over languages."""
+    """The model of (length or 0 for a word, token, language, count) rows, add-one smoothed."""
     languages = sorted({lang for _, _, lang, _ in counts})
     column = {lang: i for i, lang in enumerate(languages)}
     rows: dict[tuple[int, str], int] = {}
     for n, token, _, _ in counts:
         rows.setdefault((n, token), len(rows))
-    seen = np.zeros((len(rows), len(languages)))
-    kind = np.zeros(len(rows), np.int64)
-    for n, token, lang, c in counts:
-        seen[rows[n, token], column[lang]] += c
-        kind[rows[n, token]] = n
-    scores = np.zeros_like(seen)
-    for n in set(kind.tolist()):
-        some = kind == n
-        scores[some] = np.log((seen[some] + 1) / (seen[some].sum(axis=0) + some.sum()))
-    return Model(languages, rows, scores - scores.mean(axis=1, keepdims=True) if languages else scores)
+    row = np.fromiter((rows[n, token] for n, token, _, _ in counts), np.int64, len(counts))
+    own = np.fromiter((column[lang] for _, _, lang, _ in counts), np.int32, len(counts))
+    seen = np.fromiter((c for _, _, _, c in counts), np.float64, len(counts))
+    sums = np.zeros((LONGEST + 1, len(languages)))
+    np.add.at(sums, (np.fromiter((n for n, _, _, _ in counts), np.int64, len(counts)), own), seen)
+    kinds = np.bincount(np.fromiter((n for n, _ in rows), np.int64, len(rows)), minlength=LONGEST + 1)
+    order = np.argsort(row, kind="stable")
+    ends = np.cumsum(np.bincount(row, minlength=len(rows)))
+    return Model(languages, rows, -np.log(np.maximum(sums + kinds[:, None], 1)), ends, own[order], np.log1p(seen[order]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,21 +154,15 @@ def is_held_out() -> Column:
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learn from text and lang of a bounded sample of the rows that aren't held out."""
+    """Learn every token of a sample of the rows that aren't held out, bounded in each language; no language is left out."""
     own = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return build([])
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(_SCALE, rows_per_language * _SCALE // r["n"] + 1)))))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.expr(f"least({_SCALE}, {rows_per_language * _SCALE} div n + 1)").alias("_share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE))
-    sample = own.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0))).select("lang", F.col("text").cast("string"))
+    own = own.select("lang", F.col("text").cast("string").alias("text"), draw.alias("draw"))
+    sample = own.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).where("draw < _share").select("lang", "text")
     tokens = sample.mapInArrow(_count, "lang string, n int, token string, c long")
     totals = materialize(tokens.groupBy("n", "token", "lang").agg(F.sum("c").alias("c")))
-    best = [totals.where(F.col("n") == n).orderBy(F.desc("c"), "token", "lang").limit(WORDS if n == 0 else GRAMS) for n in range(LONGEST + 1)]
-    frame = best[0]
-    for x in best[1:]:
-        frame = frame.union(x)
-    return build([tuple(r) for r in frame.select("n", "token", "lang", "c").collect()])
+    return build(list(zip(*(x.to_pylist() for x in totals.select("n", "token", "lang", "c").toArrow().columns))))
 
 
 def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -162,7 +174,7 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
     """
     if model is None:
         model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.rows, model.scores))  # bounded by WORDS, GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded by the row sample
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -181,7 +193,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, model: Model | No
     """The rows of docs whose language is identified with a score of least_score or more; columns unchanged."""
     if model is None:
         model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.rows, model.scores))
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

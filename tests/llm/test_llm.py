@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -260,6 +261,31 @@ def test_language_id_backs_off():
     assert model.predict("123 !")[0] == "und" and model.predict(None) == ("und", 0.0)
 
 
+def test_language_id_learns_small_and_many_languages(spark):
+    letters = "abcdefghijklmnopqrst"
+    word = lambda k: "".join(letters[k // 20**j % 20] for j in range(4))
+    ids = iter(i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(next(ids), " ".join([word(k), word(k + 2000)]), f"l{k:04}") for k in range(1100) for _ in range(1 if k == 1099 else 2)]
+    model = langid.train(spark.createDataFrame(rows, TEXTS + ", lang string"))
+    assert len(model.languages) == 1100 and model.dense is None
+    assert model.predict(f"{word(1099)} {word(3099)}")[0] == "l1099"
+
+
+def test_language_id_is_the_same_in_both_layouts():
+    model = langid.build([(0, "casa", "pt", 5), (0, "casa", "es", 2), (2, "ça", "pt", 3), (2, "th", "en", 3), (1, "t", "en", 2), (1, "ã", "pt", 2)])
+    sparse = langid.Model(*model.parts())
+    sparse.dense = None
+    assert model.dense is not None and all(np.allclose(model.word(w), sparse.word(w)) for w in ["casa", "thça", "tã", "x"])
+
+
+def test_language_id_keeps_all_words_of_the_sample(spark):
+    ids = iter(i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(next(ids), " ".join(f"{name(k)}x " * 2 for k in range(b, b + 1000)), "big") for b in range(0, 61_000, 1000)] + [(next(ids), "rareword", "small")]
+    model = langid.train(spark.createDataFrame(rows, TEXTS + ", lang string"))
+    assert (0, "rareword") in model.rows and sum(n == 0 for n, _ in model.rows) == 61_001
+
+
 def test_decontamination_both_joins_and_short_items(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [(1, f"so {item.upper()} end"), (2, "beta gamma delta epsilon zeta eta theta iota kappa. Lambda; no"), (3, "alpha beta gamma delta epsilon zeta eta theta iota kap"), (4, "say: Short-Item here"), (5, None)]
