@@ -86,7 +86,21 @@ def simhash_groups(docs: DataFrame, dense_cell: int = DENSE_CELL) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; columns unchanged."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+def drop_near_copies(docs: DataFrame, dense_cell: int = DENSE_CELL) -> DataFrame:
+    """One row of docs of each group of near copies, one of the smallest doc_id; columns unchanged.
+
+    Groups are of fingerprints, so rows without doc_id and rows that share one are grouped by their texts too. A row
+    without doc_id stays only in a group where none has one, and one row of it.
+    """
+    version = F.xxhash64(F.col("text").cast("binary"))
+    texts = docs.select(version.alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    marks = texts.mapInArrow(_fingerprints, "doc_id long, fp long").groupBy(F.col("doc_id").alias("version")).agg(F.min("fp").alias("fp"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), version.alias("version"))
+    rows = docs.select(place.alias("place")).groupBy("place.version").agg(F.min("place").alias("place"))
+    marks = materialize(marks.join(rows, "version").groupBy("fp").agg(F.min("place").alias("place")))
+    groups = components(fingerprint_links(materialize(marks.select(F.col("fp").alias("id"), "fp")), dense_cell)).select(F.col("id").alias("fp"), "component")
+    kept = marks.join(groups, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("place").alias("place"))
+    kept = materialize(kept.select(F.col("place.id").alias("id"), F.col("place.version").alias("version")))
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), version.alias("own_version"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = own.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_version") == F.col("version")), "left_semi")
+    return own.dropDuplicates(["own_id", "own_version"]).select("row.*")

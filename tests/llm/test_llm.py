@@ -334,6 +334,13 @@ def test_simhash_links(spark, dense):
     assert {i: found.get(i, i) for i in range(len(marks))} == {i: find(i) for i in range(len(marks))}
 
 
+def test_near_copies_without_and_with_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, c), (2, c), (1, d), (None, c), (3, d)]
+    left = [tuple(r) for r in simhash.drop_near_copies(spark.createDataFrame(rows, TEXTS)).collect()]
+    assert sorted(left, key=str) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(200, 260)] + [(7, 7)]
     found = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
