@@ -5,7 +5,8 @@ wherever they stand. Documents first exchange these hashes alone; only text arou
 sent on, as runs of windows with one least hash. A block sorts the suffixes that begin at its windows (each reaches to
 the end of its run), finds the longest common prefixes of neighbours and scans the intervals of common prefixes with a
 stack. The intervals of depth MIN_BYTES, the roots of the tree, hold all occurrences of each window, from which the
-least doc_id and so what is to be removed follow; deeper ones with different bytes on their left are maximal repeats.
+least doc_id and so what is to be removed follow. For maximal repeats (repeat_groups) all runs are sent; the texts from
+windows whose copies differ on their left are then sorted whole, and intervals whose left bytes differ reported.
 What many documents of a task share is settled in the task: a string is sent once from it.
 """
 
@@ -164,10 +165,11 @@ _SEGMENTS = "part long, content binary, sizes binary, docs binary, starts binary
 _RANGES = "doc_id long, first long, last long"
 
 
-def _segments(blocks: int, settle: bool = True):
+def _segments(blocks: int, settle: bool = True, every: bool = False):
     """Runs of windows whose least hash is shared, packed by block.
 
     If settle, a string goes out for its least document in the task alone: the others' windows are known to go.
+    If every, all runs go out, so that repeats within one document meet too.
     """
 
     def pack(found: dict[bytes, list[tuple[int, int, int, int]]]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +198,15 @@ def _segments(blocks: int, settle: bool = True):
         for batch in batches:
             for doc, text, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 raw = text.as_py()
-                if hashes.as_py() is None or len(raw) < MIN_BYTES:
+                if (not every and hashes.as_py() is None) or len(raw) < MIN_BYTES:
                     continue
-                shared = np.sort(hashes.values.to_numpy().view(np.uint64))
                 first, end, value = _runs(np.frombuffer(raw, np.uint8))
-                place = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
-                own = np.flatnonzero(shared[place] == value)
+                if every:
+                    own = np.arange(len(value))
+                else:
+                    shared = np.sort(hashes.values.to_numpy().view(np.uint64))
+                    place = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
+                    own = np.flatnonzero(shared[place] == value)
                 parts = (value[own] % np.uint64(blocks)).astype(np.int64).tolist()
                 for a, b, part in zip(first[own].tolist(), end[own].tolist(), parts):
                     b += MIN_BYTES - 1
@@ -305,16 +310,70 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(last)], ["doc_id", "first", "last"])
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_STARTS = "doc_id long, first long, last long, window string, left int"
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes that repeated windows cover, without a window; and the windows whose copies differ on their left."""
     for part, columns in _collected(batches):
         data, docs, starts, lefts, run, place, reach, offset = _suffixes(columns)
+        order, lcp = enhanced_suffix_array(data, place, reach)
+        roots = np.flatnonzero(lcp < MIN_BYTES)
+        size = np.diff(np.append(roots, len(order)))
         left = np.where(offset == 0, lefts[run], data[np.maximum(place - 1, 0)])
-        for k, (length, own) in enumerate(maximal_repeats(data, place, reach, left)):
-            n = len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{k}"] * n), pa.array(np.full(n, length)), pa.array(docs[run[own]]), pa.array(starts[run[own]] + offset[own])],
-                ["repeat", "length", "doc_id", "start"],
-            )
+        least, most = (f.reduceat(left[order], roots) for f in (np.minimum, np.maximum))
+        hit = np.zeros(len(order), bool)
+        hit[order] = np.repeat(size > 1, size)
+        at = np.flatnonzero(hit)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (run[at[1:]] != run[at[:-1]])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(at))[: len(head)] - 1
+        begin = starts[run] + offset
+        root = np.repeat(np.arange(len(roots)), size)
+        open_ = np.flatnonzero(((size > 1) & ((least != most) | (least < 0)))[root])
+        own, window = order[open_], [f"{part}-{k}" for k in root[open_].tolist()]
+        rows = (
+            (docs[run[at[head]]], begin[at[head]], begin[at[tail]] + MIN_BYTES, [None] * len(head), np.zeros(len(head), np.int64)),
+            (docs[run[own]], begin[own], begin[own], window, left[own]),
+        )
+        for doc, first, last, name, byte in rows:
+            columns = (pa.array(doc), pa.array(first), pa.array(last), pa.array(name, pa.string()), pa.array(byte.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "first", "last", "window", "left"])
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text from each such window on, as far as each next window is a repeat."""
+    for batch in batches:
+        for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            raw, found = text.as_py(), found.as_py()
+            alone = np.ones(len(raw) + 2, bool)
+            for x in found:
+                if x["window"] is None:
+                    alone[x["first"] : x["last"] - MIN_BYTES + 1] = False
+            ends = np.flatnonzero(alone)
+            rows = [(x["window"], doc, x["first"], x["left"], raw[x["first"] : int(ends[np.searchsorted(ends, x["first"])]) - 1 + MIN_BYTES]) for x in found if x["window"] is not None]
+            for at in range(0, len(rows), 200):
+                columns = zip(*rows[at : at + 200])
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["window", "doc_id", "start", "left", "tail"])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for window, (docs, starts, lefts, tails) in _collected(batches):
+        order = sorted(range(len(tails)), key=tails.__getitem__)
+        lcp = np.array([0] + [_common(tails[a], tails[b]) for a, b in zip(order, order[1:])], np.int64)
+        for k, (length, first, end) in enumerate(interval_tree(lcp, MIN_BYTES)):
+            own = order[first:end]
+            if len({lefts[i] for i in own}) > 1 or any(lefts[i] < 0 for i in own):
+                columns = ([f"{window}-{k}"] * len(own), [length] * len(own), [docs[i] for i in own], [starts[i] for i in own])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["repeat", "length", "doc_id", "start"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -335,12 +394,18 @@ def _runs_of_shared(own: DataFrame, settle: bool) -> tuple[DataFrame, int]:
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
-    """(repeat, length, doc_id, start): all occurrences of each maximal repeat of MIN_BYTES bytes or more of a block.
+    """(repeat, length, doc_id, start): all occurrences of each maximal repeat of MIN_BYTES bytes or more, whole.
 
-    A longer repeat is reported through the pieces of it that the blocks' runs of windows hold.
+    A maximal repeat begins at a window whose copies differ on their left; only from there on is the text sent, as far
+    as windows repeat, to where these copies meet. Repeats within one document count. doc_id names a text.
     """
-    runs, _ = _runs_of_shared(_texts(docs).where("doc_id is not null"), settle=False)
-    return runs.mapInArrow(_repeats, "repeat string, length long, doc_id long, start long")
+    own = _texts(docs).where("doc_id is not null").dropDuplicates(["doc_id"])
+    partitions = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df, key: df.repartition(partitions, key).sortWithinPartitions(key)
+    runs = own.withColumn("hashes", F.lit(None).cast("array<long>")).mapInArrow(_segments(4 * partitions, False, True), _SEGMENTS)
+    found = deal(runs, "part").mapInArrow(_starts, _STARTS).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "window", "left")).alias("found"))
+    tails = own.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(_tails, "window string, doc_id long, start long, left int, tail binary")
+    return deal(tails, "window").mapInArrow(_repeats, "repeat string, length long, doc_id long, start long")
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,6 +154,31 @@ def test_interval_tree_finds_maximal_repeats():
         assert found == want
 
 
+def test_repeat_groups_are_whole(spark):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    long, part, own = text(2000), text(120), text(300)
+    rows = [(1, text(200) + long + text(90)), (2, text(70) + long + text(60) + part), (3, long[500:1900] + text(40) + part + text(9)), (4, own + text(30) + own), (5, "a" * 60)]
+    raw = {d: t.encode() for d, t in rows}
+    at = sorted(((d, i) for d, x in raw.items() for i in range(len(x))), key=lambda p: raw[p[0]][p[1] :])
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    lcp = [0] + [common(raw[a][i:], raw[b][j:]) for (a, i), (b, j) in zip(at, at[1:])] + [0]
+    want = set()
+    for k, n in enumerate(lcp):
+        if n >= 50:
+            first, end = k - 1, k + 1
+            while lcp[first] >= n:
+                first -= 1
+            while lcp[end] >= n:
+                end += 1
+            if any(i == 0 for _, i in at[first:end]) or len({raw[d][i - 1] for d, i in at[first:end]}) > 1:
+                want.add((n, tuple(sorted(at[first:end]))))
+    found = {}
+    for r in suffixes.repeat_groups(spark.createDataFrame(rows, TEXTS)).collect():
+        found.setdefault((r.repeat, r.length), []).append((r.doc_id, r.start))
+    assert max(n for n, _ in want) == 2000 and sorted((n, tuple(sorted(x))) for (_, n), x in found.items()) == sorted(want)
+
+
 def test_line_runs_keep_the_first(spark):
     run = "a line that is surely long enough to count\nand its successor, of some length too"
     rows = [(1, f"x\n{run}\ny"), (2, f"{run}\nz"), (3, "a line that is surely long enough to count\nelse"), (4, "\n\n\n")]
