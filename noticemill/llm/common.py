@@ -1,10 +1,11 @@
-"""What several operators share: reading, cutting lineage, connected components."""
+"""What several operators share: reading, stored tables, connected components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,48 +14,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one, set for the session, where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset a local session, as in tests, gets one of its own."""
     sc = spark.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="noticemill-"))
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    return folder.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared folder, which cuts its lineage and survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+class Scratch:
+    """Tables that a call stores in the shared folder, so that lineage ends there and lost executors cost no more than a read.
+
+    What isn't dropped before is deleted when the driver's JVM ends: a result that is still to be computed reads it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/noticemill-{uuid.uuid4().hex}"
+        self._kept: dict[int, tuple[DataFrame, str]] = {}
+        place, files = self._place(self.folder)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+
+    def _place(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as a stored table."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._kept[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            place, files = self._place(self._kept.pop(id(df))[1])
+            files.delete(place, True)
+
+    def clear(self) -> None:
+        self.drop(*(df for df, _ in list(self._kept.values())))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): a row (id, component) for each id in an edge, component the smallest id.
 
-    Each round hangs every id under its smallest neighbour and contracts the edges to those parents, so the
-    edges left shrink geometrically. No round joins against an aggregate: both sides of a join are stored
-    tables, so that adaptive execution can split a hub's rows over tasks.
+    Local contraction: in each round every id draws a fresh priority by hash and joins the id of least priority among
+    itself and its neighbours; edges are contracted to those. A round is expected to leave half of a chain's ids and
+    fewer of denser graphs, so rounds grow with the logarithm of the ids, whatever the shape. Each round's table of
+    (id, least id below it, parent) shrinks alike; from the last to the first they hand the component down. The joins
+    read stored tables or keys that are unique, so that adaptive execution can split a hub's rows over tasks.
+    Null ids have no links.
     """
-    left = materialize(
-        edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    )
-    labels = left.select(F.col("u").alias("id")).union(left.select("v")).distinct().withColumn("component", F.col("id"))
-    parents = []
+    scratch = Scratch(edges.sparkSession)
+    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    left = scratch.keep(edges.where("u <> v").select(*ordered("u", "v")).distinct())
+    nodes = left.select(F.col("u").alias("id")).union(left.select("v")).distinct().withColumn("low", F.col("id"))
+    trees: list[DataFrame] = []
     while not left.isEmpty():
-        both = left.union(left.select("v", "u"))
-        up = materialize(both.groupBy("u").agg(F.min("v").alias("p")).where("p < u"))
-        parents.append(up)
-        a = up.select(F.col("u").alias("u"), F.col("p").alias("pu"))
-        b = up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        left = materialize(
-            left.join(a, "u", "left")
-            .join(b, "v", "left")
-            .select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"))
-            .where("u <> v")
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-            .distinct()
-        )
-    for up in parents:
-        step = up.select(F.col("u").alias("component"), "p")
-        labels = labels.join(step, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
-    return materialize(labels) if parents else labels
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(len(trees)), c).alias("draw"), F.col(c).alias("id"))  # noqa: B023, E731
+        around = left.union(left.select("v", "u")).groupBy("u").agg(F.min(drawn("v")).alias("best"))
+        parent = F.least("best", drawn("u"))["id"]
+        tree = scratch.keep(nodes.join(around.select(F.col("u").alias("id"), parent.alias("p")), "id", "left"))
+        trees.append(tree)
+        nodes = tree.where("p is not null").groupBy(F.col("p").alias("id")).agg(F.min("low").alias("low"))
+        a, b = tree.select(F.col("id").alias("u"), F.col("p").alias("pu")), tree.select(F.col("id").alias("v"), F.col("p").alias("pv"))
+        contracted = left.join(a, "u").join(b, "v").where("pu <> pv").select(*ordered("pu", "pv")).distinct()
+        before, left = left, scratch.keep(contracted)
+        scratch.drop(before)
+    found = scratch.keep(nodes.withColumnRenamed("low", "component"))
+    for tree in reversed(trees):
+        upper = found.select(F.col("id").alias("p"), "component")
+        lower = tree.join(upper, "p", "left").select("id", F.coalesce("component", "low").alias("component"))
+        above, found = found, scratch.keep(lower)
+        scratch.drop(above, tree)
+    return found
+
+
+def line_hash(*columns: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes, for names that must not collide by chance."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import Scratch, components
 
 SHINGLE = 3
 SEED = 42
@@ -50,12 +50,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprint_links(distinct: DataFrame, dense_cell: int = DENSE_CELL) -> DataFrame:
     """Links (u, v) of ids whose distinct fingerprints fp differ in 2 bits or fewer, enough of them to connect all such."""
+    keep = Scratch(distinct.sparkSession).keep
     # the sum of the four bits of each segment, one hexadecimal digit each
     digit = " + ".join(f"(shiftrightunsigned(fp, {i}) & 1229782938247303441L)" for i in range(4))
     cells = distinct.withColumn("c", F.expr(digit))
     around = F.array(F.col("c"), *(F.col("c") + F.lit(s << (4 * i)) for i in range(16) for s in (1, -1)))
     cells = cells.select("id", "fp", F.explode(around).alias("cell"))
-    sizes = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = keep(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
     found = cells.join(sizes.where(F.col("n") <= dense_cell), "cell").select("cell", "id", "fp")
     a, b = found.alias("a"), found.alias("b")
     sparse = a.join(b, "cell").where("a.fp < b.fp and bit_count(a.fp ^ b.fp) <= 2").selectExpr("a.id as u", "b.id as v")
@@ -74,11 +75,12 @@ def simhash_groups(docs: DataFrame, dense_cell: int = DENSE_CELL) -> DataFrame:
     A null, empty or blank text has fingerprint zero and links like any other; an empty table gives no rows;
     rows that repeat a doc_id come back as often; other columns of docs are not read.
     """
+    keep = Scratch(docs.sparkSession).keep
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    marks = materialize(texts.mapInArrow(_fingerprints, "doc_id long, fp long"))
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    marks = keep(texts.mapInArrow(_fingerprints, "doc_id long, fp long"))
+    distinct = keep(marks.groupBy("fp").agg(F.min("doc_id").alias("id")))
     groups = components(fingerprint_links(distinct, dense_cell))
-    classes = materialize(
+    classes = keep(
         distinct.join(groups, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     )
     return marks.join(classes, "fp").select(
@@ -92,15 +94,16 @@ def drop_near_copies(docs: DataFrame, dense_cell: int = DENSE_CELL) -> DataFrame
     Groups are of fingerprints, so rows without doc_id and rows that share one are grouped by their texts too. A row
     without doc_id stays only in a group where none has one, and one row of it.
     """
+    keep = Scratch(docs.sparkSession).keep
     version = F.xxhash64(F.col("text").cast("binary"))
     texts = docs.select(version.alias("doc_id"), F.col("text").cast("binary").alias("text"))
     marks = texts.mapInArrow(_fingerprints, "doc_id long, fp long").groupBy(F.col("doc_id").alias("version")).agg(F.min("fp").alias("fp"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), version.alias("version"))
     rows = docs.select(place.alias("place")).groupBy("place.version").agg(F.min("place").alias("place"))
-    marks = materialize(marks.join(rows, "version").groupBy("fp").agg(F.min("place").alias("place")))
-    groups = components(fingerprint_links(materialize(marks.select(F.col("fp").alias("id"), "fp")), dense_cell)).select(F.col("id").alias("fp"), "component")
+    marks = keep(marks.join(rows, "version").groupBy("fp").agg(F.min("place").alias("place")))
+    groups = components(fingerprint_links(keep(marks.select(F.col("fp").alias("id"), "fp")), dense_cell)).select(F.col("id").alias("fp"), "component")
     kept = marks.join(groups, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min("place").alias("place"))
-    kept = materialize(kept.select(F.col("place.id").alias("id"), F.col("place.version").alias("version")))
+    kept = keep(kept.select(F.col("place.id").alias("id"), F.col("place.version").alias("version")))
     own = docs.select(F.col("doc_id").cast("long").alias("own_id"), version.alias("own_version"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     own = own.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_version") == F.col("version")), "left_semi")
     return own.dropDuplicates(["own_id", "own_version"]).select("row.*")
