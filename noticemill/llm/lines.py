@@ -1,13 +1,22 @@
-"""Line dedup: line runs named by their hashes, later copies of repeated runs deleted.
+"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling, later copies of maximal runs deleted.
 
-later_copies, the rule of op5_line_runs and its SQL, names the runs of min_lines lines by doubling; with MIN_LINES = 2
-that is one round, a hash of each pair of lines. A round joins each name with the name as many lines further on in the
-same text; names that occur once leave before it. No suffix order and no intervals of common prefixes are computed.
-whole_copies, the rule of the pipeline's stage, names the shortest runs that count instead, which cover maximal runs.
+Doubling: a suffix begins at a line and is named by the rank of its first 1, 2, 4, ... lines among all such prefixes that
+occur more than once. A round joins each rank with the rank as many lines further on, sorts the distinct pairs that occur
+more than once by range and numbers them; suffixes without such a pair leave. It ends when no suffix is left.
+
+Intervals: suffixes with a common prefix are an interval of the suffix array, a node. Those that share no longer power
+of two stay in the node of their last rank, with the first suffix of each longer class for all of that class. Going
+down the powers, the members of a node that also share the next lines become a node of their own, and the first of
+them stays behind for them. The depth of the last node in which a suffix isn't the first is the longest prefix that it
+has in common with any suffix before it: its maximal run. Classes whose members all follow the same line are left
+out, since the runs from that line on hold theirs.
+
+Every step is a join or an aggregate by key: no class, text or array is held by one task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, line_hash
 
+#: A repeated run counts with so many lines and characters in all, blank ones without characters, or as one long line.
 MIN_LINES = 2
-#: A run counts only if one of its first min_lines lines has so many characters, so that blank lines are no run.
 MIN_CHARS = 30
-#: In without_repeated_lines a line of so many characters is a run by itself.
 ALONE_CHARS = 80
-_BASE = 0x9E3779B97F4A7C15
 _KEY = ["doc_id", "version", "n"]
 
 
@@ -30,131 +37,182 @@ def _lines(text: Column | str) -> Column:
     return F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct (doc_id, version, n): line n, from 0, of the text with that hash belongs to a later copy of a run."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(_lines("text")).alias("n", "line"))
-    single = materialize(own.select(*_KEY, F.xxhash64("line").alias("name"), F.length("line").alias("chars")))
-    named, size = single, 1
-    while size < min_lines:
-        shared = materialize(named.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
-        named = materialize(named.join(shared, "name", "left_semi"))
-        step = min(size, min_lines - size)  # the last round overlaps, to end at min_lines exactly
-        further = named.select("doc_id", "version", (F.col("n") - step).alias("n"), F.col("name").alias("next"), F.col("chars").alias("more"))
-        named = materialize(named.join(further, _KEY).select(*_KEY, F.xxhash64("name", "next").alias("name"), F.greatest("chars", "more").alias("chars")))
-        size += step
-    place = F.struct(*_KEY)
-    first = named.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first < end")
-    first = materialize(first.select("name", "first"))
-    later = named.where(F.col("chars") >= min_chars).join(first, "name").where(place > F.col("first"))
-    return later.select("doc_id", "version", F.explode(F.sequence("n", F.col("n") + (size - 1))).alias("n")).distinct()
-
-
-def windows(names: np.ndarray, chars: np.ndarray, min_chars: int = MIN_CHARS, alone_chars: int = ALONE_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, end, hash) of the shortest runs that count from each line on, and of the shortest that end at each line.
-
-    A run counts if it has MIN_LINES lines and min_chars characters in all, or is one line of alone_chars. Every line of
-    a run that counts is covered by one of these within it, so their later copies are those of the maximal runs.
-    """
-    n = len(names)
-    total, at = np.append(0, np.cumsum(chars)), np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + min_chars), at + MIN_LINES)
-    first = np.minimum(np.searchsorted(total, total[1:] - min_chars, side="right"), at + 2 - MIN_LINES) - 1
-    end, first = np.where(chars >= alone_chars, at + 1, end), np.where(chars >= alone_chars, at, first)
-    runs = np.concatenate((np.stack((at, end), axis=1)[end <= n], np.stack((first, at + 1), axis=1)[first >= 0]))
-    first, end = np.unique(runs, axis=0).T
-    powers, back = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-    # the difference of two sums is the polynomial of the lines between them, times the power at its first line
-    sums = np.append(np.uint64(0), np.cumsum(names * powers[:n], dtype=np.uint64))
-    return first, end, ((sums[end] - sums[first]) * back[first]) ^ ((end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, len(batch), 500):
-            part = batch.slice(at, 500)
-            found = [windows(names.values.to_numpy().view(np.uint64), chars.values.to_numpy().astype(np.int64)) for names, chars in zip(part.column(2), part.column(3))]
-            sizes = [len(x[0]) for x in found]
-            first, end, name = (np.concatenate(x) for x in zip(*found))
-            doc, version = (np.repeat(part.column(k).to_numpy(), sizes) for k in (0, 1))
-            columns = (doc, version, first.astype(np.int32), end.astype(np.int32), name.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "version", "n", "end", "name"])
+def _place() -> Column:
+    return F.struct(*_KEY)
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for firsts, ends in zip(batch.column(2), batch.column(3)):
-            first, end = firsts.values.to_numpy(), ends.values.to_numpy()
-            depth = np.bincount(first, minlength=end.max() + 1) - np.bincount(end, minlength=end.max() + 1)
-            rows.append(np.flatnonzero(np.cumsum(depth) > 0).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "version", "_gone"])
-
-
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, _gone): lines, from 0, of each text that belong to a later copy of a maximal run that counts."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), _lines("text").alias("lines"))
-    own = own.select("doc_id", "version", F.transform("lines", lambda x: F.xxhash64(x)).alias("names"), F.transform("lines", F.length).alias("chars"))
-    named = materialize(own.mapInArrow(_windows, "doc_id long, version long, n int, end int, name long"))
-    place = F.struct(*_KEY)
-    first = named.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    later = named.join(materialize(first.select("name", "first")), "name").where(place > F.col("first"))
-    later = later.groupBy("doc_id", "version").agg(F.collect_list("n").alias("firsts"), F.collect_list("end").alias("ends"))
-    return later.mapInArrow(_covered, "doc_id long, version long, _gone array<int>")
-
-
-def _stripped(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with its lines and the places of those that stay."""
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "_gone")
-    out = docs.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left")
-    out = out.withColumn("_lines", _lines("text")).withColumn("_gone", F.array_sort(F.coalesce("_gone", F.array().cast("array<int>"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    left = F.when(F.size("_gone") == 0, F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
+def _numbered(classes: DataFrame, *order: str) -> DataFrame:
+    """Adds rank, increasing in the order; equal ranks never occur."""
+    return classes.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
+
+
+def _ranked(scratch: Scratch, suffixes: DataFrame, names: list[str]) -> DataFrame:
+    """(key, left, rank, first, diverse) of the suffixes whose names several places share, stored.
+
+    first: whether it is the first of its class. diverse: whether its class doesn't always follow the same line.
+    """
+    shared = suffixes.groupBy(*names).agg(
+        F.min(_place()).alias("least"),
+        F.max(_place()).alias("most"),
+        (F.coalesce(F.min("left") < F.max("left"), F.lit(True)) | (F.count("left") < F.count("*"))).alias("diverse"),
     )
-    return out.withColumn("_left", left)
+    shared = scratch.keep(_numbered(shared.where("least < most"), *names).select(*names, "rank", "least", "diverse"))
+    out = scratch.keep(suffixes.join(shared, names).select(*_KEY, "left", shared["rank"].alias("rank"), (_place() == F.col("least")).alias("first"), "diverse"))
+    scratch.drop(shared)
+    return out
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """The suffixes that share their first 2^k lines with another one, for each k, ranked by these lines."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(_lines("text")).alias("n", "line"))
+    a, b = line_hash(F.col("line"))
+    single = scratch.keep(own.select(*_KEY, a.alias("a"), b.alias("b")))
+    shared = single.groupBy("a", "b").agg(F.min(_place()).alias("least"), F.max(_place()).alias("most")).where("least < most")
+    shared = scratch.keep(_numbered(shared, "a", "b").select("a", "b", "rank"))
+    named = scratch.keep(single.join(shared, ["a", "b"]).select(*_KEY, "rank").distinct())  # rows may repeat
+    scratch.drop(single, shared)
+    before = named.select("doc_id", "version", (F.col("n") + 1).alias("n"), F.col("rank").alias("left"))
+    followed = scratch.keep(named.join(before, _KEY, "left").withColumnRenamed("rank", "a"))
+    levels = [_ranked(scratch, followed, ["a"])]
+    scratch.drop(named, followed)
+    while not levels[-1].isEmpty():
+        last = levels[-1].select(*_KEY, "left", F.col("rank").alias("a"))
+        further = last.select("doc_id", "version", (F.col("n") - (1 << len(levels) - 1)).alias("n"), F.col("a").alias("b"))
+        both = scratch.keep(last.join(further, _KEY))
+        levels.append(_ranked(scratch, both, ["a", "b"]))
+        scratch.drop(both)
+    return levels[:-1]
+
+
+def _entering(levels: list[DataFrame], k: int) -> DataFrame:
+    """Members of the nodes of depth 2^k: suffixes that share no more lines by rank, and the first of each class that does."""
+    rows = levels[k].where("diverse")
+    if k + 1 < len(levels):
+        rows = rows.join(levels[k + 1].select(*_KEY, F.col("first").alias("more")), _KEY, "left").where("more is null or more")
+    return rows.select(F.lit(2 * k + 1).alias("kind"), F.col("rank").alias("node"), *_KEY, F.lit(1 << k).alias("depth"), "first")
+
+
+def maximal_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, version, n, length): runs of lines from line n on that also begin at an earlier place.
+
+    Of each place the longest such run is there, unless it lies within the run of the line before. Places are ordered by
+    (doc_id, hash of the text, line).
+    """
+    levels = suffix_ranks(docs, scratch)
+    runs, members = [], None
+    for k in reversed(range(len(levels))):
+        # the members of deeper nodes, split by the 2^k lines that follow
+        if members is not None:
+            at = levels[k].select("doc_id", "version", F.col("n").alias("at"), F.col("rank").alias("next"))
+            longer = members.withColumn("at", F.col("n") + F.col("depth")).join(at, ["doc_id", "version", "at"]).drop("at")
+            longer = scratch.keep(longer)
+            split = longer.groupBy("kind", "node", "next").agg(F.min(_place()).alias("least"), F.max(_place()).alias("most"))
+            split = scratch.keep(_numbered(split.where("least < most"), "kind", "node", "next").select("kind", "node", "next", "rank", "least"))
+            moved = scratch.keep(longer.join(split, ["kind", "node", "next"]).withColumn("first", _place() == F.col("least")).drop("next", "least"))
+            runs.append(scratch.keep(moved.where("not first").select(*_KEY, (F.col("depth") + (1 << k)).alias("length"))))
+            gone = moved.where("not first").select("kind", "node", *_KEY)
+            rest = members.join(gone, ["kind", "node", *_KEY], "left_anti")
+            deeper = moved.select(F.lit(2 * k).alias("kind"), F.col("rank").alias("node"), *_KEY, (F.col("depth") + (1 << k)).alias("depth"), "first")
+            members = rest.unionByName(deeper)
+            used = [longer, split, moved]
+        else:
+            used = []
+        entering = scratch.keep(_entering(levels, k))
+        runs.append(scratch.keep(entering.where("not first").select(*_KEY, F.col("depth").alias("length"))))
+        members = scratch.keep(entering if members is None else members.unionByName(entering))
+        alone = members.groupBy("kind", "node").agg(F.count("*").alias("size")).where("size > 1").select("kind", "node")
+        several = scratch.keep(members.join(alone, ["kind", "node"], "left_semi"))
+        scratch.drop(entering, members, *used)
+        members = several
+    if not runs:
+        return docs.sparkSession.createDataFrame([], "doc_id long, version long, n int, length int")
+    out = runs[0]
+    for more in runs[1:]:
+        out = out.union(more)
+    return out.groupBy(*_KEY).agg(F.max("length").alias("length"))
+
+
+def covered(chars: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each line lies in a run that counts, chars being the characters of each line."""
+    total = np.append(0, np.cumsum(chars))
+    whole = total[first + length] - total[first]
+    counts = (length >= MIN_LINES) & (whole >= MIN_CHARS) | (whole >= ALONE_CHARS)
+    depth = np.bincount(first[counts], minlength=len(chars) + 1) - np.bincount((first + length)[counts], minlength=len(chars) + 1)
+    return np.cumsum(depth)[:-1] > 0
+
+
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, n_lines, n_removed, n_runs, left) of (row, text, firsts, lengths); left is null if nothing is removed."""
+    for batch in batches:
+        rows = []
+        for text, firsts, lengths in zip(batch.column(1), batch.column(2), batch.column(3)):
+            parts = (text.as_py() or "").split("\n")
+            if firsts.as_py() is None:
+                rows.append((len(parts), 0, 0, None))
+                continue
+            gone = covered(np.fromiter(map(len, parts), np.int64, len(parts)), firsts.values.to_numpy(), lengths.values.to_numpy())
+            starts = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+            left = "\n".join(p for p, x in zip(parts, gone.tolist()) if not x) if starts else None
+            rows.append((len(parts), int(gone.sum()), starts, left))
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["row", "n_lines", "n_removed", "n_runs", "left"])
+
+
+def _stripped(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, n_lines, n_removed, n_runs, left), row being a struct of the named columns as c0, c1, ..."""
+    scratch = Scratch(docs.sparkSession)
+    runs = maximal_runs(docs, scratch).groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
+    runs = scratch.keep(runs.agg(F.collect_list("n").alias("_firsts"), F.collect_list("length").alias("_lengths")))
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    own = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), row.alias("row"), F.col("text").cast("string").alias("text"))
+    own = own.join(runs, (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_version")), "left").select("row", "text", "_firsts", "_lengths")
+    kind = own.schema["row"].dataType.simpleString()
+    return own.mapInArrow(_strip, f"row {kind}, n_lines long, n_removed long, n_runs long, left string")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs (maximal runs removed), kept_sha256 of each row of docs.
 
     Of equal runs the one with the least (doc_id, hash of the text, line) stays, wherever the others are, in the same
     text too. A null text counts as one empty line. Exact repeats of a row are one text and keep the same lines. Rows
     without doc_id keep all lines. An empty table gives no rows; other columns are not read.
     """
-    gone = later_copies(docs, min_lines, min_chars).groupBy("doc_id", "version").agg(F.collect_set("n").alias("_gone"))
-    out = _stripped(docs.select("doc_id", "text"), gone)
-    starts = F.size(F.filter(F.transform("_gone", lambda n, i: (i == 0) | (F.get("_gone", i - 1) < n - 1)), lambda x: x))
-    return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed"),
-        starts.cast("long").alias("n_runs"),
-        F.sha2("_left", 256).alias("kept_sha256"),
-    )
+    out = _stripped(docs, ["doc_id", "text"])
+    left = F.coalesce("left", F.col("row.c1").cast("string"), F.lit(""))
+    return out.select(F.col("row.c0").cast("long").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2(left, 256).alias("kept_sha256"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with later copies of line runs deleted from text and n_chars set anew; rows that lose all they had go.
+    """docs with later copies of line runs deleted from text, as in dedup_lines, and n_chars set anew.
 
-    Beyond dedup_lines, whose rule its SQL fixes, a line of ALONE_CHARS characters is a run by itself, and MIN_CHARS is
-    asked of a whole run, not of one of its lines.
+    Rows that lose all they had go; those that lose nothing stay as they are, also with null or empty texts and without
+    doc_id. Repeated rows stay as often. An empty table gives no rows.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # the other columns travel in one struct, whatever their names are
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("row"))
-    out = _stripped(packed, whole_copies(docs)).where((F.size("_gone") == 0) | (F.trim("_left") != ""))
-    whole = F.size("_gone") == 0
-    columns = {c: F.col("row")[f"c{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.when(whole, F.col("text")).otherwise(F.col("_left"))}
+    out = _stripped(docs, docs.columns).where("left is null or trim(left) <> ''")
+    columns = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)}
+    whole = F.col("left").isNull()
+    columns["text"] = F.when(whole, columns["text"]).otherwise(F.col("left"))
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(F.length("_left").cast(docs.schema["n_chars"].dataType))
+        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType))
     return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
+#: The same without runs of any length: shortest windows that count, from each line and to each line, cover all runs.
 ORACLE_SQL = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
-w AS (SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM l),
-r AS (SELECT *, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, n) AS k FROM w WHERE next IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, n + i AS n FROM r, (SELECT unnest([0, 1]) AS i) WHERE k > 1 AND greatest(length(line), length(next)) >= {MIN_CHARS}),
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+u AS (SELECT doc_id, unnest(a) AS line, unnest(range(0, len(a))) AS n FROM d),
+l AS (SELECT *, length(line) AS chars, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS upto FROM u),
+ends AS (SELECT doc_id, upto, min(n) AS n FROM l GROUP BY ALL),
+begins AS (SELECT doc_id, upto - chars AS below, max(n) AS n FROM l GROUP BY ALL),
+f AS (SELECT l.doc_id, l.n AS s, CASE WHEN l.chars >= {ALONE_CHARS} THEN l.n ELSE greatest(ends.n, l.n + {MIN_LINES - 1}) END AS e
+      FROM l ASOF LEFT JOIN ends ON l.doc_id = ends.doc_id AND l.upto - l.chars + {MIN_CHARS} <= ends.upto),
+b AS (SELECT l.doc_id, CASE WHEN l.chars >= {ALONE_CHARS} THEN l.n ELSE least(begins.n, l.n - {MIN_LINES - 1}) END AS s, l.n AS e
+      FROM l ASOF LEFT JOIN begins ON l.doc_id = begins.doc_id AND l.upto - {MIN_CHARS} >= begins.below),
+w AS (SELECT * FROM f UNION SELECT * FROM b),
+c AS (SELECT w.doc_id, s, e, array_to_string(a[s + 1:e + 1], chr(10)) AS run FROM w JOIN d ON w.doc_id = d.doc_id WHERE s >= 0 AND e < len(a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY run, e - s ORDER BY doc_id, s) AS k FROM c),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS n FROM r WHERE k > 1),
 x AS (SELECT l.doc_id, l.n, l.line, g.n IS NOT NULL AS gone, lag(g.n IS NOT NULL, 1, false) OVER (PARTITION BY l.doc_id ORDER BY l.n) AS before
       FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.n = g.n)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT before) AS n_runs,
