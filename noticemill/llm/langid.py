@@ -1,7 +1,9 @@
 """Word-first language ID: known words by their log frequency in each language, other words by character n-grams.
 
 A word that was learned scores by its frequency in each language. A word that wasn't backs off: to its known
-4-grams, else its known 3-grams, and so on to single characters. A text's score is the sum over its words.
+4-grams, else its known 3-grams, and so on to single characters. A text's score is the sum over its words; words of a
+text aren't independent, so the sums are divided by a temperature, the likeliest one for rows that weren't learned from,
+before they are turned into the posterior.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
 #: About so many labelled rows of each language are learned from, chosen by a hash of doc_id.
 ROWS_PER_LANGUAGE = 2500
 LONGEST = 4
+#: One in so many rows of the sample is set aside while the temperature is found, in languages of so many rows.
+CALIBRATING, CALIBRATING_FROM = 10, 20
+TEMPERATURES = tuple(2 ** (k / 2) for k in range(-2, 31))
 UNDETERMINED = "und"
 #: Scores an executor process remembers, one of each language for a word; only speed depends on it.
 REMEMBERED = 1_200_000
@@ -52,6 +55,7 @@ class Model:
     ends: np.ndarray  # a row's columns and gains end here, and the next row's begin
     columns: np.ndarray
     gains: np.ndarray
+    temperature: float = 1.0
     known: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -63,7 +67,7 @@ class Model:
         self.cache = np.zeros((self.room if self.languages else 1, len(self.languages)))
 
     def parts(self) -> tuple:
-        return self.languages, self.rows, self.floors, self.ends, self.columns, self.gains
+        return self.languages, self.rows, self.floors, self.ends, self.columns, self.gains, self.temperature
 
     def mean(self, n: int, rows: list[int]) -> np.ndarray:
         if self.dense is not None:
@@ -83,10 +87,11 @@ class Model:
                 return self.mean(n, found)
         return np.zeros(len(self.languages))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def total(self, text: str | None) -> np.ndarray | None:
+        """The sum over the words of a text for each language; null if it has no letter or nothing was learned."""
         words = words_of(text)
         if not self.languages or not any(c.isalpha() for w in words for c in w):
-            return UNDETERMINED, 0.0
+            return None
         total = np.zeros(len(self.languages))
         for begin in range(0, len(words), self.room):
             some = words[begin : begin + self.room]
@@ -102,8 +107,14 @@ class Model:
                             self.cache[k] = self.word(w)
                         at[i] = self.known[w]
             total += self.cache[at].sum(axis=0)
+        return total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        total = self.total(text)
+        if total is None:
+            return UNDETERMINED, 0.0
         best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return self.languages[best], float(1 / np.exp((total - total[best]) / self.temperature).sum())
 
 
 def build(counts: list[tuple[int, str, str, int]]) -> Model:
@@ -125,19 +136,19 @@ def build(counts: list[tuple[int, str, str, int]]) -> Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token counts by language of a partition."""
-    found: dict[str, Counter] = defaultdict(Counter)
+    """Token counts of a partition by language and whether the row is set aside."""
+    found: dict[tuple[str, bool], Counter] = defaultdict(Counter)
 
     def flush() -> pa.RecordBatch:
-        rows = [(lang, n, token, c) for lang, x in found.items() for (n, token), c in x.items()]
+        rows = [(*key, n, token, c) for key, x in found.items() for (n, token), c in x.items()]
         found.clear()
-        columns = list(zip(*rows)) if rows else [(), (), (), ()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "n", "token", "c"])
+        columns = list(zip(*rows)) if rows else [()] * 5
+        kinds = (pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "aside", "n", "token", "c"])
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = found[lang]
+        for lang, text, aside in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            own = found[lang, aside]
             for word, c in Counter(words_of(text.as_py())).items():
                 own[0, word] += c
                 for n in range(1, LONGEST + 1):
@@ -154,22 +165,50 @@ def is_held_out() -> Column:
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learn every token of a sample of the rows that aren't held out, bounded in each language; no language is left out."""
+    """Learn every token of a sample of the rows that aren't held out, bounded in each language; no language is left out.
+
+    The model comes to the driver and is broadcast: rows_per_language and the number of languages bound it.
+    """
     own = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.expr(f"least({_SCALE}, {rows_per_language * _SCALE} div n + 1)").alias("_share"))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.expr(f"least({_SCALE}, {rows_per_language * _SCALE} div n + 1)").alias("_share"), (F.col("n") >= CALIBRATING_FROM).alias("_many"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE))
     own = own.select("lang", F.col("text").cast("string").alias("text"), draw.alias("draw"))
-    sample = own.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).where("draw < _share").select("lang", "text")
-    tokens = sample.mapInArrow(_count, "lang string, n int, token string, c long")
-    totals = materialize(tokens.groupBy("n", "token", "lang").agg(F.sum("c").alias("c")))
-    return build(list(zip(*(x.to_pylist() for x in totals.select("n", "token", "lang", "c").toArrow().columns))))
+    sample = own.join(sizes, F.col("lang") == F.col("_lang")).where("draw < _share").select("lang", "text", (F.col("_many") & (F.col("draw") % CALIBRATING == 0)).alias("aside"))
+    tokens = sample.mapInArrow(_count, "lang string, aside boolean, n int, token string, c long")
+    totals = tokens.groupBy("n", "token", "lang").agg(F.sum("c").alias("c"), F.sum(F.when(~F.col("aside"), F.col("c"))).alias("part"))
+    counts = list(zip(*(x.to_pylist() for x in totals.toArrow().columns)))
+    without = build([(n, token, lang, part) for n, token, lang, _, part in counts if part])
+    model = build([x[:4] for x in counts])
+    model.temperature = _temperature(without, sample.where("aside").select("lang", "text"))
+    return model
+
+
+def _temperature(model: Model, rows: DataFrame) -> float:
+    """The temperature under which the rows' languages are likeliest; 1 if there is no row to tell."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.parts())
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        place = {lang: i for i, lang in enumerate(own.languages)}
+        loss = np.zeros(len(TEMPERATURES))
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total = own.total(text.as_py())
+                if total is not None and lang in place:
+                    below = (total - total.max()) / np.array(TEMPERATURES)[:, None]
+                    loss += np.log(np.exp(below).sum(axis=1)) - below[:, place[lang]]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(TEMPERATURES)), pa.int32()), pa.array(loss)], ["t", "loss"])
+
+    found = rows.mapInArrow(losses, "t int, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).collect()  # one row a temperature
+    best = min((r for r in found if r.loss > 0), key=lambda r: (r.loss, r.t), default=None)
+    return TEMPERATURES[best.t] if best else 1.0
 
 
 def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs; a prediction reads its text alone.
 
     lang_pred is a learned lang value, `und` with score 0 if the text is null or has no letter or nothing was
-    learned. score is the posterior of lang_pred among the learned languages. Ties go to the language that sorts
+    learned. score is the calibrated posterior of lang_pred among the learned languages. Ties go to the language that sorts
     first. Repeated rows come back as often; an empty table gives no rows; other columns are not read.
     """
     if model is None:
@@ -190,7 +229,11 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, model: Model | None = None) -> DataFrame:
-    """The rows of docs whose language is identified with a score of least_score or more; columns unchanged."""
+    """The rows of docs whose language is identified with a score of least_score or more; columns unchanged.
+
+    Rows with a null text or one without letters go, as nothing identifies them; repeated rows and rows without doc_id
+    are judged by their text alone. Where nothing can be learned no row stays. An empty table gives no rows.
+    """
     if model is None:
         model = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
