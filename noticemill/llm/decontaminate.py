@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 WINDOW = 10
 GRAM = 5
-#: Kept grams of the benchmark that are broadcast; with more of them the join shuffles.
-BROADCAST_ROWS = 100_000
+#: So many bytes of the benchmark's kept grams, with the words around them, are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 16_000_000
 _REACH = WINDOW - GRAM
 _PLACE = 28  # low bits that hold a gram's place in the text
 #: What parts words, A-Z being lower-cased or not yet.
@@ -36,7 +36,8 @@ def _hashed(texts: DataFrame) -> DataFrame:
     Hashes are of fully lower-cased words, which is fast and equal wherever words with A-Z lower-cased are equal; the
     words themselves are compared once hashes have met.
     """
-    return texts.withColumn("n", F.size("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    counted = F.when(F.size("words") < 1 << _PLACE, F.size("words")).otherwise(F.raise_error(F.lit(f"a text of 2^{_PLACE} words or more")))
+    return texts.withColumn("n", counted).withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
 
 
 def _places(count: Column) -> Column:
@@ -64,36 +65,39 @@ def _parted(picked: DataFrame) -> DataFrame:
     return picked.withColumn("gram", F.shiftright("pick", _PLACE)).withColumn("at", place).drop("pick")
 
 
-def _met(own: DataFrame, ours: DataFrame, theirs: DataFrame, offsets: range, bound: int) -> DataFrame:
+def _met(scratch: Scratch, own: DataFrame, ours: DataFrame, theirs: DataFrame, offsets: range, bound: int) -> DataFrame:
     """(doc_id, version, at, ours, item_id, theirs) of equal grams, with our words at the offsets, as a stored table.
 
     Stored, because a later condition on arrays would else move into the join, which then leaves code generation and
-    copies a text's words for each of its grams. theirs is broadcast up to bound rows; beyond, grams are shuffled
+    copies a text's words for each of its grams. theirs is broadcast up to bound bytes; beyond, grams are shuffled
     without the words, which are joined to what has met.
     """
     columns = ["doc_id", "version", "at", _around(offsets).alias("ours"), "item_id", "theirs"]
-    if theirs.count() <= bound:
-        return materialize(ours.join(F.broadcast(theirs), ["gram"]).select(*columns))
-    met = materialize(ours.select("doc_id", "version", "gram", "at").join(theirs, ["gram"]))
+    size = theirs.agg(F.sum(F.octet_length(F.concat_ws(" ", "theirs")) + 40 * F.size("theirs") + 100)).first()[0] or 0
+    if size <= bound:
+        return scratch.keep(ours.join(F.broadcast(theirs), ["gram"]).select(*columns))
+    met = scratch.keep(ours.select("doc_id", "version", "gram", "at").join(theirs, ["gram"]))
     texts = own.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "words").dropDuplicates(["_d", "_v"])
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("version").eqNullSafe(F.col("_v"))
-    return materialize(met.join(texts, same).select(*columns))
+    return scratch.keep(met.join(texts, same).select(*columns))
 
 
-def _whole(size: int):
-    return lambda i: F.struct(F.xxhash64(*(F.get("h", i + j) for j in range(size))).alias("gram"), i.alias("at"))
+def _short(size: int):
+    """Hash of the size words from a place on: one name for each size and each run of words."""
+    return lambda i: F.xxhash64(F.lit(size), *(F.get("h", i + j) for j in range(size)))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Distinct (doc_id, version, item_id, first, last): word places in a text that an item's windows cover.
 
     version is a hash of the text, so that rows which share a doc_id stay apart.
     """
+    scratch = Scratch(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
     items = _hashed(benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")))
     reach = range(-_REACH, WINDOW)
-    kept = materialize(_parted(_winnowed(items)).select("item_id", "gram", _around(reach).alias("theirs")).distinct())
-    found = _met(own, _parted(_winnowed(_hashed(own))), kept, reach, broadcast_rows)
+    kept = scratch.keep(_parted(_winnowed(items)).select("item_id", "gram", _around(reach).alias("theirs")).distinct())
+    found = _met(scratch, own, _parted(_winnowed(_hashed(own))), kept, reach, broadcast_bytes)
     equal = F.zip_with("ours", "theirs", lambda a, b: F.coalesce(a == b, F.lit(False)))
     found = found.select("doc_id", "version", "item_id", "at", equal.alias("same"))
     found = found.where(" and ".join(f"get(same, {_REACH + j})" for j in range(GRAM)))
@@ -102,23 +106,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     found = found.select("doc_id", "version", "item_id", (F.col("at") - before).alias("first"), (F.col("at") + after + (GRAM - 1)).alias("last"))
     out = found.where(F.col("last") - F.col("first") >= WINDOW - 1)
     few = items.where(f"n > 0 and n < {WINDOW}").withColumn("at", F.lit(0))
-    for size in sorted(r["n"] for r in few.select("n").distinct().collect()):  # nine at most
-        gram = F.xxhash64(*(F.get("h", F.lit(j)) for j in range(size)))
-        mine = few.where(F.col("n") == size).select("item_id", gram.alias("gram"), _around(range(size)).alias("theirs"))
-        ours = _hashed(own).withColumn("w", F.explode_outer(F.transform(_places(F.col("n") - (size - 1)), _whole(size))))
-        ours = ours.select("doc_id", "version", "words", F.col("w.gram").alias("gram"), F.col("w.at").alias("at"))
-        met = _met(own, ours, materialize(mine), range(size), broadcast_rows).where("ours = theirs")
-        out = out.union(met.select("doc_id", "version", "item_id", F.col("at").alias("first"), (F.col("at") + (size - 1)).alias("last")))
-    return out.distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    sizes = sorted(r["n"] for r in few.select("n").distinct().collect())  # nine at most
+    if not sizes:
+        return out.distinct()
+    # one pass over the texts for the windows of all these sizes
+    name = F.coalesce(*(F.when(F.col("n") == k, _short(k)(F.lit(0))) for k in sizes))
+    mine = scratch.keep(few.select("item_id", name.alias("gram"), _around(range(WINDOW - 1)).alias("theirs")))
+    window = lambda k: F.transform(_places(F.col("n") - (k - 1)), lambda i: F.struct(_short(k)(i).alias("gram"), i.alias("at")))
+    ours = _hashed(own).withColumn("w", F.explode_outer(F.concat(*map(window, sizes))))
+    ours = ours.select("doc_id", "version", "words", F.col("w.gram").alias("gram"), F.col("w.at").alias("at"))
+    met = _met(scratch, own, ours, mine, range(WINDOW - 1), broadcast_bytes)
+    met = met.withColumn("size", F.size(F.filter("theirs", lambda w: w.isNotNull())))
+    same = F.slice("ours", F.lit(1), F.col("size")) == F.slice("theirs", F.lit(1), F.col("size"))
+    met = met.where(same).select("doc_id", "version", "item_id", F.col("at").alias("first"), (F.col("at") + F.col("size") - 1).alias("last"))
+    return out.union(met).distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs.
 
     Null or empty texts have no words and no hits; rows that repeat come back as often; empty tables give no rows,
-    or no hits; only doc_id and text, item_id and text are read. Texts hold fewer than 2^28 words.
+    or no hits; only doc_id and text, item_id and text are read. A text of 2^28 words or more raises an error.
     """
-    found = materialize(hits(docs, benchmark, broadcast_rows))
+    found = Scratch(docs.sparkSession).keep(hits(docs, benchmark, broadcast_bytes))
     key = ["doc_id", "version"]
     covered = found.select(*key, F.explode(F.sequence("first", "last")).alias("at")).distinct()
     covered = covered.groupBy(key).agg(F.count("*").alias("n_hit"))
@@ -138,8 +148,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = B
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item's window occurs; columns unchanged."""
-    found = materialize(hits(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct())
+    """The rows of docs in which no item's window occurs; columns unchanged.
+
+    Rows with a null or empty text stay, as do repeated rows and rows without doc_id, each by its own text. An empty
+    benchmark drops nothing; an empty table gives no rows.
+    """
+    found = Scratch(docs.sparkSession).keep(hits(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct())
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & F.xxhash64(docs["text"]).eqNullSafe(found["_v"]), "left_anti")
 
 

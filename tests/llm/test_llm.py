@@ -39,6 +39,7 @@ APPLY = {
     "secrets": lambda d, s: secrets.secret_findings(d),
     "suffixes": lambda d, s: suffixes.drop_repeats(d),
     "lines": lambda d, s: lines.dedup_lines(d),
+    "embeddings": lambda d, s: embeddings.near_vectors(d.selectExpr("*", "doc_id as vec_id", "lang as label", "array(cast(length(text) as double), 1e-200, 2e200) as embedding")).withColumnRenamed("vec_id", "doc_id"),
     "langid": lambda d, s: langid.identify_languages(d),
     "decontaminate": lambda d, s: decontaminate.contamination(d, s.createDataFrame([(1, "one two"), (2, None), (3, "")], "item_id long, text string")),
     "simhash": lambda d, s: simhash.simhash_groups(d),
@@ -99,13 +100,44 @@ def test_sentence_spans_remove_all_but_first(spark):
     assert out[1].n_removed == 0 and out[3].n_removed == 0 and out[2].kept == "Start here. End."
 
 
-def test_secrets_ledger_is_incremental(spark, docs, texts):
-    _, first = secrets.scan_unseen(docs.where("doc_id < 100"))
-    paths, new = secrets.scan_unseen(docs, first)
-    seen = {sha(texts[d]) for d in texts if d < 100}
-    assert {r.blob for r in new.collect()} == {sha(t) for t in texts.values()} - seen
-    whole = {r.doc_id: tuple(r) for r in secrets.secret_findings(docs).collect()}
-    assert whole == {r.doc_id: tuple(r) for r in secrets.secret_findings(docs, first).collect()}
+def test_sentence_spans_are_those_of_every_run(spark):
+    """Against every run of two or more sentences with 20 or more words, texts in order of doc_id."""
+    rnd = random.Random(6)
+    pool = [" ".join(rnd.choice("abcdefgh") * 2 for _ in range(rnd.choice([1, 2, 4, 9, 22]))) + "." for _ in range(25)] + ["你好世界今天我们去公园散步。", "再见了我的朋友明天还要来。"]
+    rows = []
+    for d in range(30):
+        parts = [rnd.choice(pool) for _ in range(rnd.randint(0, 9))]
+        for _ in range(rnd.randint(0, 2)):
+            t = rnd.randrange(1 + len(parts))
+            src = rnd.choice(rows)[1] if rows else []
+            parts[t:t] = src[: rnd.randint(0, 6)]
+        rows.append((d, parts))
+    size = lambda s: len(s.split()) + sum("\u4e00" <= c <= "\u9fff" for c in s) // 2
+    seen, want = set(), {}
+    for d, parts in rows:
+        gone = set()
+        for i in range(len(parts)):
+            for e in range(i + 2, len(parts) + 1):
+                if sum(map(size, parts[i:e])) >= 20:
+                    if (run := tuple(parts[i:e])) in seen:
+                        gone |= set(range(i, e))
+                    seen.add(run)
+        want[d] = " ".join(p for n, p in enumerate(parts) if n not in gone)
+    found = {r.doc_id: " ".join(r.kept.split()) for r in sentences.drop_repeated_spans(spark.createDataFrame([(d, " ".join(p)) for d, p in rows], TEXTS)).collect()}
+    assert found == want
+
+
+def test_secrets_ledger_is_incremental(spark, docs, texts, tmp_path, monkeypatch):
+    at = str(tmp_path / "ledger")
+    rows = lambda: secrets.read_ledger(spark, at).collect()
+    some = secrets.secret_findings(docs.where("doc_id < 100"), at).count()
+    first = rows()
+    assert some == sum(d < 100 for d in texts) and {r.blob for r in first} == {sha(texts[d]) for d in texts if d < 100}
+    whole = {r.doc_id: tuple(r) for r in secrets.secret_findings(docs, at).collect()}
+    assert {r.blob for r in rows()} == {sha(t) for t in texts.values()}
+    size = spark.read.parquet(at).count()
+    assert whole == {r.doc_id: tuple(r) for r in secrets.secret_findings(docs, at).collect()} and spark.read.parquet(at).count() == size
+    assert whole == {r.doc_id: tuple(r) for r in secrets.secret_findings(docs).collect()}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for d, t in texts.items():
         found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
@@ -114,6 +146,27 @@ def test_secrets_ledger_is_incremental(spark, docs, texts):
         assert whole[d][4] == sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found)))
 
 
+def test_secrets_of_all_versions_of_a_path(spark, tmp_path, monkeypatch):
+    at, form = str(tmp_path / "ledger"), "path string, version long, text string"
+    old = [("a", 1, "token = abcdefghijkl"), ("a", 2, "nothing"), ("b", 1, "token = abcdefghijkl"), (None, None, None)]
+    found = lambda rows: sorted((str(r.path), r.version, r.n_assign) for r in secrets.secret_findings(spark.createDataFrame(rows, form), at, ["path", "version"]).collect())
+    assert found(old) == [("None", None, 0), ("a", 1, 1), ("a", 2, 0), ("b", 1, 1)]
+    assert spark.read.parquet(at).count() == 3
+    new = [*old, ("a", 3, "AKIA" + "Q" * 16), ("c", 1, "nothing")]
+    assert ("a", 3, 0) in found(new) and spark.read.parquet(at).count() == 4
+    monkeypatch.setattr(secrets, "RULE_VERSION", "next")
+    assert len(found(new)) == 6 and spark.read.parquet(at).count() == 8
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for t in ["-eyJaaaa" * 60_000, "ghp_" + "a" * 500_000 + "_", "password" + " " * 500_000, "eyJaaaaaaaa." * 50_000]:
+        secrets.find_secrets(t)
+    assert time.perf_counter() - began < 5
+
+
 def brute_repeats(rows):
     least, out = {}, {}
     for d, t in rows:
@@ -186,20 +239,44 @@ def test_line_runs_keep_the_first(spark):
     assert out == {1: (4, 0, 0, sha(rows[0][1])), 2: (3, 2, 1, sha("z")), 3: (2, 0, 0, sha(rows[2][1])), 4: (4, 0, 0, sha(rows[3][1]))}
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 5])
-def test_line_runs_of_any_length(spark, size):
-    rnd = random.Random(size)
-    rows = [(i, "\n".join(rnd.choice("ab") * 40 for _ in range(12))) for i in range(6)]
-    seen, want = set(), {}
+def brute_lines(rows):
+    """Lines that are left: every later copy of every run that counts is taken out."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        parts = t.split("\n")
+        total = [0]
+        for p in parts:
+            total.append(total[-1] + len(p))
+        gone = set()
+        for i in range(len(parts)):
+            for e in range(i + 1, len(parts) + 1):
+                chars = total[e] - total[i]
+                if (e - i >= 2 and chars >= 30) or chars >= 80:
+                    if (run := tuple(parts[i:e])) in seen:
+                        gone |= set(range(i, e))
+                    seen.add(run)
+        out[d] = "\n".join(p for n, p in enumerate(parts) if n not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_runs_of_any_length(spark, seed):
+    rnd = random.Random(seed)
+    line = lambda: rnd.choice(["", "", "ab", "a" * 9, "b" * 14, "c" * 31, "d" * 80, "e" * 12, f"own {rnd.random()}"])
+    runs = [[line() for _ in range(n)] for n in (3, 4, 7, 12, 21, 50)]
+    rows = []
+    for d in range(14):
+        parts = []
+        for _ in range(rnd.randint(0, 4)):
+            run = rnd.choice(runs)
+            a = rnd.choice([0, 0, rnd.randrange(len(run))])
+            parts += [*(line() for _ in range(rnd.randint(0, 3))), *run[a : rnd.choice([len(run), rnd.randint(a, len(run))])]]
+        rows.append((d, "\n".join(parts)))
+    rows += [(20, "\n" * 40), (21, "x" * 20 + "\n" * 70), (22, "\n".join(["ab"] * 33)), (23, "\n".join(["ab", "cd"] * 19)), (24, "\n".join(["ab"] * 9))]
+    out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, TEXTS)).collect()}
+    want = brute_lines(rows)
     for d, t in rows:
-        parts, gone = t.split("\n"), set()
-        for i in range(len(parts) - size + 1):
-            w = tuple(parts[i : i + size])
-            if w in seen:
-                gone |= set(range(i, i + size))
-            seen.add(w)
-        want[d] = len(gone)
-    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, TEXTS), size).collect()} == want
+        assert (out[d].kept_sha256, out[d].n_lines) == (sha(want[d]), t.count("\n") + 1), d
 
 
 def test_long_line_alone_is_a_run(spark):
@@ -217,29 +294,6 @@ def test_run_of_short_lines_counts_as_a_whole(spark):
     assert left == dict(rows) | {2: "three\nfour", 4: "seven"}
 
 
-def test_line_windows_cover_the_maximal_runs():
-    rnd = random.Random(8)
-    for _ in range(60):
-        chars = [rnd.choice([0, 0, 3, 9, 14, 31, 80]) for _ in range(9)]
-        texts = [[rnd.randrange(9) for _ in range(14)] for _ in range(3)]
-        texts[1][3:9] = texts[0][5:11]
-        seen, brute = [], []
-        for t in texts:
-            runs = [(i, e) for i in range(14) for e in range(i + 1, 15) if sum(chars[x] for x in t[i:e]) >= (30 if e - i > 1 else 80)]
-            hit = [(i, e) for i, e in runs if t[i:e] in seen or any(t[j : j + e - i] == t[i:e] for j in range(i))]
-            brute.append({n for i, e in hit for n in range(i, e)})
-            seen += [t[i:e] for i, e in runs]
-        known, found = set(), []
-        for t in texts:
-            got = sorted(zip(*(x.tolist() for x in lines.windows(np.array(t, np.uint64) + np.uint64(7), np.array([chars[x] for x in t])))))
-            gone = set()
-            for i, e, name in got:
-                gone |= set(range(i, e)) if name in known else set()
-                known.add(name)
-            found.append(gone)
-        assert found == brute
-
-
 def brute_links(vectors):
     n, own = len(vectors), [(i, k, np.asarray(v, float)) for i, k, v in vectors if k is not None and v and np.isfinite(v).all() and np.any(v)]
     root, count = {i: i for i, _, _ in vectors}, {i: 0 for i, _, _ in vectors}
@@ -272,6 +326,23 @@ def test_embeddings(spark):
     assert {r.vec_id: tuple(r[1:]) for r in embeddings.near_vectors(df).collect()} == brute_links(rows)
 
 
+def test_embeddings_of_any_scale(spark):
+    tiny, huge = 1e-200, 1e200
+    rows = [(1, 0, [tiny, tiny]), (2, 0, [tiny, tiny * 1.01]), (3, 0, [huge, huge]), (4, 0, [huge, 0.0]), (5, 0, [huge, -huge * 0.1]), (6, 0, [5e-324, 0.0]), (7, 0, [1.7e308, 1.7e308])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 7: (3, 1), 4: (2, 4), 5: (2, 4), 6: (2, 4)}
+
+
+def test_embeddings_meet_fewer_than_all(spark):
+    """Meetings in cells of unrelated vectors, at one and four times as many: fewer than all pairs, growing more slowly."""
+    rng, met = np.random.default_rng(9), []
+    for n in (500, 2000):
+        rows = [(i, 0, v) for i, v in enumerate(rng.standard_normal((n, 32)).tolist())]
+        classes = spark.createDataFrame(rows, "id long, label int, s array<double>")
+        met.append(embeddings.meetings(embeddings.place(classes, even=100)).count())
+    assert met[0] < 500 * 499 / 2 and met[1] < 2000 * 1999 / 4 and met[1] < 11 * met[0]
+
+
 def test_language_id_held_out(docs):
     out = langid.identify_languages(docs).collect()
     lang = {r.doc_id: r.lang for r in docs.collect()}
@@ -286,6 +357,44 @@ def test_language_id_backs_off():
     assert model.predict("123 !")[0] == "und" and model.predict(None) == ("und", 0.0)
 
 
+def test_language_id_scores_as_defined(spark, docs, texts):
+    """The score of each text by the formula: add-one smoothed log frequencies of words, else the mean over known n-grams."""
+    counts = {}
+    for r in docs.collect():
+        if r.lang and r.doc_id % 5:
+            for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+                for n in range(5):
+                    padded = w if n < 2 else f"<{w}>"
+                    for t in [w] if n == 0 else [padded[i : i + n] for i in range(len(padded) - n + 1)]:
+                        counts[n, t, r.lang] = counts.get((n, t, r.lang), 0) + 1
+    model = langid.build([(n, t, lang, c) for (n, t, lang), c in counts.items()])
+    langs = sorted({k[2] for k in counts})
+    known = {k[:2] for k in counts}
+    kinds = {n: sum(k[0] == n for k in known) for n in range(5)}
+    sums = {(n, x): sum(c for k, c in counts.items() if k[0] == n and k[2] == x) for n in range(5) for x in langs}
+    logp = lambda n, t, x: np.log((counts.get((n, t, x), 0) + 1) / (sums[n, x] + kinds[n]))
+    for d in sorted(texts)[:60]:
+        total = {x: 0.0 for x in langs}
+        for w in re.findall(r"[^\W\d_]+", texts[d].lower()[:3000]):
+            for n in (0, 4, 3, 2, 1):
+                padded = w if n < 2 else f"<{w}>"
+                own = [t for t in ([w] if n == 0 else [padded[i : i + n] for i in range(len(padded) - n + 1)]) if (n, t) in known]
+                if own:
+                    for x in langs:
+                        total[x] += sum(logp(n, t, x) for t in own) / len(own)
+                    break
+        found = model.total(texts[d][:3000])
+        assert found is None or np.allclose(found, [total[x] for x in langs])
+
+
+def test_language_id_score_is_calibrated(spark, docs):
+    model = langid.train(docs)
+    assert model.temperature in langid.TEMPERATURES and model.temperature > 1
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in langid.identify_languages(docs, model).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert abs(sum(r.score for r in held) / len(held) - sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held)) < 0.1
+
+
 def test_language_id_learns_small_and_many_languages(spark):
     letters = "abcdefghijklmnopqrst"
     word = lambda k: "".join(letters[k // 20**j % 20] for j in range(4))
@@ -315,7 +424,7 @@ def test_decontamination_both_joins_and_short_items(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [(1, f"so {item.upper()} end"), (2, "beta gamma delta epsilon zeta eta theta iota kappa. Lambda; no"), (3, "alpha beta gamma delta epsilon zeta eta theta iota kap"), (4, "say: Short-Item here"), (5, None)]
     items = spark.createDataFrame([(1, item), (2, "short item"), (3, "!")], "item_id long, text string")
-    for bound in (100, 0):
+    for bound in (1 << 20, 0):
         out = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(spark.createDataFrame(rows, TEXTS), items, bound).collect()}
         assert out == {1: (12, 1, True), 2: (10, 1, True), 3: (0, 0, False), 4: (2, 1, True), 5: (0, 0, False)}
 
@@ -366,10 +475,31 @@ def test_near_copies_without_and_with_repeated_ids(spark):
     assert sorted(left, key=str) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
 
 
-def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(200, 260)] + [(7, 7)]
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    stored, keep = [], common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df: stored.append(1) or keep(self, df))
+    edges = [(i, i + 1) for i in range(100, 10_100)] + [(50_000, i) for i in range(20_000, 20_060)] + [(7, 7)]
+    found = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert len(found) == 10_001 + 61 and all(found[i] == 100 for i in range(100, 10_101)) and all(found[i] == 20_000 for i in [50_000, *range(20_000, 20_060)])
+    assert len(stored) <= 2 + 3 * 20  # three tables a round
+
+
+def test_components_of_random_graphs(spark):
+    rnd = random.Random(1)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)]
+    root = list(range(400))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for u, v in edges:
+        p, q = sorted((find(u), find(v)))
+        root[q] = p
     found = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert all(found[i] == 100 for i in range(100, 141)) and all(found[i] == 200 for i in [500, *range(200, 260)])
+    assert found == {i: find(i) for e in edges if e[0] != e[1] for i in e}
+    assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_bpe_equals_the_library(texts):
@@ -390,7 +520,7 @@ def test_pipeline(spark, docs):
     left, names = docs, [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "line_dedup", "simhash_near_dedup", "decontaminate", "bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        left = common.materialize(stage(spark, left, SF))
+        left = common.Scratch(spark).keep(stage(spark, left, SF))
         assert left.columns == docs.columns and left.count() > 0
     groups = simhash.simhash_groups(left).collect()
     assert all(r.component_id == r.doc_id for r in groups)
@@ -404,5 +534,5 @@ def test_stages_keep_columns_of_any_name(spark, docs):
     names = ["_gone", "_left", "_d", "_v", "_kept", "row", "version", "n"]
     left = docs.withColumns({n: docs["source"] for n in names})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        left = common.materialize(stage(spark, left, SF))
+        left = common.Scratch(spark).keep(stage(spark, left, SF))
         assert left.columns == [*docs.columns, *names] and left.where(" or ".join(f"{n} <> source" for n in names)).isEmpty()
