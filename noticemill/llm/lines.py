@@ -41,11 +41,6 @@ def _place() -> Column:
     return F.struct(*_KEY)
 
 
-def _numbered(classes: DataFrame, *order: str) -> DataFrame:
-    """Adds rank, increasing in the order; equal ranks never occur."""
-    return classes.orderBy(*order).withColumn("rank", F.monotonically_increasing_id())
-
-
 def _ranked(scratch: Scratch, suffixes: DataFrame, names: list[str]) -> DataFrame:
     """(key, left, rank, first, diverse) of the suffixes whose names several places share, stored.
 
@@ -56,7 +51,8 @@ def _ranked(scratch: Scratch, suffixes: DataFrame, names: list[str]) -> DataFram
         F.max(_place()).alias("most"),
         (F.coalesce(F.min("left") < F.max("left"), F.lit(True)) | (F.count("left") < F.count("*"))).alias("diverse"),
     )
-    shared = scratch.keep(_numbered(shared.where("least < most"), *names).select(*names, "rank", "least", "diverse"))
+    ranked = shared.where("least < most").orderBy(*names).select(*names, F.monotonically_increasing_id().alias("rank"), "least", "diverse")
+    shared = scratch.keep(ranked)
     out = scratch.keep(suffixes.join(shared, names).select(*_KEY, "left", shared["rank"].alias("rank"), (_place() == F.col("least")).alias("first"), "diverse"))
     scratch.drop(shared)
     return out
@@ -68,7 +64,7 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     a, b = line_hash(F.col("line"))
     single = scratch.keep(own.select(*_KEY, a.alias("a"), b.alias("b")))
     shared = single.groupBy("a", "b").agg(F.min(_place()).alias("least"), F.max(_place()).alias("most")).where("least < most")
-    shared = scratch.keep(_numbered(shared, "a", "b").select("a", "b", "rank"))
+    shared = scratch.keep(shared.orderBy("a", "b").select("a", "b", F.monotonically_increasing_id().alias("rank")))
     named = scratch.keep(single.join(shared, ["a", "b"]).select(*_KEY, "rank").distinct())  # rows may repeat
     scratch.drop(single, shared)
     before = named.select("doc_id", "version", (F.col("n") + 1).alias("n"), F.col("rank").alias("left"))
@@ -78,9 +74,7 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     while not levels[-1].isEmpty():
         last = levels[-1].select(*_KEY, "left", F.col("rank").alias("a"))
         further = last.select("doc_id", "version", (F.col("n") - (1 << len(levels) - 1)).alias("n"), F.col("a").alias("b"))
-        both = scratch.keep(last.join(further, _KEY))
-        levels.append(_ranked(scratch, both, ["a", "b"]))
-        scratch.drop(both)
+        levels.append(_ranked(scratch, last.join(further, _KEY), ["a", "b"]))
     return levels[:-1]
 
 
@@ -99,37 +93,30 @@ def maximal_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     (doc_id, hash of the text, line).
     """
     levels = suffix_ranks(docs, scratch)
-    runs, members = [], None
+    stored: list[DataFrame] = []
     for k in reversed(range(len(levels))):
-        # the members of deeper nodes, split by the 2^k lines that follow
-        if members is not None:
-            at = levels[k].select("doc_id", "version", F.col("n").alias("at"), F.col("rank").alias("next"))
-            longer = members.withColumn("at", F.col("n") + F.col("depth")).join(at, ["doc_id", "version", "at"]).drop("at")
-            longer = scratch.keep(longer)
-            split = longer.groupBy("kind", "node", "next").agg(F.min(_place()).alias("least"), F.max(_place()).alias("most"))
-            split = scratch.keep(_numbered(split.where("least < most"), "kind", "node", "next").select("kind", "node", "next", "rank", "least"))
-            moved = scratch.keep(longer.join(split, ["kind", "node", "next"]).withColumn("first", _place() == F.col("least")).drop("next", "least"))
-            runs.append(scratch.keep(moved.where("not first").select(*_KEY, (F.col("depth") + (1 << k)).alias("length"))))
-            gone = moved.where("not first").select("kind", "node", *_KEY)
-            rest = members.join(gone, ["kind", "node", *_KEY], "left_anti")
-            deeper = moved.select(F.lit(2 * k).alias("kind"), F.col("rank").alias("node"), *_KEY, (F.col("depth") + (1 << k)).alias("depth"), "first")
-            members = rest.unionByName(deeper)
-            used = [longer, split, moved]
-        else:
-            used = []
-        entering = scratch.keep(_entering(levels, k))
-        runs.append(scratch.keep(entering.where("not first").select(*_KEY, F.col("depth").alias("length"))))
-        members = scratch.keep(entering if members is None else members.unionByName(entering))
-        alone = members.groupBy("kind", "node").agg(F.count("*").alias("size")).where("size > 1").select("kind", "node")
-        several = scratch.keep(members.join(alone, ["kind", "node"], "left_semi"))
-        scratch.drop(entering, members, *used)
-        members = several
-    if not runs:
+        members = _entering(levels, k)
+        if stored:
+            # members of the deeper nodes; a node with one member is done
+            alone = stored[-1].groupBy("kind", "node").agg(F.count("*").alias("size")).where("size > 1").select("kind", "node")
+            held = stored[-1].join(alone, ["kind", "node"], "left_semi").withColumn("at", F.col("n") + F.col("depth"))
+            # those that share the 2^k lines that follow with another one move on, and the first of them stays, too
+            following = levels[k].select("doc_id", "version", F.col("n").alias("at"), F.col("rank").alias("next"))
+            longer = held.join(following, ["doc_id", "version", "at"]).groupBy("kind", "node", "next").agg(F.min(_place()).alias("least"), F.max(_place()).alias("most"))
+            longer = scratch.keep(longer.where("least < most").select("kind", "node", "next", "least", F.monotonically_increasing_id().alias("name")))
+            tried = held.join(following, ["doc_id", "version", "at"], "left").join(longer, ["kind", "node", "next"], "left")
+            leads = _place() == F.col("least")
+            stays = F.struct("kind", "node", "depth", "first")
+            moves = F.struct(F.lit(2 * k).alias("kind"), F.col("name").alias("node"), (F.col("depth") + (1 << k)).alias("depth"), leads.alias("first"))
+            then = F.when(F.col("name").isNull(), F.array(stays)).when(leads, F.array(stays, moves)).otherwise(F.array(moves))
+            members = members.unionByName(tried.select(*_KEY, F.inline(then)))
+        stored.append(scratch.keep(members))
+    if not stored:
         return docs.sparkSession.createDataFrame([], "doc_id long, version long, n int, length int")
-    out = runs[0]
-    for more in runs[1:]:
+    out = stored[0]
+    for more in stored[1:]:
         out = out.union(more)
-    return out.groupBy(*_KEY).agg(F.max("length").alias("length"))
+    return out.where("not first").groupBy(*_KEY).agg(F.max("depth").alias("length"))
 
 
 def covered(chars: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -205,9 +192,9 @@ u AS (SELECT doc_id, unnest(a) AS line, unnest(range(0, len(a))) AS n FROM d),
 l AS (SELECT *, length(line) AS chars, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS upto FROM u),
 ends AS (SELECT doc_id, upto, min(n) AS n FROM l GROUP BY ALL),
 begins AS (SELECT doc_id, upto - chars AS below, max(n) AS n FROM l GROUP BY ALL),
-f AS (SELECT l.doc_id, l.n AS s, CASE WHEN l.chars >= {ALONE_CHARS} THEN l.n ELSE greatest(ends.n, l.n + {MIN_LINES - 1}) END AS e
+f AS (SELECT l.doc_id, l.n AS s, CASE WHEN l.chars >= {ALONE_CHARS} THEN l.n WHEN ends.n IS NOT NULL THEN greatest(ends.n, l.n + {MIN_LINES - 1}) END AS e
       FROM l ASOF LEFT JOIN ends ON l.doc_id = ends.doc_id AND l.upto - l.chars + {MIN_CHARS} <= ends.upto),
-b AS (SELECT l.doc_id, CASE WHEN l.chars >= {ALONE_CHARS} THEN l.n ELSE least(begins.n, l.n - {MIN_LINES - 1}) END AS s, l.n AS e
+b AS (SELECT l.doc_id, CASE WHEN l.chars >= {ALONE_CHARS} THEN l.n WHEN begins.n IS NOT NULL THEN least(begins.n, l.n - {MIN_LINES - 1}) END AS s, l.n AS e
       FROM l ASOF LEFT JOIN begins ON l.doc_id = begins.doc_id AND l.upto - {MIN_CHARS} >= begins.below),
 w AS (SELECT * FROM f UNION SELECT * FROM b),
 c AS (SELECT w.doc_id, s, e, array_to_string(a[s + 1:e + 1], chr(10)) AS run FROM w JOIN d ON w.doc_id = d.doc_id WHERE s >= 0 AND e < len(a)),
