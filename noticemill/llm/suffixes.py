@@ -2,12 +2,13 @@
 
 A window of MIN_BYTES bytes belongs to the block of its least GRAM-byte hash, so equal windows meet in one block,
 wherever they stand. Documents first exchange these hashes alone; only text around hashes that two documents share is
-sent on, as runs of windows with one least hash. A block sorts the suffixes that begin at its windows (each reaches to
-the end of its run), finds the longest common prefixes of neighbours and scans the intervals of common prefixes with a
-stack. The intervals of depth MIN_BYTES, the roots of the tree, hold all occurrences of each window, from which the
-least doc_id and so what is to be removed follow. For maximal repeats (repeat_groups) all runs are sent; the texts from
-windows whose copies differ on their left are then sorted whole, and intervals whose left bytes differ reported.
-What many documents of a task share is settled in the task: a string is sent once from it.
+sent on, as runs of windows with one least hash. A maximal repeat within a block begins at an open window: one whose
+copies differ on their left, or of which a copy begins its run. The suffixes from these windows (each reaches to the
+end of its run) are sorted, the longest common prefixes of neighbours found and their intervals scanned with a stack;
+intervals whose left bytes differ are the maximal repeat groups, each with all its occurrences. In drop_repeats every
+occurrence in a document other than the group's least goes; a repeat that runs through several blocks goes in pieces
+that overlap. For whole repeats (repeat_groups) all runs are sent; the texts from windows whose copies differ on their
+left are then sorted whole. What many documents of a task share is settled in the task: a string is sent once from it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 
 MIN_BYTES = 50
 GRAM = 20
+#: Bytes of text for each block, which a task holds whole; there are four blocks a partition at least.
+BLOCK_BYTES = 4_000_000
+_SPAN = MIN_BYTES - GRAM + 1  # windows that one string of GRAM bytes lies in
 _FLUSH_ENTRIES = 3_000_000
 _FLUSH_BYTES = 48_000_000
 _TABLE = np.random.default_rng(4).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -59,9 +63,16 @@ def least_hashes(x: np.ndarray, min_bytes: int = MIN_BYTES) -> np.ndarray:
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, window after the last, hash) of each run of windows with one least hash."""
+    """(first window, window after the last, hash) of each run of windows with one least hash.
+
+    Periodic texts, in which that string comes again and again, are cut so that no run has more windows than others.
+    """
     low = least_hashes(x)
     edges = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+    size = np.diff(np.append(edges, len(low)))
+    if size.max() > _SPAN:
+        offset = np.arange(len(low)) - np.repeat(edges, size)
+        edges = np.flatnonzero(offset % _SPAN == 0)
     return edges, np.append(edges[1:], len(low)), low[edges]
 
 
@@ -245,25 +256,49 @@ def enhanced_suffix_array(data: np.ndarray, starts: np.ndarray, reach: np.ndarra
     return order, lcp
 
 
-def interval_tree(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+def interval_tree(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, first, end) of the intervals of common prefixes of least bytes or more, children before parents."""
     stack: list[tuple[int, int]] = []
-    for i, depth in enumerate([*lcp.tolist(), 0]):
+    out: list[int] = []
+    at = np.flatnonzero(lcp >= least)
+    # between these the stack is empty
+    depths, places = lcp[at].tolist(), at.tolist()
+    last = -1
+    for i, depth in zip(places, depths):
+        if i != last + 1 and stack:
+            for length, begin in reversed(stack):
+                out += (length, begin, last + 1)
+            stack.clear()
         begin = i - 1
         while stack and stack[-1][0] > depth:
             length, begin = stack.pop()
-            yield length, begin, i
-        if depth >= least and (not stack or stack[-1][0] < depth):
+            out += (length, begin, i)
+        if not stack or stack[-1][0] < depth:
             stack.append((depth, begin))
+        last = i
+    for length, begin in reversed(stack):
+        out += (length, begin, last + 1)
+    length, first, end = np.array(out, np.int64).reshape(-1, 3).T
+    return length, first, end
+
 
+def _over(values: np.ndarray, first: np.ndarray, end: np.ndarray, reduce: np.ufunc) -> np.ndarray:
+    """reduce over values[first:end] of each interval."""
+    return reduce.reduceat(np.append(values, values[-1:]), np.stack((first, end), axis=1).ravel())[::2]
 
-def maximal_repeats(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, lefts: np.ndarray, least: int = MIN_BYTES, depth: int = 11) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, suffixes) of each repeat that neither side can be extended on: intervals whose left bytes differ."""
+
+def maximal_repeats(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, lefts: np.ndarray, least: int = MIN_BYTES, depth: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, length, first, end): repeats that can't be extended on both sides, occurrences order[first:end] each.
+
+    They are the intervals whose left bytes differ or are unknown, below 0. Suffixes reach 8 * depth bytes at most, as those of runs do.
+    """
     order, lcp = enhanced_suffix_array(data, starts, reach, depth)
-    for length, first, end in interval_tree(lcp, least):
-        own = order[first:end]
-        if len(set(lefts[own].tolist())) > 1 or (lefts[own] < 0).any():
-            yield length, own
+    length, first, end = interval_tree(lcp, least)
+    if not len(length):
+        return order, length, first, end
+    low, high = (_over(lefts[order], first, end, f) for f in (np.minimum, np.maximum))
+    diverse = (low != high) | (low < 0)
+    return order, length[diverse], first[diverse], end[diverse]
 
 
 def _unpacked(columns: list[list[bytes]]) -> list[np.ndarray]:
@@ -284,6 +319,21 @@ def _suffixes(columns: list[list[bytes]]):
     return data, doc, start, left, run, begin[run] + offset, size[run] - offset, offset
 
 
+def _open(data: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which windows have copies that differ on their left, or of which a left byte is unknown (below 0).
+
+    Copies are told by hash; windows that collide by chance can only become open, never closed.
+    """
+    name = _rolling(data, MIN_BYTES)[place]
+    order = np.argsort(name)
+    at = _groups(name[order])
+    size = np.diff(np.append(at, len(order)))
+    low, high = (f.reduceat(left[order], at) for f in (np.minimum, np.maximum))
+    out = np.zeros(len(place), bool)
+    out[order] = np.repeat((size > 1) & ((low != high) | (low < 0)), size)
+    return out
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, first, last): bytes that an earlier document has, last excluded."""
     for part, columns in _collected(batches):
@@ -292,21 +342,21 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = start, start + size
         else:
             data, docs, starts, _, run, place, reach, offset = _suffixes(columns)
-            order, lcp = enhanced_suffix_array(data, place, reach)
-            roots = np.flatnonzero(lcp < MIN_BYTES)  # the intervals of depth MIN_BYTES, single suffixes among them
-            size = np.diff(np.append(roots, len(order)))
-            owner = docs[run]
-            least = np.minimum.reduceat(owner[order], roots) if len(roots) else owner[:0]
-            hit = np.zeros(len(order), bool)
-            hit[order] = owner[order] > np.repeat(least, size)
-            at = np.flatnonzero(hit)
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (run[at[1:]] != run[at[:-1]])
-            head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(at))[: len(head)] - 1
-            first = starts[run[at[head]]] + offset[at[head]]
-            last = starts[run[at[tail]]] + offset[at[tail]] + MIN_BYTES
-            doc = docs[run[at[head]]]
+            left = np.where(offset == 0, -1, data[np.maximum(place - 1, 0)].astype(np.int16)).astype(np.int16)
+            own = np.flatnonzero(_open(data, place, left))
+            run, place, reach, begin, left = run[own], place[own], reach[own], starts[run[own]] + offset[own], left[own]
+            order, length, first, end = maximal_repeats(data, place, reach, left)
+            owner = docs[run][order]
+            least = _over(owner, first, end, np.minimum) if len(first) else owner[:0]
+            # the occurrences of all groups, those of the least document left out; of each suffix the longest
+            size = end - first
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+            later = owner[at] > np.repeat(least, size)
+            longest = np.zeros(len(order), np.int64)
+            np.maximum.at(longest, at[later], np.repeat(length, size)[later])
+            hit = np.flatnonzero(longest)
+            doc, first = owner[hit], begin[order[hit]]
+            last = first + longest[hit]
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(last)], ["doc_id", "first", "last"])
 
 
@@ -369,7 +419,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for window, (docs, starts, lefts, tails) in _collected(batches):
         order = sorted(range(len(tails)), key=tails.__getitem__)
         lcp = np.array([0] + [_common(tails[a], tails[b]) for a, b in zip(order, order[1:])], np.int64)
-        for k, (length, first, end) in enumerate(interval_tree(lcp, MIN_BYTES)):
+        for k, (length, first, end) in enumerate(zip(*(x.tolist() for x in interval_tree(lcp, MIN_BYTES)))):
             own = order[first:end]
             if len({lefts[i] for i in own}) > 1 or any(lefts[i] < 0 for i in own):
                 columns = ([f"{window}-{k}"] * len(own), [length] * len(own), [docs[i] for i in own], [starts[i] for i in own])
@@ -386,7 +436,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _runs_of_shared(own: DataFrame, settle: bool) -> tuple[DataFrame, int]:
     """Rows of _SEGMENTS, dealt and sorted by block, of all documents with a doc_id; the number of partitions."""
     partitions = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 4 * partitions
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(4 * partitions, -(-total // BLOCK_BYTES))
     deal = lambda df: df.repartition(partitions, "part").sortWithinPartitions("part")
     shared = deal(own.mapInArrow(_anchors(blocks), _EXCHANGE)).mapInArrow(_shared, "doc_id long, hash long")
     shared = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))

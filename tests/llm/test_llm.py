@@ -196,7 +196,8 @@ def test_interval_tree_finds_maximal_repeats():
         data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(40)), np.uint8)
         starts, raw = np.arange(len(data)), data.tobytes()
         lefts = np.concatenate(([-1], data[:-1].astype(np.int64)))
-        found = {(n, tuple(sorted(own.tolist()))) for n, own in suffixes.maximal_repeats(data, starts, len(data) - starts, lefts, 2)}
+        order, length, first, end = suffixes.maximal_repeats(data, starts, len(data) - starts, lefts, 2)
+        found = {(n, tuple(sorted(order[a:b].tolist()))) for n, a, b in zip(length.tolist(), first.tolist(), end.tolist())}
         want = set()
         for n in range(2, len(raw)):
             for w in {raw[i : i + n] for i in range(len(raw) - n + 1)}:
