@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from .extract import has_cpv, in_cpv_family
-from .text import any_phrase, classify_form, fold, matches, search_form
+from .text import any_phrase, bound, classify_form, fold, matches, search_form
 
 
 def _any_of_kind(kinds: Column, words: list[str]) -> Column:
@@ -17,14 +17,13 @@ def _any_of_kind(kinds: Column, words: list[str]) -> Column:
 def analyse(title: Column, text: Column, cpvs: Column, kinds: Column) -> Column:
     """Struct of a notice's relevance for architecture, with matches, exclusions and reasons."""
     whole = classify_form(F.concat_ws(" ", title, text))
-    found = F.struct(
-        *(matches(whole, words).alias(n) for n, words in (("explicit", L.EXPLICIT), ("action", L.DESIGN_ACTION), ("coordination", L.COORDINATION), ("exclusion", L.EXCLUSION), ("supervision", L.SUPERVISION), ("engineering", L.ENGINEERING))),
+    found = lambda t: F.struct(
+        *(matches(t, words).alias(n) for n, words in (("explicit", L.EXPLICIT), ("action", L.DESIGN_ACTION), ("coordination", L.COORDINATION), ("exclusion", L.EXCLUSION), ("supervision", L.SUPERVISION), ("engineering", L.ENGINEERING))),
         _any_of_kind(kinds, L.SERVICE_CONTRACTS).alias("service"),
         _any_of_kind(kinds, L.WORKS_CONTRACTS).alias("works"),
         F.coalesce(in_cpv_family(cpvs), F.lit(False)).alias("cpv"),
     )
-    # through a one-element array, so that the matches are computed once
-    return F.get(F.transform(F.array(found), _decide), F.lit(0))
+    return bound(bound(whole, found), _decide)
 
 
 def _decide(m: Column) -> Column:
@@ -48,24 +47,25 @@ def _decide(m: Column) -> Column:
 
 def worth_details(text: Column) -> Column:
     """Prefilter before details are looked up; text in search form."""
-    return (
-        any_phrase(text, L.STRONG_WORDS)
-        | any_phrase(text, L.PROJECT_WORDS)
-        | (any_phrase(text, L.BUILDING_WORDS) & any_phrase(text, L.SERVICE_WORDS))
-        | any_phrase(text, L.COMPETITION_WORDS)
-    )
+    return bound(text, lambda t: _worth(t) | any_phrase(t, L.COMPETITION_WORDS))
+
+
+def _worth(t: Column) -> Column:
+    return any_phrase(t, L.STRONG_WORDS) | any_phrase(t, L.PROJECT_WORDS) | (any_phrase(t, L.BUILDING_WORDS) & any_phrase(t, L.SERVICE_WORDS))
 
 
 def looks_relevant(cpv: Column, text: Column) -> Column:
-    whole = search_form(text)
-    return has_cpv(cpv) | any_phrase(whole, L.STRONG_WORDS) | any_phrase(whole, L.PROJECT_WORDS) | (any_phrase(whole, L.BUILDING_WORDS) & any_phrase(whole, L.SERVICE_WORDS))
+    return has_cpv(cpv) | bound(search_form(text), _worth)
 
 
 def _first_match(text: Column, table: dict[str, list[str]], other: str | None) -> Column:
-    out = F
-    for name, words in table.items():
-        out = out.when(any_phrase(text, words), name)
-    return out.otherwise(F.lit(other))
+    def first(t: Column) -> Column:
+        out = F
+        for name, words in table.items():
+            out = out.when(any_phrase(t, words), name)
+        return out.otherwise(F.lit(other))
+
+    return bound(text, first)
 
 
 def category(title: Column) -> Column:
@@ -84,7 +84,7 @@ def weighted_score(text: Column) -> Column:
     """Sum of the weights of the phrases in a text; PASS_SCORE passes."""
     table = F.array(*(F.struct(F.lit(k).alias("w"), F.lit(v).alias("n")) for k, v in L.WEIGHTS.items()))
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.aggregate(table, F.lit(0), lambda a, x: a + F.when(F.contains(low, x["w"]), x["n"]).otherwise(0))
+    return bound(low, lambda t: F.aggregate(table, F.lit(0), lambda a, x: a + F.when(F.contains(t, x["w"]), x["n"]).otherwise(0)))
 
 
 def state_label(state: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lexicon import MONTHS
-from .text import collapse, pstrip
+from .text import bound, collapse, pstrip
 
 _ISO = "yyyy-M-d"
 _DAY_FIRST = (r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4})$", "$4-$3-$1")
@@ -49,6 +49,19 @@ def state(end: Column, as_of: Column) -> Column:
     return F.coalesce(F.element_at(names, end >= as_of), F.lit("sem_prazo"))
 
 
+def dashboard_date(c: Column) -> Column:
+    """A text that begins as YYYY-MM-DD or as D-M-YYYY with - / or . between; months and days beyond their range carry over."""
+
+    def read(t: Column) -> Column:
+        part = lambda pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
+        iso, local = "^([0-9]{4})-([0-9]{2})-([0-9]{2})", "^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})"
+        year, month, day = (F.coalesce(part(iso, i), part(local, j)) for i, j in ((1, 3), (2, 2), (3, 1)))
+        year = F.when(year < 100, year + 1900).otherwise(year)
+        return F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1), day - 1)
+
+    return bound(pstrip(c), read)
+
+
 def formatted(c: Column) -> Column:
     """dd-MM-yyyy where a date is found, else the text with white space collapsed."""
     return F.coalesce(F.date_format(parse_date(c, "collector"), "dd-MM-yyyy"), collapse(c))

@@ -123,6 +123,18 @@ def cpv_list(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, r"\s*[;|]\s*"), pstrip), lambda x: x != ""))
 
 
+def cpv_entry(x: Column) -> Column:
+    """`code, description` of an entry that is a JSON object, else its text."""
+    part = lambda *keys: F.nullif(collapse(F.coalesce(*(F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in keys))), F.lit(""))
+    return F.when(F.startswith(F.ltrim(x), F.lit("{")), F.concat_ws(", ", part("code", "cpv", "id"), part("description", "name"))).otherwise(collapse(x))
+
+
+def cpv_entries(cpvs: Column) -> Column:
+    """Distinct texts of entries, blank ones dropped; none for null."""
+    texts = F.transform(F.coalesce(cpvs, F.array().cast("array<string>")), cpv_entry)
+    return F.array_distinct(F.filter(texts, lambda x: x != ""))
+
+
 def in_cpv_family(cpvs: Column, family: str = "712") -> Column:
     """Whether the digits of any entry begin with the family."""
     return F.exists(F.transform(cpvs, lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda c: F.startswith(c, F.lit(family)))

@@ -63,13 +63,18 @@ def phrases(words: list[str]) -> Column:
     return F.array(*map(F.lit, dict.fromkeys(words)))
 
 
+def bound(c: Column, f) -> Column:
+    """f of c, in which c is computed once, however often f reads it or runs a lambda over it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def any_phrase(c: Column, words: list[str]) -> Column:
-    return F.exists(phrases(words), lambda w: F.contains(c, w))
+    return bound(c, lambda t: F.exists(phrases(words), lambda w: F.contains(t, w)))
 
 
 def matches(c: Column, words: list[str]) -> Column:
     """The phrases that are in c, in the order of the list."""
-    return F.filter(phrases(words), lambda w: F.contains(c, w))
+    return bound(c, lambda t: F.filter(phrases(words), lambda w: F.contains(t, w)))
 
 
 def dedup_bullets(c: Column) -> Column:

@@ -76,6 +76,29 @@ def filled(column: str) -> Column:
     return F.col(column).isNotNull() & (F.trim(column) != "")
 
 
+def with_criteria() -> Column:
+    """Rows whose criteria can be cleaned."""
+    return F.col("criterio_resumo").isNotNull()
+
+
+def with_weight_as_name() -> Column:
+    """Rows in which the label of the weights was taken for a criterion; only A-Z folded, as LIKE does."""
+    return F.translate("criterio_resumo", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").like("ponderação%")
+
+
+def dashboard(as_of: Column, delivery: Column, service: Column, search: str = "", category: tuple[Column, str] | None = None, district: tuple[Column, str] | None = None, procedures: list[str] = (), services: list[str] = (), kind: str = "todos") -> Column:
+    """All filters of the dashboard at once."""
+    out = dashboard_search(search, "titulo", "entidade", "cpv", "tipo_procedimento")
+    for chosen in (category, district):
+        if chosen and chosen[1] not in ALL:
+            out = out & (chosen[0] == chosen[1])
+    return out & any_procedure(list(procedures)) & any_service(service, list(services)) & statistic(kind, as_of, delivery)
+
+
+def simple_list(search: str, state: str | None) -> Column:
+    return contains_text(search, "titulo", "entidade") & equals("estado", state)
+
+
 def statistic(kind: str, as_of: Column, delivery: Column) -> Column:
     """One of todos, ativos, novos, terminam, entidades."""
     return {

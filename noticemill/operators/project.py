@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.dates import deadline, formatted, parse_date, state
-from ..functions.extract import award_criteria, criteria_text, criteria_type, delivery_date
+from ..functions.extract import award_criteria, cpv_entries, criteria_text, criteria_type, delivery_date
 from ..functions.money import parse_price
 from ..functions.text import blank_to_null, collapse, joined, pstrip, search_form
 
@@ -47,9 +47,9 @@ def empty_to_null(df: DataFrame, name: str) -> Column:
 
 
 def overlay(listing: DataFrame, detail: DataFrame, key: str = "id") -> DataFrame:
-    """Left join; a detail's value wins unless it is null or empty. One detail for a key is assumed."""
+    """Left join; a detail's value wins unless it is null or empty. Of several details for a key the greatest value counts."""
     shared = [c for c in detail.columns if c in listing.columns and c != key]
-    own = detail.select(F.col(key).alias("_key"), *(empty_to_null(detail, c).alias(f"_{c}") for c in shared))
+    own = detail.groupBy(F.col(key).alias("_key")).agg(*(F.max(empty_to_null(detail, c)).alias(f"_{c}") for c in shared))
     out = listing.join(own, F.col(key) == F.col("_key"), "left")
     return out.select(*((F.coalesce(F.col(f"_{c}"), F.col(c)) if c in shared else F.col(c)).alias(c) for c in listing.columns))
 
@@ -62,13 +62,13 @@ def full_text(df: DataFrame) -> Column:
 
 def normalised(raw: DataFrame, portal: str = "https://portal.example.org/detalhe/") -> DataFrame:
     """Raw listing records as flat notices."""
-    cpvs = F.filter(F.transform(F.coalesce("cpvs", F.array().cast("array<string>")), collapse), lambda x: x != "")
+    cpvs = cpv_entries(F.col("cpvs"))
     kinds = F.array(collapse(F.col("contractType")), collapse(F.col("contractingProcedureType")))
     flat = raw.select(
         "*",
         first_filled(F.col("contractDesignation"), F.col("description")).alias("titulo"),
         entity_name(F.col("contractingEntities"), *map(F.col, ("contractingEntity", "entity", "entityName", "contractingEntityName"))).alias("entidade"),
-        F.array_join(F.array_distinct(cpvs), "; ").alias("cpv"),
+        F.array_join(cpvs, "; ").alias("cpv"),
     )
     return flat.select(
         F.col("id").alias("id_portal_base"),
@@ -78,7 +78,7 @@ def normalised(raw: DataFrame, portal: str = "https://portal.example.org/detalhe
         formatted(F.col("drPublicationDate")).alias("data"),
         blank_to_null(F.col("proposalDeadline")).alias("data_limite"),
         blank_to_null(F.col("basePrice")).alias("preco_base"),
-        F.array_distinct(cpvs).alias("cpvs"),
+        cpvs.alias("cpvs"),
         "cpv",
         F.array_distinct(F.filter(kinds, lambda x: x != "")).alias("tipos_contrato"),
         joined(F.array_distinct(kinds), "; ").alias("tipo_procedimento"),

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, dedup_bullets
 from ..schema import ENRICHED, STORED, align
+from .filters import with_criteria
+from .project import enriched
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key; rows with a blank key all stay."""
+    """The first row of each key by a column that tells rows apart; rows with a blank key all stay. Aggregated partially."""
     blank = F.lit(False)
     for k in keys:
         blank = blank | F.coalesce(F.trim(F.col(k).cast("string")) == "", F.lit(True))
-    first = F.row_number().over(Window.partitionBy(*keys, F.when(blank, F.col(order))).orderBy(order))
-    return df.withColumn("_n", first).where("_n = 1").drop("_n")
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.when(blank, F.col(order)).alias("_own"), F.struct(F.col(order)).alias("_order"), row.alias("_row"))
+    first = rows.groupBy(*names, "_own").agg(F.min_by("_row", "_order").alias("_row"))
+    return first.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def not_in(df: DataFrame, store: DataFrame, key: str = "link") -> DataFrame:
@@ -36,24 +42,30 @@ def append_new(store: DataFrame, new: DataFrame, key: str = "link") -> DataFrame
 def insert_new(store: DataFrame, new: DataFrame) -> DataFrame:
     """Store with the notices of new links, blank texts as null, relevant, ids going on after the greatest one.
 
-    Ids are dealt without a global sort: each partition of the new rows gets a range after a count of the partitions.
+    Of new notices that share a link the least one stays. Ids are dealt without a global sort: each bucket of links gets
+    a range after a count of the buckets, and its links theirs in order. All of it depends on the rows' values alone, so
+    that tasks which run again deal the same ids.
     """
-    fresh = not_in(keep_first(new.withColumn("_seq", F.monotonically_increasing_id()), ["link"], "_seq"), store).drop("_seq")
+    fresh = not_in(keep_first(new.withColumn("_seq", F.struct(*(c for c in STORED.names if c in new.columns))), ["link"], "_seq"), store).drop("_seq")
+    buckets = max(1024, 4 * int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = [f.name for f in STORED if f.dataType.typeName() == "string"]
     fresh = fresh.withColumns({c: blank_to_null(F.col(c)) for c in text if c in fresh.columns}).withColumn("relevante", F.lit(1))
     top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     by_link = F.row_number().over(Window.partitionBy("_bucket").orderBy("link"))
-    fresh = fresh.withColumn("_bucket", F.pmod(F.xxhash64("link"), F.lit(1024))).withColumn("_place", by_link)
-    sizes = fresh.groupBy("_bucket").agg(F.count("*").alias("_size"))  # 1024 rows at most
+    fresh = fresh.withColumn("_bucket", F.pmod(F.xxhash64("link"), F.lit(buckets))).withColumn("_place", by_link)
+    sizes = fresh.groupBy("_bucket").agg(F.count("*").alias("_size"))  # one row a bucket
     before = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_before"))
     fresh = fresh.join(F.broadcast(before), "_bucket").crossJoin(F.broadcast(top))  # one row
     return align(store).unionByName(align(fresh.withColumn("id", F.col("_top") + F.col("_before") + F.col("_place"))))
 
 
 def upsert(store: DataFrame, updates: DataFrame, key: str = "link", columns: list[str] | None = None) -> DataFrame:
-    """A new non-blank value wins, else the old one stays; rows of either side stay. One update for a key is assumed."""
+    """A new non-blank value wins, else the old one stays; rows of either side stay.
+
+    Of several updates for a key the greatest value of each column counts.
+    """
     given = [c for c in (columns or ENRICHED) if c in updates.columns and c in store.columns]
-    new = updates.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in updates.columns if c != key))
+    new = updates.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"), *(F.max(c).alias(f"_{c}") for c in updates.columns if c != key))
     out = store.join(new, F.col(key) == F.col("_key"), "full_outer")
 
     def value(c: str):
@@ -88,16 +100,47 @@ def backfill(store: DataFrame, details: DataFrame, limit: int | None = None) ->
     return after, counters
 
 
+def clean_criteria(store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(store with each part of the criteria's summary once, ids whose summary changed)."""
+    clean = F.when(with_criteria(), dedup_bullets(F.col("criterio_resumo")))
+    changed = store.where(~clean.eqNullSafe(F.col("criterio_resumo"))).select("id")
+    return store.withColumn("criterio_resumo", clean), changed
+
+
+def refresh_criteria(store: DataFrame, texts: DataFrame, text: str = "texto") -> DataFrame:
+    """Criteria read anew out of documents (id, text); rows without a document or without criteria in it keep theirs."""
+    columns = ["criterio_tipo", "criterio_resumo", "criterio_detalhe"]
+    return upsert(store, already_in(enriched(texts, text).select("id", *columns), store, "id"), "id", columns)
+
+
+def fill_delivery_dates(store: DataFrame, found: DataFrame) -> DataFrame:
+    """Delivery dates and gazette links of a checkpoint, by link, where it has them; links that aren't stored are left out."""
+    columns = ["data_entrega_propostas", "link_anuncio_dr"]
+    return upsert(store, already_in(found.select("link", *columns), store), "link", columns)
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema("version long, path string").json(f"{root.rstrip('/')}/_pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "version long, path string")
+
+
 def write_snapshot(df: DataFrame, root: str) -> str:
     """Write a new version, then point to it; earlier versions stay as backups. Returns the version's path."""
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    pointer = spark.createDataFrame([(path,)], "path string").coalesce(1)
-    pointer.write.mode("append").json(f"{root.rstrip('/')}/_pointers")
+    last = _versions(spark, root).agg(F.max("version")).first()[0] or 0
+    spark.createDataFrame([(last + 1, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/_pointers")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    latest = spark.read.schema("path string").json(f"{root.rstrip('/')}/_pointers").select("path", "_metadata.file_modification_time").orderBy(F.desc("file_modification_time")).first()
+    """The version of the greatest number; of two that were written at once the greater path, for all readers alike."""
+    latest = _versions(spark, root).agg(F.max(F.struct("version", "path")).alias("last")).first()["last"]
+    if latest is None:
+        raise FileNotFoundError(f"no snapshot in {root}")
     return spark.read.parquet(latest["path"])

@@ -29,6 +29,11 @@ def read_checkpoint(spark: SparkSession, path: str, schema: StructType, strict:
         return spark.createDataFrame([], schema)
 
 
+def write_notices(df: DataFrame, path: str) -> None:
+    """All results as JSON, one object a line, null fields kept."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
 def cleaned_payload(c: Column) -> Column:
     """A response body without parentheses around it, as VARIANT; null if it is no JSON object."""
     v = F.try_parse_json(F.regexp_replace(F.trim(c), r"(?s)^\((.*)\);?$", "$1"))

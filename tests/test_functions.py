@@ -60,6 +60,18 @@ def test_days_left_and_freshness(spark):
     assert column(spark, ["2026-03-09"], lambda c: dates.month_name(c.cast("date"))) == ["Março"]
 
 
+def test_dashboard_dates_begin_the_text(spark):
+    texts = ["2026-03-09T23:00", "9.3.2026 às 10h", "9/3/2026", "09-03-2026", "2026-02-30", "32.13.2026", "sem", None]
+    assert column(spark, texts, lambda c: dates.dashboard_date(c).cast("string")) == ["2026-03-09"] * 4 + ["2026-03-02", "2027-02-01", None, None]
+
+
+def test_texts_are_read_once(spark):
+    """However many phrases are looked for, the folding of the text stands once in the plan."""
+    plan = spark.createDataFrame([("x", "y")], "t string, k string").select(classify.analyse(F.col("t"), F.lit(""), F.array(F.lit("1")), F.array("k")).alias("a")).select("a.relevante", "a.motivos", "a.exclusoes")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("translate(") <= 3  # the text, and the kinds for services and works
+
+
 def test_folding_and_forms(spark):
     assert column(spark, ["Conceção N.º 1 ½ ﬁm"], lambda c: text.fold(c)) == ["Concecao N.º 1 ½ ﬁm"]
     assert column(spark, ["  Conceção, N.º 1 "], text.search_form) == ["concecao n o 1"]

@@ -51,11 +51,33 @@ def test_overlay_ignores_empty_but_not_zero(spark):
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "s")
     store.write_snapshot(base(spark), root)
-    import time
-
-    time.sleep(1.1)
     store.write_snapshot(base(spark).where("id = 1"), root)
     assert store.read_snapshot(spark, root).count() == 1
+    with pytest.raises(FileNotFoundError):
+        store.read_snapshot(spark, str(tmp_path / "none"))
+
+
+def test_several_updates_for_a_key_are_one(spark):
+    new = spark.createDataFrame([("l1", "5", None), ("l1", None, "d1"), ("l3", "7", "d"), ("l3", "8", None)], "link string, preco_base string, data_limite string")
+    rows = sorted((r.link, r.preco_base, r.data_limite) for r in store.upsert(base(spark), new).collect())
+    assert rows == [("l1", "5", "d1"), ("l2", None, "x"), ("l3", "8", "d")]
+    listing = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    assert sorted(map(tuple, project.overlay(listing, spark.createDataFrame([(1, "x"), (1, "y"), (2, "")], "id int, t string")).collect())) == [(1, "y"), (2, "b")]
+
+
+def test_criteria_and_delivery_dates_are_filled_in(spark):
+    df = align(spark.createDataFrame([(1, "a", "l1", "A 1 • A 1"), (2, "b", "l2", "B 2"), (3, "c", "l3", None)], "id long, titulo string, link string, criterio_resumo string"))
+    clean, changed = store.clean_criteria(df)
+    assert {r.id: r.criterio_resumo for r in clean.collect()} == {1: "A 1", 2: "B 2", 3: None} and [r.id for r in changed.collect()] == [1]
+    texts = spark.createDataFrame([(3, "Preço: 100%"), (2, "nada"), (9, "Preço: 100%")], "id long, texto string")
+    assert {r.id: (r.criterio_resumo, r.criterio_tipo) for r in store.refresh_criteria(clean, texts).collect()} == {1: ("A 1", None), 2: ("B 2", None), 3: ("Preço 100%", "Monofator")}
+    found = spark.createDataFrame([("l1", "05-07-2026", None), ("l9", "x", "y")], "link string, data_entrega_propostas string, link_anuncio_dr string")
+    assert {r.link: r.data_entrega_propostas for r in store.fill_delivery_dates(df, found).collect()} == {"l1": "05-07-2026", "l2": None, "l3": None}
+
+
+def test_results_are_written_whole(spark, tmp_path):
+    source.write_notices(base(spark), str(tmp_path / "out"))
+    assert spark.read.schema(STORED).json(str(tmp_path / "out")).count() == 2
 
 
 def test_pages_cover_the_list(spark):
@@ -69,10 +91,10 @@ def test_pages_cover_the_list(spark):
 
 
 def test_sources(spark, tmp_path):
-    item = {"id": "7", "contractDesignation": " Projeto ", "contractingEntities": [{"description": "A"}, {"description": "A"}], "drPublicationDate": "2026-07-03", "cpvs": ["71200000"]}
+    item = {"id": "7", "contractDesignation": " Projeto ", "contractingEntities": [{"description": "A"}, {"description": "A"}], "drPublicationDate": "2026-07-03", "cpvs": ["71200000", {"code": "71400000-2", "name": " Paisagismo "}, {"id": 5}, "71200000"]}
     (tmp_path / "page.json").write_text(json.dumps({"items": [item]}))
     row = project.normalised(source.read_notices(spark, str(tmp_path / "page.json"))).first()
-    assert (row.titulo, row.entidade, row.data, row.cpv) == ("Projeto", "A", "03-07-2026", "71200000")
+    assert (row.titulo, row.entidade, row.data, row.cpv) == ("Projeto", "A", "03-07-2026", "71200000; 71400000-2, Paisagismo; 5")
     bodies = spark.createDataFrame([('({"item": {"a": 1}})',), ('{"items": [{"a": 2}]}',), ("[1]",), ("x",)], "b string")
     out = bodies.select(F.to_json(source.unwrapped(source.cleaned_payload(F.col("b")))).alias("v"))
     assert [r.v for r in out.collect()] == ['{"a":1}', '{"a":2}', None, None]
