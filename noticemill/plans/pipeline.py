@@ -12,6 +12,7 @@ from ..functions.text import search_form
 from ..operators.aggregate import run_counters
 from ..operators.project import enriched, overlay
 from ..operators.store import already_in, insert_new, keep_first, not_in, upsert
+from ..schema import align
 from ..sources.notices import recent
 
 
@@ -34,5 +35,5 @@ def run(listing: DataFrame, details: DataFrame, store: DataFrame, as_of: Column,
     rows = classified(overlay(rows, details, config.key))
     relevant = enriched(rows.where("analise.relevante").drop("criterio_tipo", "criterio_resumo", "criterio_detalhe", "data_entrega_propostas"))
     counters = run_counters(rows, store)
-    updated = upsert(store, already_in(relevant, store))
+    updated = upsert(align(store), already_in(relevant, store))
     return insert_new(updated, not_in(relevant, store)), counters

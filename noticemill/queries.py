@@ -13,8 +13,9 @@ from .lexicon import BUILDING_WORDS, COMPETITION_WORDS, PROJECT_WORDS, SERVICE_W
 from . import lexicon as L
 from .operators import aggregate, filters, project, store
 from .plans import listing, pipeline, report
-from .sources.fixtures import AS_OF, DUCK_DETAILS, DUCK_NOTICES, details, notices
-from .streaming.ingest import ingest_distinct
+from .sources import notices as source
+from .sources.fixtures import AS_OF, DUCK_DETAILS, DUCK_NOTICES, RAW_SQL, details, notices, raw_notices
+from .streaming.ingest import ingest_distinct, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,9 +142,9 @@ def listing_search_term(spark, sf_dir):
     return listing.listing(notices(spark, sf_dir), _as_of(), 1, 100, search=" MUSEU ")[0]
 
 
-@query(_page("estado <> 'encerrado' AND contains(lower(coalesce(entidade, '')), 'an')", 1, 100))
+@query(_page("estado <> 'encerrado' AND contains(lower(coalesce(entidade, '')), 'ation_1')", 1, 100))
 def listing_entity_filter(spark, sf_dir):
-    return listing.listing(notices(spark, sf_dir), _as_of(), 1, 100, entity="AN")[0]
+    return listing.listing(notices(spark, sf_dir), _as_of(), 1, 100, entity=" Ation_1 ")[0]
 
 
 @query(_page("estado = 'aberto' AND relevante = 1 AND contains(lower(coalesce(tipo_procedimento, '')), 'prévia')", 1, 100))
@@ -178,9 +179,9 @@ def history_by_year(spark, sf_dir):
     return df.where(filters.in_period_by_year(F.col("data_publicacao"), _as_of(), "historico")).select("id", F.year("data_publicacao").cast("long").alias("ano"))
 
 
-@query("{T} SELECT id, coalesce(pub, DATE '1970-01-01') AS chave FROM t ORDER BY chave, id LIMIT 50")
+@query("{T} SELECT id, coalesce(pub, DATE '1970-01-01') AS chave FROM t")
 def oldest_first(spark, sf_dir):
-    df = listing.sorted_by_date(_typed(spark, sf_dir), newest=False).limit(50)
+    df = listing.sorted_by_date(_typed(spark, sf_dir), newest=False)
     return df.select("id", F.coalesce("data_publicacao", F.lit("1970-01-01").cast("date")).alias("chave"))
 
 
@@ -193,7 +194,7 @@ def numbered_rows(spark, sf_dir):
 # Statistics ------------------------------------------------------------------------------------------------------------
 
 
-@query("{T} SELECT count(*) AS total_concursos, count_if(relevante = 1) AS concursos_relevantes, count_if(trim(preco_base) <> '') AS com_preco, count_if(trim(data_limite) <> '') AS com_prazo FROM t")
+@query("{T} SELECT count(*) AS total_concursos, count(*) FILTER (WHERE relevante = 1) AS concursos_relevantes, count(*) FILTER (WHERE trim(preco_base) <> '') AS com_preco, count(*) FILTER (WHERE trim(data_limite) <> '') AS com_prazo FROM t")
 def statistics_summary(spark, sf_dir):
     return aggregate.statistics(notices(spark, sf_dir))
 
@@ -218,7 +219,7 @@ def entity_bars(spark, sf_dir):
     return aggregate.share_of_most(aggregate.top_values(notices(spark, sf_dir), "entidade", 5))
 
 
-@query("{T} SELECT count_if(preco_base <> '') AS com_preco, count_if(data_limite <> '') AS com_prazo FROM t")
+@query("{T} SELECT count(*) FILTER (WHERE preco_base <> '') AS com_preco, count(*) FILTER (WHERE data_limite <> '') AS com_prazo FROM t")
 def presence_counts(spark, sf_dir):
     return aggregate.presence(notices(spark, sf_dir))
 
@@ -229,7 +230,7 @@ def period_list(spark, sf_dir):
 
 
 @query(
-    "{T}, a AS (SELECT count_if(pub >= DATE '2001-06-01' AND pub < DATE '2001-07-01') AS atual, count_if(pub >= DATE '2001-05-01' AND pub < DATE '2001-06-01') AS anterior FROM t) "
+    "{T}, a AS (SELECT count(*) FILTER (WHERE pub >= DATE '2001-06-01' AND pub < DATE '2001-07-01') AS atual, count(*) FILTER (WHERE pub >= DATE '2001-05-01' AND pub < DATE '2001-06-01') AS anterior FROM t) "
     "SELECT 'Junho' AS mes, atual, anterior, round((atual - anterior) * 100.0 / nullif(anterior, 0), 6) AS variacao FROM a"
 )
 def month_comparison(spark, sf_dir):
@@ -237,7 +238,7 @@ def month_comparison(spark, sf_dir):
     return out.select("mes", "atual", "anterior", F.round("variacao", 6).alias("variacao"))
 
 
-_MONTHLY = "m AS (SELECT CAST(date_trunc('month', pub) AS DATE) AS mes, count(*) AS total, count(DISTINCT nullif(trim(entidade), '')) AS entidades, count(preco) AS com_preco, CAST(CAST(sum(preco) AS DECIMAL(38,6)) AS VARCHAR) AS valor_total, count_if(trim(data_limite) <> '') AS com_prazo, count_if(estado = 'aberto') AS abertos FROM t WHERE pub IS NOT NULL GROUP BY 1)"
+_MONTHLY = "m AS (SELECT CAST(date_trunc('month', pub) AS DATE) AS mes, count(*) AS total, count(DISTINCT nullif(trim(entidade), '')) AS entidades, count(preco) AS com_preco, CAST(CAST(sum(preco) AS DECIMAL(38,6)) AS VARCHAR) AS valor_total, count(*) FILTER (WHERE trim(data_limite) <> '') AS com_prazo, count(*) FILTER (WHERE estado = 'aberto') AS abertos FROM t WHERE pub IS NOT NULL GROUP BY 1)"
 
 
 @query("{T}, " + _MONTHLY + " SELECT * FROM m")
@@ -291,7 +292,7 @@ def freshness_badge(spark, sf_dir):
     return _typed(spark, sf_dir).select("id", dates.freshness(F.col("data_publicacao"), _as_of()).alias("selo"))
 
 
-@query(f"{{T}} SELECT count(*) AS todos, count_if(estado = 'aberto') AS ativos, count_if(pub BETWEEN {_DAY} - 6 AND {_DAY}) AS novos, count_if(CAST({_DELIVERY} AS DATE) BETWEEN {_DAY} AND {_DAY} + 7) AS terminam, count(DISTINCT nullif(trim(entidade), '')) AS entidades FROM t")
+@query(f"{{T}} SELECT count(*) AS todos, count(*) FILTER (WHERE estado = 'aberto') AS ativos, count(*) FILTER (WHERE pub BETWEEN {_DAY} - 6 AND {_DAY}) AS novos, count(*) FILTER (WHERE CAST({_DELIVERY} AS DATE) BETWEEN {_DAY} AND {_DAY} + 7) AS terminam, count(DISTINCT nullif(trim(entidade), '')) AS entidades FROM t")
 def dashboard_counts(spark, sf_dir):
     return listing.dashboard_counts(_with_delivery(spark, sf_dir), _as_of(), F.col("entrega_ts"))
 
@@ -309,12 +310,12 @@ def service_of_title(spark, sf_dir):
     return notices(spark, sf_dir).select("id", classify.service(F.col("titulo"), F.col("tipo_procedimento")).alias("servico"))
 
 
-_C = (
-    "{T}, c0 AS (SELECT id, " + _fold("trim(titulo)") + " AS x, contains(coalesce(cpv, ''), '712') AS cpv_712, " + _fold("coalesce(tipo_procedimento, '')") + " AS k FROM t), "
+_C_REST = (
     "c1 AS (SELECT *, " + ", ".join(f"{_hits('x', w)} AS {n}" for n, w in (("ex", L.EXPLICIT), ("ac", L.DESIGN_ACTION), ("co", L.COORDINATION), ("xc", L.EXCLUSION), ("su", L.SUPERVISION), ("en", L.ENGINEERING))) + ", "
     "contains(k, 'aquisicao de servicos') OR contains(k, 'prestacao de servicos') AS serv, contains(k, 'empreitada') AS empr FROM c0), "
-    "c2 AS (SELECT *, cpv_712 AND (len(ac) > 0 OR len(co) > 0) AS por_cpv, len(xc) > 0 OR len(su) > 0 AS bloq, len(en) > 0 AND len(ex) = 0 AS isol FROM c1) "
+    "c2 AS (SELECT *, cpv_712 AND (len(ac) > 0 OR len(co) > 0) AS por_cpv, len(xc) > 0 OR len(su) > 0 AS bloq, len(en) > 0 AND len(ex) = 0 AS isol FROM c1)"
 )
+_C = "{T}, c0 AS (SELECT id, " + _fold("trim(titulo)") + " AS x, contains(coalesce(cpv, ''), '712') AS cpv_712, " + _fold("coalesce(tipo_procedimento, '')") + " AS k FROM t), " + _C_REST + " "
 
 
 @query(_C + "SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS relevante, serv AS aquisicao_servicos, empr AS empreitada FROM c2")
@@ -339,7 +340,11 @@ def _some(c: str, words: list[str]) -> str:
 _SEARCH = "trim(regexp_replace(replace(replace(strip_accents(lower({0})), 'º', 'o'), 'ª', 'a'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("{T}, s AS (SELECT id, " + _SEARCH.format("titulo") + " AS x FROM t) SELECT id, " + f"{_some('x', STRONG_WORDS)} OR {_some('x', PROJECT_WORDS)} OR ({_some('x', BUILDING_WORDS)} AND {_some('x', SERVICE_WORDS)}) OR {_some('x', COMPETITION_WORDS)} AS consultar FROM s")
+def _worth(c: str) -> str:
+    return f"({_some(c, STRONG_WORDS)} OR {_some(c, PROJECT_WORDS)} OR ({_some(c, BUILDING_WORDS)} AND {_some(c, SERVICE_WORDS)}) OR {_some(c, COMPETITION_WORDS)})"
+
+
+@query("{T}, s AS (SELECT id, " + _SEARCH.format("titulo") + " AS x FROM t) SELECT id, " + _worth("x") + " AS consultar FROM s")
 def phrase_prefilter(spark, sf_dir):
     return notices(spark, sf_dir).select("id", classify.worth_details(text.search_form(F.col("titulo"))).alias("consultar"))
 
@@ -392,7 +397,7 @@ def document_phrase_hits(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(text.matches(F.lower("text"), _PHRASES), "|").alias("frases"))
 
 
-@query("{T} SELECT id, CASE WHEN id % 90 = 100 - id % 90 THEN 'Multifator' ELSE 'Multifator' END AS criterio_tipo, concat('Qualidade ', id % 90, '% • Preço ', 100 - id % 90, '%') AS criterio_resumo FROM t")
+@query("{T} SELECT id, 'Multifator' AS criterio_tipo, concat('Qualidade ', id % 90, '% • Preço ', 100 - id % 90, '%') AS criterio_resumo FROM t")
 def award_criteria(spark, sf_dir):
     return project.enriched(notices(spark, sf_dir)).select("id", "criterio_tipo", "criterio_resumo")
 
@@ -422,10 +427,10 @@ def _orders_customers(spark, sf_dir):
     return customers, spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "k")
 
 
-@query("SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 490000)")
 def anti_join_new(spark, sf_dir):
     customers, orders = _orders_customers(spark, sf_dir)
-    return store.not_in(customers, orders, "k").select("k", "c_name")
+    return store.not_in(customers, orders.where("o_totalprice > 490000"), "k").select("k", "c_name")
 
 
 @query("SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -434,10 +439,10 @@ def semi_join_existing(spark, sf_dir):
     return store.already_in(customers, orders, "k").select("k", "c_name")
 
 
-@query("{T} SELECT id, estado FROM t WHERE id % 11 = 0")
+@query("{T} SELECT id, estado FROM t WHERE id IN (SELECT event_id FROM events)")
 def favourites_semi(spark, sf_dir):
-    df = _typed(spark, sf_dir)
-    return df.join(df.where("id % 11 = 0").select("id"), "id", "left_semi").select("id", "estado")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return store.already_in(_typed(spark, sf_dir), events.select(F.col("event_id").alias("id")), "id").select("id", "estado")
 
 
 @query("{T} SELECT t.id, coalesce(nullif(d.titulo, ''), t.titulo) AS titulo, coalesce(nullif(d.preco_base, ''), t.preco_base) AS preco_base, coalesce(nullif(d.data_limite, ''), t.data_limite) AS data_limite FROM t LEFT JOIN details d ON t.id = d.id")
@@ -464,23 +469,201 @@ def pending_backlog(spark, sf_dir):
     return store.pending(notices(spark, sf_dir), 100).select("id", "link")
 
 
-@query("{T}, p AS (SELECT * FROM t WHERE trim(coalesce(data_limite, '')) = '' OR trim(coalesce(preco_base, '')) = '') SELECT count(*) AS analisados, count(nullif(trim(d.preco_base), '')) AS com_preco, count(nullif(trim(d.data_limite), '')) AS com_prazo, count_if(nullif(trim(d.preco_base), '') IS NULL AND nullif(trim(d.data_limite), '') IS NULL) AS sem_dados FROM p LEFT JOIN details d ON p.link = d.link")
+@query("{T}, p AS (SELECT * FROM t WHERE trim(coalesce(data_limite, '')) = '' OR trim(coalesce(preco_base, '')) = '') SELECT count(*) AS analisados, count(nullif(trim(d.preco_base), '')) AS com_preco, count(nullif(trim(d.data_limite), '')) AS com_prazo, count(*) FILTER (WHERE nullif(trim(d.preco_base), '') IS NULL AND nullif(trim(d.data_limite), '') IS NULL) AS sem_dados FROM p LEFT JOIN details d ON p.link = d.link")
 def backfill_counters(spark, sf_dir):
     df = notices(spark, sf_dir)
     return store.backfill(df, details(df))[1]
 
 
-@query(_C + ", r AS (SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS rel FROM c2) SELECT count(*) AS analisados, count_if(rel) AS relevantes, count_if(NOT rel) AS excluidos, count_if(rel AND id % 4 <> 0) AS novos, count_if(rel AND id % 4 = 0) AS existentes FROM r")
+@query(_C + ", r AS (SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS rel FROM c2) SELECT count(*) AS analisados, count(*) FILTER (WHERE rel) AS relevantes, count(*) FILTER (WHERE NOT rel) AS excluidos, count(*) FILTER (WHERE rel AND id % 4 <> 0) AS novos, count(*) FILTER (WHERE rel AND id % 4 = 0) AS existentes FROM r")
 def run_counters(spark, sf_dir):
     df = notices(spark, sf_dir)
     return aggregate.run_counters(pipeline.classified(df), df.where("id % 4 = 0"))
 
 
-@query()
+_RUN = (
+    "{T}, l AS (SELECT t.* EXCLUDE (titulo, preco_base, data_limite), t.titulo AS seen, coalesce(nullif(d.titulo, ''), t.titulo) AS titulo, coalesce(nullif(d.preco_base, ''), t.preco_base) AS preco_base, "
+    f"coalesce(nullif(d.data_limite, ''), t.data_limite) AS data_limite FROM t LEFT JOIN details d ON t.id = d.id WHERE pub IS NULL OR pub >= {_DAY} - 3650), "
+    "p AS (SELECT *, " + _SEARCH.format("concat_ws(' ', seen, entidade, cpv, tipo_procedimento)") + " AS form FROM l), "
+    "c0 AS (SELECT *, " + _fold("trim(titulo)") + " AS x, contains(coalesce(cpv, ''), '712') AS cpv_712, " + _fold("coalesce(tipo_procedimento, '')") + f" AS k FROM p WHERE {_worth('form')}), " + _C_REST
+    + ", r AS (SELECT *, concat('Qualidade ', id % 90, '% • Preço ', 100 - id % 90, '%') AS resumo, CASE id % 3 WHEN 0 THEN '05-07-2001 17:00' WHEN 1 THEN '09-07-2001' END AS entrega FROM c2 "
+    "WHERE serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol), "
+    "old AS (SELECT t.id, t.link, t.titulo, coalesce(nullif(trim(r.preco_base), ''), t.preco_base) AS preco_base, coalesce(nullif(trim(r.data_limite), ''), t.data_limite) AS data_limite, r.resumo AS criterio_resumo, r.entrega AS data_entrega_propostas "
+    "FROM t LEFT JOIN r ON t.link = r.link WHERE t.id % 2 = 0), "
+    "new AS (SELECT nullif(trim(titulo), '') AS titulo, link, nullif(trim(preco_base), '') AS preco_base, nullif(trim(data_limite), '') AS data_limite, resumo AS criterio_resumo, entrega AS data_entrega_propostas FROM r WHERE id % 2 = 1) "
+)
+_RUN_COLUMNS = ["titulo", "link", "preco_base", "data_limite", "criterio_resumo", "data_entrega_propostas"]
+
+
+@query(_RUN + f"SELECT {', '.join(_RUN_COLUMNS)} FROM old UNION ALL SELECT {', '.join(_RUN_COLUMNS)} FROM new")
 def daily_run(spark, sf_dir):
-    """The whole daily run against a store that holds every other notice; SQL covers its parts above."""
+    """The whole daily run against a store that holds every other notice."""
+    df = notices(spark, sf_dir)
+    return pipeline.run(df, details(df), df.where("id % 2 = 0"), _as_of(), pipeline.Config(days=3650))[0].select(*_RUN_COLUMNS)
+
+
+@query(_RUN + "SELECT count(*) AS analisados, count(*) FILTER (WHERE relevante_) AS relevantes, count(*) FILTER (WHERE NOT relevante_) AS excluidos, count(*) FILTER (WHERE relevante_ AND id % 2 = 1) AS novos, count(*) FILTER (WHERE relevante_ AND id % 2 = 0) AS existentes FROM (SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS relevante_ FROM c2)")
+def daily_run_counters(spark, sf_dir):
+    df = notices(spark, sf_dir)
+    return pipeline.run(df, details(df), df.where("id % 2 = 0"), _as_of(), pipeline.Config(days=3650))[1]
+
+
+# Raw records ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "{T}, r AS (SELECT " + RAW_SQL + " FROM t) SELECT r.id AS id_portal_base, coalesce(nullif(trim(contractDesignation), ''), nullif(trim(description), ''), 'Sem título') AS titulo, "
+    "CASE WHEN k % 3 = 0 THEN concat('Câmara ', k % 5, CASE WHEN k % 2 = 0 THEN '; Junta' ELSE '' END) ELSE nullif(trim(entity), '') END AS entidade, "
+    "CASE WHEN pub IS NULL THEN regexp_replace(trim(drPublicationDate), '\\s+', ' ', 'g') ELSE strftime(pub, '%d-%m-%Y') END AS data, nullif(trim(proposalDeadline), '') AS data_limite, nullif(trim(basePrice), '') AS preco_base, "
+    "CASE k % 3 WHEN 0 THEN '71200000-0, Serviços de arquitetura; 45000000-7' WHEN 1 THEN '71400000-2' ELSE '' END AS cpv, "
+    "nullif(concat_ws('; ', nullif(contractType, ''), nullif(CASE WHEN contractingProcedureType <> contractType THEN contractingProcedureType END, '')), '') AS tipo_procedimento FROM r JOIN t ON t.id = r.k"
+)
+def raw_normalised(spark, sf_dir):
+    """Raw records as flat notices: names, entities, codes as objects and texts, dates."""
+    out = project.normalised(raw_notices(notices(spark, sf_dir)))
+    return out.select("id_portal_base", "titulo", "entidade", "data", "data_limite", "preco_base", "cpv", "tipo_procedimento")
+
+
+@query(
+    "{T}, r AS (SELECT " + RAW_SQL + " FROM t) SELECT id AS id_portal_base, concat_ws(chr(10), 'Descrição: ' || nullif(trim(coalesce(nullif(trim(contractDesignation), ''), description)), ''), "
+    "CASE WHEN k % 3 = 0 THEN concat('Entidade: Câmara ', k % 5, CASE WHEN k % 2 = 0 THEN '; Junta' ELSE '' END) ELSE 'Entidade: ' || nullif(trim(entity), '') END, "
+    "'Tipo de contrato: ' || nullif(contractType, ''), 'Tipo de procedimento: ' || nullif(contractingProcedureType, ''), "
+    "CASE k % 3 WHEN 0 THEN 'CPV: 71200000-0, Serviços de arquitetura; 45000000-7' WHEN 1 THEN 'CPV: 71400000-2' END, 'Preço base: ' || nullif(regexp_replace(trim(basePrice), '\\s+', ' ', 'g'), ''), "
+    "'Prazo para propostas: ' || nullif(trim(proposalDeadline), ''), 'Data de publicação: ' || nullif(regexp_replace(trim(drPublicationDate), '\\s+', ' ', 'g'), '')) AS texto FROM r"
+)
+def raw_full_text(spark, sf_dir):
+    return project.normalised(raw_notices(notices(spark, sf_dir))).select("id_portal_base", "texto")
+
+
+@query("{T} SELECT id, CASE id % 6 WHEN 0 THEN 'item' WHEN 1 THEN 'data' WHEN 2 THEN 'items' WHEN 3 THEN 'self' WHEN 4 THEN 'resultado' END AS onde FROM t")
+def detail_unwrapped(spark, sf_dir):
+    bodies = [('({"item": {"w": "item"}, "data": {"w": "x"}})'), ('{"item": 3, "data": {"w": "data"}}'), ('{"items": [{"w": "items"}, 1]}'), (' {"w": "self", "result": []} '), ('{"resultado": {"w": "resultado"}}'), "no JSON"]
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("id") % 6 + 1).cast("int"))
+    return notices(spark, sf_dir).select("id", F.try_variant_get(source.unwrapped(source.cleaned_payload(body)), "$.w", "string").alias("onde"))
+
+
+# Dashboard -----------------------------------------------------------------------------------------------------------------
+
+_FIELDS = "lower(concat_ws(' ', nullif(titulo, ''), nullif(entidade, ''), nullif(cpv, ''), nullif(tipo_procedimento, '')))"
+_CATEGORY = _case("lower(titulo)", L.CATEGORIES, L.OTHER_CATEGORY)
+_SERVICE = _case(_fold("concat_ws(' ', titulo, tipo_procedimento)"), L.SERVICES, None)
+_PROCEDURE = _fold("coalesce(tipo_procedimento, '')")
+
+
+def _dashboard(spark, sf_dir, **chosen):
+    df = _with_delivery(spark, sf_dir)
+    accepted = filters.dashboard(_as_of(), F.col("entrega_ts"), classify.service(F.col("titulo"), F.col("tipo_procedimento")), **chosen)
+    return df.where(accepted).select("id")
+
+
+@query(f"{{T}} SELECT id FROM t WHERE contains({_FIELDS}, 'escola básica')")
+def dashboard_search_hits(spark, sf_dir):
+    return _dashboard(spark, sf_dir, search="Escola BÁSICA")
+
+
+@query(f"{{T}} SELECT id FROM t WHERE {_CATEGORY} = 'Escolas' AND entidade = 'NATION_1'")
+def dashboard_category_and_district(spark, sf_dir):
+    return _dashboard(spark, sf_dir, category=(classify.category(F.col("titulo")), "Escolas"), district=(F.col("entidade"), "NATION_1"))
+
+
+@query(f"{{T}} SELECT id FROM t WHERE contains({_PROCEDURE}, 'consulta previa') OR contains({_PROCEDURE}, 'empreitadas')")
+def dashboard_procedures(spark, sf_dir):
+    return _dashboard(spark, sf_dir, procedures=["Consulta Prévia", "EMPREITADAS"])
+
+
+@query(f"{{T}} SELECT id FROM t WHERE coalesce({_SERVICE} IN ('Concurso de conceção', 'Elaboração de projeto'), false)")
+def dashboard_services(spark, sf_dir):
+    return _dashboard(spark, sf_dir, services=["Concurso de conceção", "Elaboração de projeto"])
+
+
+@query(f"{{T}} SELECT id, 'ativos' AS cartao FROM t WHERE estado = 'aberto' UNION ALL SELECT id, 'novos' FROM t WHERE pub BETWEEN {_DAY} - 6 AND {_DAY} UNION ALL SELECT id, 'entidades' FROM t WHERE trim(entidade) <> ''")
+def dashboard_cards(spark, sf_dir):
+    cards = [_dashboard(spark, sf_dir, kind=k).withColumn("cartao", F.lit(k)) for k in ("ativos", "novos", "entidades")]
+    return cards[0].union(cards[1]).union(cards[2])
+
+
+@query(f"{{T}} SELECT id FROM t WHERE contains({_FIELDS}, 'projeto') AND {_CATEGORY} = 'Outros' AND contains({_PROCEDURE}, 'servicos') AND coalesce({_SERVICE} IN ('Elaboração de projeto', 'Revisão / Análise de projeto'), false) AND estado = 'aberto'")
+def dashboard_all_filters(spark, sf_dir):
+    return _dashboard(spark, sf_dir, search="projeto", category=(classify.category(F.col("titulo")), "Outros"), district=(F.col("entidade"), "Todos"), procedures=["serviços"], services=["Elaboração de projeto", "Revisão / Análise de projeto"], kind="ativos")
+
+
+@query("{T} SELECT id FROM t WHERE (contains(lower(titulo), 'museu') OR contains(lower(coalesce(entidade, '')), 'museu')) AND estado = 'sem_prazo'")
+def simple_list(spark, sf_dir):
+    return _typed(spark, sf_dir).where(filters.simple_list("Museu", "sem_prazo")).select("id")
+
+
+@query(f"{{T}} SELECT id, row_number() OVER (PARTITION BY date_trunc('month', pub) ORDER BY pub DESC, id DESC) AS lugar FROM t WHERE pub >= DATE '2001-06-01' AND pub < DATE '2001-07-01'")
+def monthly_order(spark, sf_dir):
+    """Latest first, ties by id; the place in that order is part of the row."""
+    month = report.monthly_summary(_typed(spark, sf_dir), _as_of())
+    return project.numbered(month, F.desc("data_publicacao"), F.desc("id"), name="lugar").select("id", F.col("lugar").cast("long").alias("lugar"))
+
+
+@query("{T} SELECT id, pub AS dia FROM t")
+def dashboard_dates(spark, sf_dir):
+    return notices(spark, sf_dir).select("id", dates.dashboard_date(F.col("data")).alias("dia"))
+
+
+# Documents, updates ---------------------------------------------------------------------------------------------------------
+
+
+@query("{T}, s AS (SELECT id, cpv, " + _SEARCH.format("titulo") + " AS x FROM t) SELECT id, id % 3 < 2 OR " + f"{_some('x', STRONG_WORDS)} OR {_some('x', PROJECT_WORDS)} OR ({_some('x', BUILDING_WORDS)} AND {_some('x', SERVICE_WORDS)}) AS relevante FROM s")
+def looks_relevant(spark, sf_dir):
+    return notices(spark, sf_dir).select("id", classify.looks_relevant(F.col("cpv"), F.col("titulo")).alias("relevante"))
+
+
+_OLD_TEXT = "CASE id % 3 WHEN 0 THEN concat('Preço: ', id % 100, '%') WHEN 1 THEN concat('Qualidade - ', id % 50, ' %', chr(10), 'Ponderação do preço: 40%', chr(10), 'Prazo: 5%') ELSE 'sem critérios' END"
+
+
+@query("{T} SELECT id, CASE id % 3 WHEN 0 THEN 'Monofator' WHEN 1 THEN 'Multifator' END AS tipo, CASE id % 3 WHEN 0 THEN concat('Preço ', id % 100, '%') WHEN 1 THEN concat('Qualidade ', id % 50, '% • Prazo 5%') END AS resumo FROM t")
+def older_award_criteria(spark, sf_dir):
+    df = notices(spark, sf_dir).select("id", extract.award_criteria(F.expr(_OLD_TEXT)).alias("c"))
+    return df.select("id", extract.criteria_type(F.col("c")).alias("tipo"), extract.criteria_text(F.col("c")).alias("resumo"))
+
+
+_SECTION = "concat('9 - Outros', chr(10), '10 - Critérios de adjudicação', chr(10), 'Preço ', id % 40, ',5%', chr(10), 'Nome: Equipa', chr(10), 'Ponderação: ', id % 9, '.0%', chr(10), '11 - Garantia 7%')"
+
+
+@query("{T} SELECT id, concat('10 - Critérios de adjudicação', chr(10), 'Preço ', id % 40, ',5%', chr(10), 'Nome: Equipa', chr(10), 'Ponderação: ', id % 9, '.0%') AS seccao, concat(id % 40, '.5%') AS primeira, 'Equipa' AS nome, concat('Preço=', id % 40, '.5%|Ponderação=', id % 9, '%') AS fatores FROM t")
+def criteria_sections(spark, sf_dir):
+    df = notices(spark, sf_dir).select("id", extract.criteria_section(F.expr(_SECTION)).alias("seccao"))
+    found = F.transform(extract.factors(F.col("seccao")), lambda x: F.concat_ws("=", x["nome"], x["peso"]))
+    return df.select("id", "seccao", extract.percentage(F.col("seccao")).alias("primeira"), extract.factor_name(F.lit(" Nome: Equipa; ")).alias("nome"), F.array_join(found, "|").alias("fatores"))
+
+
+@query("{T} SELECT id, link, id % 3 <> 0 AS antigo FROM t")
+def append_to_checkpoint(spark, sf_dir):
+    """New records beside the ones of a checkpoint, which win."""
+    df = notices(spark, sf_dir).select("id", "link")
+    return store.append_new(df.where("id % 3 <> 0").withColumn("antigo", F.lit(True)), df.withColumn("antigo", F.lit(False)))
+
+
+_WITH_SUMMARY = "CASE WHEN id % 4 = 0 THEN NULL ELSE concat('A ', id % 3, ' • B', CASE WHEN id % 2 = 0 THEN ' •  B' ELSE '' END) END"
+
+
+@query("{T} SELECT id, CASE WHEN id % 4 <> 0 THEN concat('A ', id % 3, ' • B') END AS criterio_resumo FROM t")
+def criteria_cleaned(spark, sf_dir):
+    return store.clean_criteria(notices(spark, sf_dir).withColumn("criterio_resumo", F.expr(_WITH_SUMMARY)))[0].select("id", "criterio_resumo")
+
+
+@query("{T} SELECT id, CASE WHEN id % 3 = 2 THEN 'antigo' ELSE CASE id % 3 WHEN 0 THEN concat('Preço ', id % 100, '%') ELSE concat('Qualidade ', id % 50, '% • Prazo 5%') END END AS criterio_resumo FROM t")
+def criteria_refreshed(spark, sf_dir):
     df = notices(spark, sf_dir)
-    return pipeline.run(df, details(df), df.where("id % 2 = 0"), _as_of(), pipeline.Config(days=3650))[0]
+    old = df.withColumns({c: F.lit("antigo") for c in ("criterio_tipo", "criterio_resumo", "criterio_detalhe")})
+    return store.refresh_criteria(old, df.select("id", F.expr(_OLD_TEXT).alias("texto"))).select("id", "criterio_resumo")
+
+
+@query("{T} SELECT id, CASE WHEN id % 3 = 0 THEN '05-07-2001 17:00' WHEN id % 3 = 1 THEN '09-07-2001' ELSE 'antiga' END AS entrega FROM t")
+def delivery_dates_filled(spark, sf_dir):
+    df = notices(spark, sf_dir).withColumn("data_entrega_propostas", F.lit("antiga")).withColumn("link_anuncio_dr", F.lit(None).cast("string"))
+    found = df.select("link", extract.delivery_date(F.col("texto")).alias("data_entrega_propostas"), "link_anuncio_dr")
+    return store.fill_delivery_dates(df, found).select("id", F.col("data_entrega_propostas").alias("entrega"))
+
+
+@query("{T} SELECT id FROM t WHERE id % 4 <> 0 AND id % 2 = 0")
+def weights_taken_for_names(spark, sf_dir):
+    df = notices(spark, sf_dir).withColumn("criterio_resumo", F.expr("CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN 'PONDEração 5%' ELSE 'Preço 5%' END"))
+    return df.where(filters.with_criteria() & filters.with_weight_as_name()).select("id")
 
 
 # Events --------------------------------------------------------------------------------------------------------------------
@@ -491,12 +674,7 @@ def incremental_dedup(spark, sf_dir):
     """Streamed from the events file, distinct keys kept across batches."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="ingest-")
-    work = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     return ingest_distinct(spark, source, ["user_id", "event_type"], f"{work}/out", f"{work}/state")
 
 

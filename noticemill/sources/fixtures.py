@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2001-07-01"
@@ -48,6 +50,28 @@ def details(df: DataFrame) -> DataFrame:
     )
 
 
+#: The flat fields of a raw record, by SQL that both run; raw_notices adds lists.
+RAW_SQL = """cast(id AS string) AS id, id AS k, CASE WHEN id % 4 = 0 THEN ' ' ELSE titulo END AS contractDesignation, CASE WHEN id % 8 = 0 THEN NULL ELSE titulo END AS description,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE entidade END AS entity, CASE WHEN id % 2 = 0 THEN 'Aquisição de serviços' ELSE '' END AS contractType,
+  CASE id % 3 WHEN 0 THEN 'Concurso público' WHEN 1 THEN 'Aquisição de serviços' ELSE '' END AS contractingProcedureType,
+  preco_base AS basePrice, data_limite AS proposalDeadline, data AS drPublicationDate"""
+
+
+def raw_notices(df: DataFrame) -> DataFrame:
+    """Notices in the layout of raw records."""
+    none = "cast(NULL AS string)"
+    lists = (
+        "CASE WHEN id % 3 = 0 THEN array(named_struct('description', concat(' Câmara  ', id % 5)), named_struct('description', CASE WHEN id % 2 = 0 THEN 'Junta' ELSE concat('Câmara ', id % 5) END)) END AS contractingEntities",
+        """CASE id % 3 WHEN 0 THEN array('{"code": "71200000-0", "description": "Serviços de arquitetura"}', '45000000-7', ' ') WHEN 1 THEN array('71400000-2', '{"cpv": "71400000-2"}') END AS cpvs""",
+    )
+    others = ("contractingEntity", "entityName", "contractingEntityName", "modelType", "type", "announcementNumber", "contractingProcedureUrl")
+    return df.selectExpr(RAW_SQL.split(", id AS k, ")[0], *_split(RAW_SQL.split(", id AS k, ")[1]), *lists, *(f"{none} AS {c}" for c in others))
+
+
+def _split(columns: str) -> list[str]:
+    return [c.strip() for c in re.split(r",\s+(?=CASE|preco_base|data)", columns)]
+
+
 DUCK_NOTICES = "notices AS (" + NOTICES_SQL.format(orders="orders", customer="customer", nation="nation") + ")"
 DUCK_DETAILS = """details AS (SELECT id, link, CASE WHEN id % 3 = 0 THEN '' ELSE upper(titulo) END AS titulo,
   CASE WHEN id % 5 = 0 THEN '1.000,00 €' END AS preco_base, CASE WHEN id % 4 = 0 THEN '10 dias' ELSE ' ' END AS data_limite FROM notices WHERE id % 2 = 0)"""
