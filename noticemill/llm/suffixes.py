@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ GRAM = 20
 #: Bytes of text for each block, which a task holds whole; there are four blocks a partition at least.
 BLOCK_BYTES = 4_000_000
 _SPAN = MIN_BYTES - GRAM + 1  # windows that one string of GRAM bytes lies in
-_FLUSH_ENTRIES = 3_000_000
-_FLUSH_BYTES = 48_000_000
+_FLUSH_ENTRIES = 2_000_000
+_FLUSH_BYTES = 32_000_000
 _TABLE = np.random.default_rng(4).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -256,49 +257,73 @@ def enhanced_suffix_array(data: np.ndarray, starts: np.ndarray, reach: np.ndarra
     return order, lcp
 
 
-def interval_tree(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(length, first, end) of the intervals of common prefixes of least bytes or more, children before parents."""
-    stack: list[tuple[int, int]] = []
-    out: list[int] = []
+@dataclass
+class Intervals:
+    """Intervals of common prefixes: length, first and end in the suffix order, parent or -1; top: the deepest over each border."""
+
+    length: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    parent: np.ndarray
+    top: np.ndarray
+
+    def over(self, values: np.ndarray, reduce: np.ufunc) -> np.ndarray:
+        """reduce over the values of each interval's suffixes, in suffix order."""
+        if not len(self.length):
+            return values[:0]
+        return reduce.reduceat(np.append(values, values[-1:]), np.stack((self.first, self.end), axis=1).ravel())[::2]
+
+    def deepest(self, lcp: np.ndarray) -> np.ndarray:
+        """The deepest interval of each suffix, or -1."""
+        after = np.append(lcp[1:], 0)
+        return np.where(lcp >= after, self.top[:-1], self.top[1:])
+
+
+def interval_tree(lcp: np.ndarray, least: int) -> Intervals:
+    """The intervals of common prefixes of least bytes or more, by a scan with a stack."""
+    stack: list[tuple[int, int]] = []  # length, number
+    length: list[int] = []
+    first: list[int] = []
     at = np.flatnonzero(lcp >= least)
-    # between these the stack is empty
-    depths, places = lcp[at].tolist(), at.tolist()
+    top = np.full(len(lcp) + 1, -1, np.int64)
+    tops: list[int] = []
+    end, parent = [], []
     last = -1
-    for i, depth in zip(places, depths):
-        if i != last + 1 and stack:
-            for length, begin in reversed(stack):
-                out += (length, begin, last + 1)
+    for i, depth in zip(at.tolist(), lcp[at].tolist()):
+        if i != last + 1:  # between, nothing is shared
+            for _, n in stack:
+                end[n] = last + 1
             stack.clear()
-        begin = i - 1
+        begin, below = i - 1, -1
         while stack and stack[-1][0] > depth:
-            length, begin = stack.pop()
-            out += (length, begin, i)
+            _, below = stack.pop()
+            end[below], begin = i, first[below]
         if not stack or stack[-1][0] < depth:
-            stack.append((depth, begin))
+            n = len(length)
+            length.append(depth)
+            first.append(begin)
+            end.append(-1)
+            parent.append(stack[-1][1] if stack else -1)
+            stack.append((depth, n))
+        if below >= 0:
+            parent[below] = stack[-1][1]
+        tops.append(stack[-1][1])
         last = i
-    for length, begin in reversed(stack):
-        out += (length, begin, last + 1)
-    length, first, end = np.array(out, np.int64).reshape(-1, 3).T
-    return length, first, end
-
-
-def _over(values: np.ndarray, first: np.ndarray, end: np.ndarray, reduce: np.ufunc) -> np.ndarray:
-    """reduce over values[first:end] of each interval."""
-    return reduce.reduceat(np.append(values, values[-1:]), np.stack((first, end), axis=1).ravel())[::2]
+    for _, n in stack:
+        end[n] = last + 1
+    top[at] = tops
+    return Intervals(*(np.array(x, np.int64) for x in (length, first, end, parent)), top)
 
 
-def maximal_repeats(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, lefts: np.ndarray, least: int = MIN_BYTES, depth: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, length, first, end): repeats that can't be extended on both sides, occurrences order[first:end] each.
+def maximal_repeats(data: np.ndarray, starts: np.ndarray, reach: np.ndarray, lefts: np.ndarray, least: int = MIN_BYTES, depth: int = 10) -> tuple[np.ndarray, np.ndarray, Intervals, np.ndarray]:
+    """(order, lcp, intervals, diverse): repeats that neither side can be extended on are the diverse intervals.
 
-    They are the intervals whose left bytes differ or are unknown, below 0. Suffixes reach 8 * depth bytes at most, as those of runs do.
+    Their left bytes differ or are unknown, below 0. Suffixes reach 8 * depth bytes at most, as those of runs do.
     """
     order, lcp = enhanced_suffix_array(data, starts, reach, depth)
-    length, first, end = interval_tree(lcp, least)
-    if not len(length):
-        return order, length, first, end
-    low, high = (_over(lefts[order], first, end, f) for f in (np.minimum, np.maximum))
-    diverse = (low != high) | (low < 0)
-    return order, length[diverse], first[diverse], end[diverse]
+    tree = interval_tree(lcp, least)
+    low, high = (tree.over(lefts[order], f) for f in (np.minimum, np.maximum))
+    return order, lcp, tree, (low != high) | (low < 0)
 
 
 def _unpacked(columns: list[list[bytes]]) -> list[np.ndarray]:
@@ -313,10 +338,10 @@ def _suffixes(columns: list[list[bytes]]):
     """(data, docs, starts, lefts, run of each suffix, its place, its reach) of a block."""
     data, size, doc, start, left = _unpacked(columns)
     windows = size - (MIN_BYTES - 1)
-    run = np.repeat(np.arange(len(size)), windows)
-    begin = np.cumsum(size) - size
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-    return data, doc, start, left, run, begin[run] + offset, size[run] - offset, offset
+    run = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    begin = (np.cumsum(size) - size).astype(np.int32)  # a block has fewer than 2^31 bytes
+    offset = (np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
+    return data, doc, start, left, run, begin[run] + offset, size.astype(np.int32)[run] - offset, offset
 
 
 def _open(data: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -345,18 +370,20 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = np.where(offset == 0, -1, data[np.maximum(place - 1, 0)].astype(np.int16)).astype(np.int16)
             own = np.flatnonzero(_open(data, place, left))
             run, place, reach, begin, left = run[own], place[own], reach[own], starts[run[own]] + offset[own], left[own]
-            order, length, first, end = maximal_repeats(data, place, reach, left)
+            order, lcp, tree, diverse = maximal_repeats(data, place, reach, left)
             owner = docs[run][order]
-            least = _over(owner, first, end, np.minimum) if len(first) else owner[:0]
-            # the occurrences of all groups, those of the least document left out; of each suffix the longest
-            size = end - first
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-            later = owner[at] > np.repeat(least, size)
-            longest = np.zeros(len(order), np.int64)
-            np.maximum.at(longest, at[later], np.repeat(length, size)[later])
-            hit = np.flatnonzero(longest)
+            least = tree.over(owner, np.minimum)
+            # each occurrence goes by its deepest group that an earlier document is in
+            group = tree.deepest(lcp)
+            climbing = np.flatnonzero(group >= 0)
+            while len(climbing):
+                of = group[climbing]
+                climbing = climbing[~(diverse[of] & (owner[climbing] > least[of]))]
+                group[climbing] = tree.parent[group[climbing]]
+                climbing = climbing[group[climbing] >= 0]
+            hit = np.flatnonzero(group >= 0)
             doc, first = owner[hit], begin[order[hit]]
-            last = first + longest[hit]
+            last = first + tree.length[group[hit]]
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(last)], ["doc_id", "first", "last"])
 
 
@@ -419,7 +446,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for window, (docs, starts, lefts, tails) in _collected(batches):
         order = sorted(range(len(tails)), key=tails.__getitem__)
         lcp = np.array([0] + [_common(tails[a], tails[b]) for a, b in zip(order, order[1:])], np.int64)
-        for k, (length, first, end) in enumerate(zip(*(x.tolist() for x in interval_tree(lcp, MIN_BYTES)))):
+        tree = interval_tree(lcp, MIN_BYTES)
+        for k, (length, first, end) in enumerate(zip(tree.length.tolist(), tree.first.tolist(), tree.end.tolist())):
             own = order[first:end]
             if len({lefts[i] for i in own}) > 1 or any(lefts[i] < 0 for i in own):
                 columns = ([f"{window}-{k}"] * len(own), [length] * len(own), [docs[i] for i in own], [starts[i] for i in own])
