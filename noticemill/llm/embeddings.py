@@ -2,11 +2,11 @@
 
 Unit vectors with cosine c or more lie within squared distance 2 - 2c. They are rotated and split into blocks of few
 dimensions, and the budget is shared out in proportion to these: a pair within the whole budget is within its share
-in one block at least. Each block is range-joined on a grid over all its dimensions, with cells of twice the radius:
+in one block at least. Each block is range-joined on a grid over its first dimensions, with cells of twice the radius:
 a vector stands in its home cell and looks into the cells that its ball meets, found by their distance. The union of
-all candidates is verified exactly. The more vectors a label has, the more dimensions its blocks get: cells grow with
-the dimensions in number, so that a vector meets fewer others for some more cells to look into. Equal vectors are one
-class from the start, and only classes are paired.
+all candidates is verified exactly. The more vectors a label has, the more dimensions the grid gets, up to the whole
+block: a vector then meets fewer others for some more cells to look into. Equal vectors are one class from the start,
+and only classes are paired.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 COSINE = 0.98
-#: Dimensions of a block: the least, one more for each threefold of EVEN distinct vectors of a label, at most the last.
-LEAST, MOST = 3, 10
-EVEN = 20_000
+#: Dimensions of a block; of its grid the least, one more for each threefold of EVEN distinct vectors of a label.
+BLOCK, LEAST = 8, 3
+EVEN = 7_000
 SEED = 20
 
 
@@ -31,13 +31,13 @@ def rotation(n: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, n)))[0]
 
 
-def blocks(n: int, dims: int) -> list[np.ndarray]:
-    """n dimensions in blocks of dims or one fewer."""
-    return np.array_split(np.arange(n), -(-n // dims))
+def blocks(n: int) -> list[np.ndarray]:
+    """n dimensions in blocks of BLOCK or fewer."""
+    return np.array_split(np.arange(n), -(-n // BLOCK))
 
 
 def _cells(x: np.ndarray, budget: float, salt: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home cell of each row of a block, and the cells that the ball of its budget meets, its own among them.
+    """The home cell of each row of a block's grid, and the cells that the ball of its budget meets, its own among them.
 
     Cells are twice as wide as the radius, so in each dimension a ball meets one neighbour at most, the nearer one.
     A cell's name is a sum of multiples of odd numbers; names that collide by chance only make more candidates.
@@ -68,20 +68,20 @@ def _placed(cosine: float):
                 own = np.flatnonzero((sizes == n) & (dims == d))
                 v = flat[ends[own][:, None] + np.arange(n)]
                 turned = v / np.linalg.norm(v, axis=1, keepdims=True) @ rotation(n)
-                for k, places in enumerate(blocks(n, d)):
+                for k, places in enumerate(blocks(n)):
                     x = turned[:, places]
                     budget = (2 - 2 * cosine) * len(places) / n + 1e-6  # coordinates are sent as floats
-                    home, met = _cells(x, budget, n * 100_000 + k)
+                    home, met = _cells(x[:, :d], budget, n * 100_000 + k)
                     flatten = pa.ListArray.from_arrays(np.cumsum([0] + list(map(len, met)), dtype=np.int32), np.concatenate(met))
-                    padded = np.zeros((len(own), MOST), np.float32)
+                    padded = np.zeros((len(own), BLOCK), np.float32)
                     padded[:, : len(places)] = x
                     columns = [pa.array(ids[own]), pa.array(np.full(len(own), budget)), pa.array(home), flatten, *map(pa.array, np.ascontiguousarray(padded.T))]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "budget", "home", "met", *(f"x{i}" for i in range(MOST))])
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "budget", "home", "met", *(f"x{i}" for i in range(BLOCK))])
 
     return place
 
 
-_PLACED = "id long, budget double, home long, met array<long>, " + ", ".join(f"x{i} float" for i in range(MOST))
+_PLACED = "id long, budget double, home long, met array<long>, " + ", ".join(f"x{i} float" for i in range(BLOCK))
 
 
 def cosine_of(a: str, b: str) -> Column:
@@ -99,16 +99,16 @@ def place(classes: DataFrame, cosine: float = COSINE, even: int = EVEN) -> DataF
     """The blocks of each class (id, label, scaled vector s): home cell, cells that its ball meets, coordinates."""
     sizes = classes.groupBy("label", F.size("s").alias("n")).agg(F.count("*").alias("count"))
     dims = LEAST + F.floor(F.log(F.col("count") / even) / F.log(F.lit(3.0)) + 1)
-    dims = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), dims)).cast("int").alias("dims")
+    dims = F.least(F.lit(BLOCK), F.greatest(F.lit(LEAST), dims)).cast("int").alias("dims")
     own = classes.select("id", "label", "s", F.size("s").alias("n")).join(sizes, ["label", "n"]).select("id", "s", dims)
     return own.mapInArrow(_placed(cosine), _PLACED).join(classes.select("id", "label"), "id")
 
 
 def meetings(placed: DataFrame) -> DataFrame:
     """Pairs (a, b, near), a < b, once for each cell where a is at home and b looks into; near: within the block's budget."""
-    at_home = placed.select("label", F.col("home").alias("cell"), F.col("id").alias("a"), *(f"x{i}" for i in range(MOST)))
-    looking = placed.select("label", F.explode("met").alias("cell"), F.col("id").alias("b"), "budget", *(F.col(f"x{i}").alias(f"y{i}") for i in range(MOST)))
-    apart = " + ".join(f"(x{i} - y{i}) * (x{i} - y{i})" for i in range(MOST))
+    at_home = placed.select("label", F.col("home").alias("cell"), F.col("id").alias("a"), *(f"x{i}" for i in range(BLOCK)))
+    looking = placed.select("label", F.explode("met").alias("cell"), F.col("id").alias("b"), "budget", *(F.col(f"x{i}").alias(f"y{i}") for i in range(BLOCK)))
+    apart = " + ".join(f"(x{i} - y{i}) * (x{i} - y{i})" for i in range(BLOCK))
     return at_home.join(looking, ["label", "cell"]).where("a < b").select("a", "b", F.expr(f"{apart} <= budget").alias("near"))
 
 
