@@ -173,7 +173,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     sizes = own.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.expr(f"least({_SCALE}, {rows_per_language * _SCALE} div n + 1)").alias("_share"), (F.col("n") >= CALIBRATING_FROM).alias("_many"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE))
     own = own.select("lang", F.col("text").cast("string").alias("text"), draw.alias("draw"))
-    sample = own.join(sizes, F.col("lang") == F.col("_lang")).where("draw < _share").select("lang", "text", (F.col("_many") & (F.col("draw") % CALIBRATING == 0)).alias("aside"))
+    # one row a language, as many as the model on the driver has; a shuffle by so few keys would be one task's work each
+    sample = own.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).where("draw < _share").select("lang", "text", (F.col("_many") & (F.col("draw") % CALIBRATING == 0)).alias("aside"))
     tokens = sample.mapInArrow(_count, "lang string, aside boolean, n int, token string, c long")
     totals = tokens.groupBy("n", "token", "lang").agg(F.sum("c").alias("c"), F.sum(F.when(~F.col("aside"), F.col("c"))).alias("part"))
     counts = list(zip(*(x.to_pylist() for x in totals.toArrow().columns)))
