@@ -37,10 +37,12 @@ def parse_date(c: Column, profile: str = "listing") -> Column:
 
 
 def deadline(published: Column, limit: Column) -> Column:
-    """End of the period: an absolute date, with or without time, or so many calendar days after publication."""
-    days = F.nullif(F.regexp_extract(limit, "([0-9]+)", 1).try_cast("int"), F.lit(0))
-    end = F.coalesce(parse_date(limit, "deadline"), F.date_add(published, days))
-    return F.when(published.isNotNull(), end)
+    """End of the period: an absolute date, with or without time, or so many calendar days after publication.
+
+    Each text is bound, so that a filter which is pushed below the notices' own expressions reads it once.
+    """
+    days = bound(F.regexp_extract(limit, "([0-9]+)", 1).try_cast("int"), lambda n: F.nullif(n, F.lit(0)))
+    return bound(published, lambda p: F.when(p.isNotNull(), F.coalesce(parse_date(limit, "deadline"), F.date_add(p, days))))
 
 
 def state(end: Column, as_of: Column) -> Column:
