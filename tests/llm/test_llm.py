@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from noticemill.llm import bpe, common, decontaminate, embeddings, langid, lines, pii, secrets, sentences, simhash, suffixes
@@ -88,6 +90,90 @@ def test_pii_further_kinds(spark):
     assert [t[int(a) : int(b)] for _, a, b in (x.split(":") for x in spans.split(","))] == ["123-45-6789", "DE89370400440532013000", "415-555-2671"]
 
 
+#: Sentences that neither trees nor thresholds have seen, written after both.
+UNSEEN = {
+    "ssn": (
+        "Patient record, SSN: [[523-11-4098]], blood type A.",
+        "He lost his social security card ([[267 30 9144]]) on the bus.",
+        "National ID [[341.62.7705]] belongs to the tenant",
+        "insurance number [[188-27-6640]] expires soon",
+        "Version 523-11-4098 of the firmware is broken.",
+        "Item 267 30 9144 is sold out.",
+        "The sum of 341.62.7705 looks odd.",
+        "ref 188276640",
+    ),
+    "iban": (
+        "Kindly remit the rent to [[NL91 ABNA 0417 1643 00]].",
+        "Bank: Example, IBAN [[CH9300762011623852957]], BIC unknown",
+        "cuenta [[ES79-2100-0813-6101-2345-6789]]",
+        "refund to [[BE68 5390 0754 7034]] please",
+        "Part CH93 0076 2011 6238 5295 8 is obsolete.",
+        "The code was NL92 ABNA 0417 1643 00, page 7.",
+        "MODEL AA11 2222 3333 4444",
+    ),
+    "tel": (
+        "Contact the front desk: [[312-555-0188]].",
+        "Telefon [[089 4567 1234]] (Frau Keller)",
+        "Appelez le [[06 12 34 56 78]] avant midi.",
+        "mobile [[(646) 555-0122]] at night",
+        "It ran from 2019-03-14 to 2020-01-02.",
+        "Serial 312-555-0188 was recalled.",
+        "The ratio is 12.50.75.20 in the mix.",
+        "Page 089 4567 1234 does not exist.",
+        "We counted 300 400 500 sheep.",
+    ),
+    "mail": (
+        "Questions? E-mail [[lee_k [at] museum [dot] org]].",
+        "My contact is [[tom.b(at)garden.net]]",
+        "please write [[office at mill dot co dot uk]] soon",
+        "Look at example dot matrices.",
+        "They met at nine.thirty on Monday",
+        "She arrived at last. Then it rained.",
+    ),
+}
+
+
+def test_pii_precision_and_recall_on_unseen_sentences(spark):
+    own = pii._sentences(spark, UNSEEN).withColumn("doc_id", F.monotonically_increasing_id()).cache()
+    got = {r.doc_id: {x for x in r.spans.split(",") if x.split(":")[0] in pii.MORE} for r in pii.personal_data(own).collect()}
+    rows = own.collect()
+    right = sum(len(got[r.doc_id] & set(r.truths)) for r in rows)
+    found, true = sum(map(len, got.values())), sum(len(r.truths) for r in rows)
+    assert true == 15 and right / found >= 0.9 and right / true >= 0.8, (right, found, true, [(r.text, got[r.doc_id]) for r in rows if got[r.doc_id] != set(r.truths)])
+
+
+def test_pii_selection_among_overlaps(spark):
+    draw = random.Random(5)
+    texts = []
+    for n in range(60):
+        spans = {(a, a + draw.randint(8, 40), draw.randint(0, 5)) for a in (draw.randint(0, 300 if n % 2 else 30000) for _ in range(draw.randint(0, 400 if n == 1 else 60)))}
+        texts.append((n, sorted((a, b, (float(s), b - a, -a, -(b % 4), -(a % 2))) for a, b, s in spans)))
+    # no more than NEAR starts may lie under a span, as the generators guarantee
+    texts = [(n, [x for i, x in enumerate(p) if n != 1 or i % 2]) for n, p in texts]
+    kind = "doc_id long, passed array<struct<start int, end int, rank struct<score double, size int, first int, kind int, wide int>>>"
+    got = {r.doc_id: [(x.start, x.end, x.kind) for x in r.stands] for r in pii._selected(spark.createDataFrame(texts, kind)).collect()}
+    for n, own in texts:
+        overlap = {x: [y for y in own if y != x and y[0] < x[1] and x[0] < y[1]] for x in own}
+        won = {x for x in own if all(y[2] < x[2] for y in overlap[x])}
+        assert got[n] == [(x[0], x[1], x[2][3]) for x in own if x in won or not any(y in won for y in overlap[x])]
+
+
+def test_pii_generators_overlap_and_one_span_stands(spark):
+    t = "IBAN DE89370400440532013000 and SSN 457 55 5462"
+    own = pii._proposed(spark.createDataFrame([(1, t)], TEXTS), pii.GENERATORS).first()
+    assert all(len(own[c]) == 1 for c in ("c_iban0", "c_iban1", "c_ssn1", "c_tel1")) and not own["c_ssn0"]
+    spans = pii.personal_data(spark.createDataFrame([(1, t)], TEXTS)).first().spans
+    assert spans == f"ssn:{t.index('457')}:{len(t)},iban:5:27"
+
+
+def test_pii_generators_in_linear_time(spark):
+    rows = [(n, x * 40_000) for n, x in enumerate(("a", "a at ", "1", "12-", "DE12 ", "a(at)", "0 12 "))]
+    begun = time.monotonic()
+    assert pii.personal_data(spark.createDataFrame(rows, TEXTS)).count() == len(rows)
+    pii.personal_data(spark.createDataFrame(rows, TEXTS)).collect()
+    assert time.monotonic() - begun < 120
+
+
 def test_sentence_spans():
     for t in [LONG, "a. b! c?d e\n\n f.. g", "..", "x\n\ny"]:
         assert "".join(sentences.sentences(t)) == t
