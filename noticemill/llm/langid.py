@@ -1,9 +1,10 @@
 """Word-first language ID: known words by their log frequency in each language, other words by character n-grams.
 
 A word that was learned scores by its frequency in each language. A word that wasn't backs off: to its known
-4-grams, else its known 3-grams, and so on to single characters. A text's score is the sum over its words; words of a
-text aren't independent, so the sums are divided by a temperature, the likeliest one for rows that weren't learned from,
-before they are turned into the posterior.
+4-grams, else its known 3-grams, and so on to single characters. A text's score is the sum over its words. Words of a
+text aren't independent: if any two of n words agree by r, they tell as much as n / (1 + (n - 1) r) independent ones, so
+sums are divided by 1 + (n - 1) r, with the likeliest r for rows that weren't learned from, before they are turned into
+the posterior. One word counts in full, and a long text doesn't become certain by its length alone.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 #: About so many labelled rows of each language are learned from, chosen by a hash of doc_id.
 ROWS_PER_LANGUAGE = 2500
 LONGEST = 4
-#: One in so many rows of the sample is set aside while the temperature is found, in languages of so many rows.
+#: One in so many rows of the sample is set aside while the agreement of words is found, in languages of so many rows.
 CALIBRATING, CALIBRATING_FROM = 10, 20
-TEMPERATURES = tuple(2 ** (k / 2) for k in range(-2, 31))
+AGREEMENTS = (0.0, *(2 ** (k / 2) for k in range(-24, 1)))
 UNDETERMINED = "und"
 #: Scores an executor process remembers, one of each language for a word; only speed depends on it.
 REMEMBERED = 1_200_000
@@ -55,7 +56,7 @@ class Model:
     ends: np.ndarray  # a row's columns and gains end here, and the next row's begin
     columns: np.ndarray
     gains: np.ndarray
-    temperature: float = 1.0
+    agreement: float = 0.0
     known: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -67,7 +68,7 @@ class Model:
         self.cache = np.zeros((self.room if self.languages else 1, len(self.languages)))
 
     def parts(self) -> tuple:
-        return self.languages, self.rows, self.floors, self.ends, self.columns, self.gains, self.temperature
+        return self.languages, self.rows, self.floors, self.ends, self.columns, self.gains, self.agreement
 
     def mean(self, n: int, rows: list[int]) -> np.ndarray:
         if self.dense is not None:
@@ -87,8 +88,8 @@ class Model:
                 return self.mean(n, found)
         return np.zeros(len(self.languages))
 
-    def total(self, text: str | None) -> np.ndarray | None:
-        """The sum over the words of a text for each language; null if it has no letter or nothing was learned."""
+    def total(self, text: str | None) -> tuple[np.ndarray, int] | None:
+        """The sum over the words of a text for each language, and their number; null if it has no letter or nothing was learned."""
         words = words_of(text)
         if not self.languages or not any(c.isalpha() for w in words for c in w):
             return None
@@ -107,14 +108,15 @@ class Model:
                             self.cache[k] = self.word(w)
                         at[i] = self.known[w]
             total += self.cache[at].sum(axis=0)
-        return total
+        return total, len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total = self.total(text)
-        if total is None:
+        found = self.total(text)
+        if found is None:
             return UNDETERMINED, 0.0
+        total, n = found
         best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp((total - total[best]) / self.temperature).sum())
+        return self.languages[best], float(1 / np.exp((total - total[best]) / (1 + (n - 1) * self.agreement)).sum())
 
 
 def build(counts: list[tuple[int, str, str, int]]) -> Model:
@@ -180,29 +182,30 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     counts = list(zip(*(x.to_pylist() for x in totals.toArrow().columns)))
     without = build([(n, token, lang, part) for n, token, lang, _, part in counts if part])
     model = build([x[:4] for x in counts])
-    model.temperature = _temperature(without, sample.where("aside").select("lang", "text"))
+    model.agreement = _agreement(without, sample.where("aside").select("lang", "text"))
     return model
 
 
-def _temperature(model: Model, rows: DataFrame) -> float:
-    """The temperature under which the rows' languages are likeliest; 1 if there is no row to tell."""
+def _agreement(model: Model, rows: DataFrame) -> float:
+    """The agreement of words under which the rows' languages are likeliest; 0 if there is no row to tell."""
     shared = rows.sparkSession.sparkContext.broadcast(model.parts())
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         place = {lang: i for i, lang in enumerate(own.languages)}
-        loss = np.zeros(len(TEMPERATURES))
+        loss = np.zeros(len(AGREEMENTS))
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total = own.total(text.as_py())
-                if total is not None and lang in place:
-                    below = (total - total.max()) / np.array(TEMPERATURES)[:, None]
+                counted = own.total(text.as_py())
+                if counted is not None and lang in place:
+                    total, n = counted
+                    below = (total - total.max()) / (1 + (n - 1) * np.array(AGREEMENTS))[:, None]
                     loss += np.log(np.exp(below).sum(axis=1)) - below[:, place[lang]]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(TEMPERATURES)), pa.int32()), pa.array(loss)], ["t", "loss"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(AGREEMENTS)), pa.int32()), pa.array(loss)], ["r", "loss"])
 
-    found = rows.mapInArrow(losses, "t int, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).collect()  # one row a temperature
-    best = min((r for r in found if r.loss > 0), key=lambda r: (r.loss, r.t), default=None)
-    return TEMPERATURES[best.t] if best else 1.0
+    found = rows.mapInArrow(losses, "r int, loss double").groupBy("r").agg(F.sum("loss").alias("loss")).collect()  # one row an agreement
+    best = min((x for x in found if x.loss > 0), key=lambda x: (x.loss, x.r), default=None)
+    return AGREEMENTS[best.r] if best else 0.0
 
 
 def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:

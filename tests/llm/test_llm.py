@@ -477,17 +477,23 @@ def test_language_id_scores_as_defined(spark, docs, texts):
                         total[x] += sum(logp(n, t, x) for t in own) / len(own)
                     break
         found = model.total(texts[d][:3000])
-        assert found is None or np.allclose(found, [total[x] for x in langs])
+        assert found is None or np.allclose(found[0], [total[x] for x in langs]) and found[1] == len(langid.words_of(texts[d][:3000]))
 
 
 def test_language_id_score_is_calibrated(spark, docs):
     model = langid.train(docs)
-    assert model.temperature in langid.TEMPERATURES and model.temperature > 1
+    assert model.agreement in langid.AGREEMENTS and model.agreement > 0
     lang = {r.doc_id: r.lang for r in docs.collect()}
     held = [r for r in langid.identify_languages(docs, model).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
     assert abs(sum(r.score for r in held) / len(held) - sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held)) < 0.1
 
 
+def test_language_id_keeps_short_texts(spark, docs):
+    short = docs.where("lang is not null and text rlike '[a-z]{3}'").withColumn("text", F.substring_index("text", " ", 8))
+    kept = langid.keep_identified(short, model=langid.train(docs))
+    assert kept.columns == short.columns and kept.count() >= 0.95 * short.count() > 50
+
+
 def test_language_id_learns_small_and_many_languages(spark):
     letters = "abcdefghijklmnopqrst"
     word = lambda k: "".join(letters[k // 20**j % 20] for j in range(4))
