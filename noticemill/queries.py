@@ -15,7 +15,8 @@ from .operators import aggregate, filters, project, store
 from .plans import listing, pipeline, report
 from .sources import notices as source
 from .sources.fixtures import AS_OF, DUCK_DETAILS, DUCK_NOTICES, RAW_SQL, details, notices, raw_notices
-from .streaming.ingest import ingest_distinct, shared_folder
+from .stored import shared_folder
+from .streaming.ingest import ingest_distinct
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset a local session, as in tests, gets one of its own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="noticemill-")
-    return folder.rstrip("/")
-
-
 def deduplicated(stream: DataFrame, keys: list[str], time: str | None = None, lateness: str = "7 days") -> DataFrame:
     """First row of each key. With an event time, state is kept for the lateness only."""
     if time is None:
