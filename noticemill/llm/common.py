@@ -2,65 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stored import Scratch, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset a local session, as in tests, gets one of its own."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder and sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="noticemill-"))
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables that a call stores in the shared folder, so that lineage ends there and lost executors cost no more than a read.
+__all__ = ["Scratch", "components", "line_hash", "shared_folder", "table"]
 
-    What isn't dropped before is deleted when the driver's JVM ends: a result that is still to be computed reads it.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark)}/noticemill-{uuid.uuid4().hex}"
-        self._kept: dict[int, tuple[DataFrame, str]] = {}
-        place, files = self._place(self.folder)
-        files.mkdirs(place)
-        files.deleteOnExit(place)
-
-    def _place(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df as a stored table."""
-        path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._kept[id(out)] = out, path
-        return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        for df in tables:
-            place, files = self._place(self._kept.pop(id(df))[1])
-            files.delete(place, True)
-
-    def clear(self) -> None:
-        self.drop(*(df for df, _ in list(self._kept.values())))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def components(edges: DataFrame) -> DataFrame:

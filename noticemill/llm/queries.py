@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate
 from .bpe import bpe_round_trip
+from .chat import chat_digests
 from .common import table
 from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
 from .embeddings import near_vectors
+from .importance import resampled
 from .langid import identify_languages
 from .pii import personal_data
 from .lines import ORACLE_SQL as LINES_SQL
@@ -18,6 +21,7 @@ from .lines import dedup_lines
 from .secrets import secret_findings
 from .sentences import drop_repeated_spans
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .suffixes import drop_repeats
 
 
@@ -61,6 +65,26 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, five in a hundred of those with 20 words or more drawn towards the benchmark's word runs."""
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with the word it is a variant of."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: A conversation that says control strings.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back."""
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat_digests(own.union(spark.createDataFrame(CONTROL_TURNS, own.schema)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_sentence_spans": op2_sentence_spans,
@@ -72,5 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_chat_format": op13_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {"op5_line_runs": LINES_SQL, "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
