@@ -87,7 +87,7 @@ def distinct_sorted(df: DataFrame, column: str, collation: str = "pt") -> DataFr
 
 
 def run_counters(classified: DataFrame, store: DataFrame) -> DataFrame:
-    """Counts of a run: analysed, relevant, excluded, new and existing ones."""
+    """Counts of a run: analysed, relevant, excluded, new and existing ones, and updates that reach a row."""
     known = store.select("link", F.lit(True).alias("_known"))
     out = classified.join(known, "link", "left").withColumn("_r", F.col("analise.relevante"))
     return out.agg(
@@ -96,4 +96,5 @@ def run_counters(classified: DataFrame, store: DataFrame) -> DataFrame:
         F.count_if(~F.col("_r")).alias("excluidos"),
         F.count_if(F.col("_r") & F.col("_known").isNull()).alias("novos"),
         F.count_if(F.col("_r") & F.col("_known")).alias("existentes"),
+        F.count_if(F.col("_r") & F.col("_known") & (F.trim("link") != "")).alias("atualizados"),
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import any_phrase, fold
 
-ALL = ("todos", "Todos", None, "")
+ALL = ("todos", "Todos", "Todos os distritos", None, "")
+#: What the dashboard searches, in order.
+SEARCHED = ["titulo", "entidade", "distrito", "municipio", "preco_base"]
 
 
 def in_period(period: str) -> Column:
@@ -46,7 +50,7 @@ def like_text(term: str, *columns: str) -> Column:
 
 def dashboard_search(term: str, *columns: str) -> Column:
     parts = [F.nullif(c if isinstance(c, Column) else F.col(c), F.lit("")) for c in columns]
-    return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(term.lower()))
+    return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(term.strip().lower()))
 
 
 def published_between(start: Column, end: Column, column: str = "data_publicacao") -> Column:
@@ -64,8 +68,8 @@ def ending_within_week(as_of: Column, when: Column) -> Column:
 def any_procedure(selected: list[str], column: str = "tipo_procedimento") -> Column:
     if not selected:
         return F.lit(True)
-    source = fold(F.lower(F.coalesce(column, F.lit(""))))
-    return F.exists(F.array(*map(F.lit, selected)), lambda p: F.contains(source, fold(F.lower(p))))
+    wanted = ["".join(x for x in unicodedata.normalize("NFD", p) if not "\u0300" <= x <= "\u036f").lower() for p in selected]
+    return any_phrase(F.lower(fold(F.coalesce(column, F.lit("")))), wanted)
 
 
 def any_service(service: Column, selected: list[str]) -> Column:
@@ -88,7 +92,7 @@ def with_weight_as_name() -> Column:
 
 def dashboard(as_of: Column, delivery: Column, service: Column, search: str = "", category: tuple[Column, str] | None = None, district: tuple[Column, str] | None = None, procedures: list[str] = (), services: list[str] = (), kind: str = "todos") -> Column:
     """All filters of the dashboard at once."""
-    out = dashboard_search(search, "titulo", "entidade", "cpv", "tipo_procedimento")
+    out = dashboard_search(search, *SEARCHED)
     for chosen in (category, district):
         if chosen and chosen[1] not in ALL:
             out = out & (chosen[0] == chosen[1])

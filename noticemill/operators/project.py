@@ -27,6 +27,10 @@ LABELS = {
 }
 
 
+#: Fields that may name the entity, in order.
+ENTITY_FIELDS = ["contractingEntity", "entity", "entityName", "contractingEntityName"]
+
+
 def first_filled(*columns: Column) -> Column:
     return F.coalesce(*map(blank_to_null, columns))
 
@@ -46,10 +50,19 @@ def empty_to_null(df: DataFrame, name: str) -> Column:
     return df[name]
 
 
-def overlay(listing: DataFrame, detail: DataFrame, key: str = "id") -> DataFrame:
-    """Left join; a detail's value wins unless it is null or empty. Of several details for a key the greatest value counts."""
+def last_given(values: dict[str, Column], order: str | None, columns: list[str]) -> list[Column]:
+    """Aggregates: of each value the last that isn't null, in order of a column, else of the rows' values."""
+    place = F.col(order) if order else F.struct(*sorted(columns))
+    return [F.max_by(v, F.when(v.isNotNull(), place)).alias(name) for name, v in values.items()]
+
+
+def overlay(listing: DataFrame, detail: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Left join; a detail's value wins unless it is null or empty.
+
+    Several details for a key are laid over each other in order of a column, or else of their own values.
+    """
     shared = [c for c in detail.columns if c in listing.columns and c != key]
-    own = detail.groupBy(F.col(key).alias("_key")).agg(*(F.max(empty_to_null(detail, c)).alias(f"_{c}") for c in shared))
+    own = detail.groupBy(F.col(key).alias("_key")).agg(*last_given({f"_{c}": empty_to_null(detail, c) for c in shared}, order, detail.columns))
     out = listing.join(own, F.col(key) == F.col("_key"), "left")
     return out.select(*((F.coalesce(F.col(f"_{c}"), F.col(c)) if c in shared else F.col(c)).alias(c) for c in listing.columns))
 
@@ -63,11 +76,11 @@ def full_text(df: DataFrame) -> Column:
 def normalised(raw: DataFrame, portal: str = "https://portal.example.org/detalhe/") -> DataFrame:
     """Raw listing records as flat notices."""
     cpvs = cpv_entries(F.col("cpvs"))
-    kinds = F.array(collapse(F.col("contractType")), collapse(F.col("contractingProcedureType")))
+    kinds = F.array(*(collapse(F.col(c)) for c in ("contractType", "contractingProcedureType", "modelType", "type")))
     flat = raw.select(
         "*",
         first_filled(F.col("contractDesignation"), F.col("description")).alias("titulo"),
-        entity_name(F.col("contractingEntities"), *map(F.col, ("contractingEntity", "entity", "entityName", "contractingEntityName"))).alias("entidade"),
+        entity_name(F.col("contractingEntities"), *map(F.col, ENTITY_FIELDS)).alias("entidade"),
         F.array_join(cpvs, "; ").alias("cpv"),
     )
     return flat.select(
@@ -76,20 +89,36 @@ def normalised(raw: DataFrame, portal: str = "https://portal.example.org/detalhe
         "entidade",
         F.concat(F.lit(portal + "?type=anuncios&id="), F.url_encode("id")).alias("link"),
         formatted(F.col("drPublicationDate")).alias("data"),
-        blank_to_null(F.col("proposalDeadline")).alias("data_limite"),
+        F.nullif(formatted(F.col("proposalDeadline")), F.lit("")).alias("data_limite"),
         blank_to_null(F.col("basePrice")).alias("preco_base"),
         cpvs.alias("cpvs"),
         "cpv",
         F.array_distinct(F.filter(kinds, lambda x: x != "")).alias("tipos_contrato"),
         joined(F.array_distinct(kinds), "; ").alias("tipo_procedimento"),
-        "announcementNumber",
-        F.col("contractingProcedureUrl").alias("link_pecas"),
+        F.coalesce(blank_to_null(F.col("announcementNumber")), collapse(F.col("id"))).alias("numero_anuncio"),
+        blank_to_null(F.col("reference")).alias("link_anuncio_dr"),
+        blank_to_null(F.col("contractingProcedureUrl")).alias("link_pecas"),
+        blank_to_null(F.col("contractingProcedureId")).alias("id_procedimento"),
         full_text(flat).alias("texto"),
     )
 
 
-def prefilter_text(raw: DataFrame, columns: list[str]) -> Column:
-    return search_form(F.concat_ws(" ", *columns))
+#: Fields of a raw record that the prefilter reads, in order.
+PREFILTERED = ["contractDesignation", "description", "contractingEntity", "contractingProcedureType", "contractType", "modelType", "type"]
+
+
+def prefilter_text() -> Column:
+    """What the prefilter reads of a raw record, in search form."""
+    return search_form(F.concat_ws(" ", *PREFILTERED))
+
+
+def flat_text(raw: DataFrame) -> DataFrame:
+    """Adds texto, the full text, and cpv, the joined codes, to raw records, for the check after details are laid over."""
+    cpv = F.array_join(cpv_entries(F.col("cpvs")), "; ")
+    title = first_filled(F.col("contractDesignation"), F.col("description"))
+    entity = entity_name(F.col("contractingEntities"), *map(F.col, ENTITY_FIELDS))
+    named = raw.select("*", title.alias("titulo"), entity.alias("entidade"), cpv.alias("cpv"))
+    return named.select(*raw.columns, "cpv", full_text(named).alias("texto"))
 
 
 def typed(df: DataFrame, as_of: Column) -> DataFrame:
@@ -116,12 +145,5 @@ def location(municipality: Column, district: Column, entity: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in (municipality, district, entity)), F.lit("Portugal"))
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "posicao") -> DataFrame:
-    """Row numbers in an order; the whole frame is one window, so only for pages and reports."""
-    from pyspark.sql import Window
-
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-
-
 def stripped_title(c: Column) -> Column:
     return pstrip(c)

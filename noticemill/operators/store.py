@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, dedup_bullets
 from ..schema import ENRICHED, STORED, align
 from .filters import with_criteria
-from .project import enriched
+from .project import enriched, last_given
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -59,21 +59,30 @@ def insert_new(store: DataFrame, new: DataFrame) -> DataFrame:
     return align(store).unionByName(align(fresh.withColumn("id", F.col("_top") + F.col("_before") + F.col("_place"))))
 
 
-def upsert(store: DataFrame, updates: DataFrame, key: str = "link", columns: list[str] | None = None) -> DataFrame:
+def folded(updates: DataFrame, key: str = "link", order: str | None = None) -> DataFrame:
+    """One update for each key that isn't blank: of each column the last non-blank value, in order of a column or else of the rows' values."""
+    text = {f.name for f in updates.schema if f.dataType.typeName() == "string"}
+    value = {c: blank_to_null(F.col(c)) if c in text else F.col(c) for c in updates.columns if c not in (key, order)}
+    known = updates.where(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) != "")
+    return known.groupBy(key).agg(F.count("*").alias("_rows"), *last_given(value, order, updates.columns))
+
+
+def upsert(store: DataFrame, updates: DataFrame, key: str = "link", columns: list[str] | None = None, order: str | None = None) -> DataFrame:
     """A new non-blank value wins, else the old one stays; rows of either side stay.
 
-    Of several updates for a key the greatest value of each column counts.
+    Several updates for a key are applied in order of a column, or else of their own values; those without key are not.
     """
     given = [c for c in (columns or ENRICHED) if c in updates.columns and c in store.columns]
-    new = updates.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"), *(F.max(c).alias(f"_{c}") for c in updates.columns if c != key))
+    new = folded(updates, key, order)
+    new = new.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in new.columns if c not in (key, "_rows")))
     out = store.join(new, F.col(key) == F.col("_key"), "full_outer")
 
     def value(c: str):
         if c == key:
             return F.coalesce(F.col(key), F.col("_key"))
         if c in given:
-            return F.coalesce(blank_to_null(F.col(f"_{c}")), F.col(c))
-        return F.coalesce(F.col(c), F.col(f"_{c}")) if c in updates.columns else F.col(c)
+            return F.coalesce(F.col(f"_{c}"), F.col(c))
+        return F.coalesce(F.col(c), F.col(f"_{c}")) if f"_{c}" in new.columns else F.col(c)
 
     return out.select(*(value(c).alias(c) for c in store.columns))
 

@@ -20,28 +20,42 @@ def selected(df: DataFrame, as_of: Column, period: str = "atual", search: str |
     return typed(rows, as_of).where(P.in_period(period)).where(P.equals("estado", state))
 
 
+def newest_first() -> tuple[Column, Column]:
+    """Order of listings: latest publications first, undated last, ties by id, latest first."""
+    return F.desc_nulls_last("data_publicacao"), F.desc("id")
+
+
 def page(df: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
-    """Latest publications first, undated last, ties by id, latest first."""
+    """The rows of one page, in the order of listings."""
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("page numbers begin at 1, sizes go from 1 to 100")
-    return df.orderBy(F.desc_nulls_last("data_publicacao"), F.desc("id")).offset((number - 1) * size).limit(size)
+    return df.orderBy(*newest_first()).offset((number - 1) * size).limit(size)
 
 
 def listing(df: DataFrame, as_of: Column, number: int = 1, size: int = 20, **filters) -> tuple[DataFrame, DataFrame]:
     """(page, one row with the total)."""
     rows = selected(df, as_of, **filters)
-    shown = page(rows, number, size).select(*COLUMNS).withColumn("entidade", text_or(F.col("entidade"), "Entidade não indicada"))
-    return shown, rows.agg(F.count("*").alias("total"))
+    # the entity's text comes before the page: a projection after limit would make the planner sort all rows
+    named = rows.select(*(text_or(F.col(c), "Entidade não indicada").alias(c) if c == "entidade" else F.col(c) for c in COLUMNS))
+    return page(named, number, size), rows.agg(F.count("*").alias("total"))
+
+
+#: Columns of a notice by its id, in order.
+RECORD = ["id", "titulo", "entidade", "link", "data", "relevante", "data_limite", "preco_base", "cpv", "tipo_procedimento"]
 
 
 def by_id(df: DataFrame, id: int) -> DataFrame:
-    return df.where(F.col("id") == id)
+    return df.where(F.col("id") == id).select(*RECORD)
 
 
-def sorted_by_date(df: DataFrame, newest: bool = True, order: str = "id") -> DataFrame:
+def by_date(newest: bool = True, order: str = "id") -> tuple[Column, Column]:
     """Dashboard order; what can't be parsed counts as 1970."""
     key = F.coalesce("data_publicacao", F.lit("1970-01-01").cast("date"))
-    return df.orderBy(key.desc() if newest else key.asc(), order)
+    return key.desc() if newest else key.asc(), F.col(order)
+
+
+def sorted_by_date(df: DataFrame, newest: bool = True, order: str = "id") -> DataFrame:
+    return df.orderBy(*by_date(newest, order))
 
 
 def dashboard_counts(df: DataFrame, as_of: Column, delivery: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The daily run: collect, prefilter, look up details, classify, enrich, store."""
+"""The daily run: collect, prefilter, look up details, check again, classify, enrich, store."""
 
 from __future__ import annotations
 
@@ -7,33 +7,73 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import analyse, worth_details
-from ..functions.text import search_form
+from ..functions.classify import analyse, looks_relevant, worth_details
+from ..functions.text import collapse
 from ..operators.aggregate import run_counters
-from ..operators.project import enriched, overlay
-from ..operators.store import already_in, insert_new, keep_first, not_in, upsert
+from ..operators.project import enriched, flat_text, normalised, overlay, prefilter_text
+from ..operators.store import already_in, append_new, insert_new, keep_first, not_in, upsert
 from ..schema import align
 from ..sources.notices import recent
 
+_READ = ("criterio_tipo", "criterio_resumo", "criterio_detalhe", "data_entrega_propostas")
+
 
 @dataclass(frozen=True)
 class Config:
     days: int = 7
-    key: str = "id"
+    #: Column of the listing that tells the order in which it came; without one, rows go by their values.
+    order: str | None = None
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a run leaves: the store, the checkpoint of all records found so far, one row of counters."""
+
+    store: DataFrame
+    checkpoint: DataFrame
+    counters: DataFrame
 
 
 def classified(df: DataFrame) -> DataFrame:
+    """Stored notices, whose codes and kinds are joined texts, with their analysis by title and text."""
     kinds = F.split(F.coalesce("tipo_procedimento", F.lit("")), r"\s*;\s*")
     cpvs = F.split(F.coalesce("cpv", F.lit("")), r"\s*;\s*")
-    return df.withColumn("analise", analyse(F.col("titulo"), F.lit(None).cast("string"), cpvs, kinds))
+    return df.withColumn("analise", analyse(F.col("titulo"), F.col("texto"), cpvs, kinds))
+
+
+def candidates(listing: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:
+    """Recent raw records, the first of each id, that are worth looking up: those without id and those the prefilter rejects go."""
+    rows = recent(listing, as_of, config.days, "drPublicationDate")
+    order = config.order or "_order"
+    if not config.order:
+        rows = rows.withColumn(order, F.struct(*sorted(rows.columns)))
+    rows = rows.where(F.coalesce(collapse(F.col("id")), F.lit("")) != "")
+    return keep_first(rows, ["id"], order).drop("_order").where(worth_details(prefilter_text()))
+
+
+def collect(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:
+    """The checkpoint with the normalised records of what is new and still looks relevant with its details.
+
+    Ids of the checkpoint are not looked up again, and its records win. gazettes (link_anuncio_dr, texto) say criteria and
+    delivery dates of the records that refer to them.
+    """
+    seen = checkpoint.select(F.col("id_portal_base").alias("id"))
+    whole = overlay(not_in(candidates(listing, as_of, config), seen, "id"), details)
+    kept = flat_text(whole).where(looks_relevant(F.col("cpv"), F.col("texto"))).select(*whole.columns)
+    found = normalised(kept)
+    said = enriched(gazettes.dropDuplicates(["link_anuncio_dr"])).select("link_anuncio_dr", *_READ)
+    return append_new(checkpoint, found.join(said, "link_anuncio_dr", "left").select(*found.columns, *_READ), "id_portal_base")
+
+
+def record_layout(df: DataFrame) -> DataFrame:
+    """Raw records in the layout of a checkpoint."""
+    return normalised(df).select("*", *(F.lit(None).cast("string").alias(c) for c in _READ))
 
 
-def run(listing: DataFrame, details: DataFrame, store: DataFrame, as_of: Column, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(store after the run, one row of counters). Rows that fail nothing but aren't relevant are counted and left out."""
-    rows = keep_first(recent(listing, as_of, config.days), [config.key], config.key)
-    rows = rows.where(worth_details(search_form(F.concat_ws(" ", "titulo", "entidade", "cpv", "tipo_procedimento"))))
-    rows = classified(overlay(rows, details, config.key))
-    relevant = enriched(rows.where("analise.relevante").drop("criterio_tipo", "criterio_resumo", "criterio_detalhe", "data_entrega_propostas"))
-    counters = run_counters(rows, store)
+def run(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint: DataFrame, store: DataFrame, as_of: Column, config: Config = Config()) -> Run:
+    """All records of the checkpoint are analysed, relevant ones inserted or, where the store has their link, laid over its rows."""
+    records = collect(listing, details, gazettes, checkpoint, as_of, config)
+    rows = records.withColumn("analise", analyse(F.col("titulo"), F.col("texto"), F.col("cpvs"), F.col("tipos_contrato")))
+    relevant = rows.where("analise.relevante")
     updated = upsert(align(store), already_in(relevant, store))
-    return insert_new(updated, not_in(relevant, store)), counters
+    return Run(insert_new(updated, not_in(relevant, store)), records, run_counters(rows, store))

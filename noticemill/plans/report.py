@@ -11,9 +11,14 @@ from ..operators.aggregate import two_periods
 from ..operators.filters import published_between
 
 
+def oldest_first() -> tuple[Column, Column]:
+    """Order of a period's list."""
+    return F.col("data_publicacao"), F.coalesce(F.col("titulo"), F.lit(""))
+
+
 def period_list(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """Rows published in [start, end), oldest first, then by title."""
-    return df.where(published_between(start, end)).orderBy("data_publicacao", F.coalesce("titulo", F.lit("")))
+    return df.where(published_between(start, end)).orderBy(*oldest_first())
 
 
 def monthly_summary(df: DataFrame, as_of: Column) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import classify, dates, extract, money, text
-from .lexicon import BUILDING_WORDS, COMPETITION_WORDS, PROJECT_WORDS, SERVICE_WORDS, STRONG_WORDS
 from . import lexicon as L
+from .lexicon import BUILDING_WORDS, COMPETITION_WORDS, PROJECT_WORDS, SERVICE_WORDS, STRONG_WORDS
 from .operators import aggregate, filters, project, store
+from .operators.numbering import numbered
 from .plans import listing, pipeline, report
 from .sources import notices as source
-from .sources.fixtures import AS_OF, DUCK_DETAILS, DUCK_NOTICES, RAW_SQL, details, notices, raw_notices
+from .sources.fixtures import AS_OF, DUCK_DETAILS, DUCK_NOTICES, RAW_DETAIL_SQL, RAW_SQL, details, gazettes, notices, raw_details, raw_notices
 from .stored import shared_folder
 from .streaming.ingest import ingest_distinct
 
@@ -163,9 +164,9 @@ def listing_total_by_state(spark, sf_dir):
     return _typed(spark, sf_dir).groupBy("estado").agg(F.count("*").alias("total"))
 
 
-@query("{T} SELECT id, titulo, estado FROM t WHERE id = 7")
+@query("{T} SELECT id, titulo, entidade, link, data, relevante, data_limite, preco_base, cpv, tipo_procedimento FROM t WHERE id = 7")
 def notice_by_id(spark, sf_dir):
-    return listing.by_id(_typed(spark, sf_dir), 7).select("id", "titulo", "estado")
+    return listing.by_id(notices(spark, sf_dir), 7)
 
 
 @query("{T} SELECT id, entidade FROM t WHERE lower(titulo) LIKE '%p_oj%cto%' OR lower(coalesce(entidade, '')) LIKE '%p_oj%cto%' OR lower(titulo) LIKE '%esc_la%'")
@@ -186,10 +187,31 @@ def oldest_first(spark, sf_dir):
     return df.select("id", F.coalesce("data_publicacao", F.lit("1970-01-01").cast("date")).alias("chave"))
 
 
-@query("{T} SELECT id, row_number() OVER (ORDER BY id DESC) AS posicao FROM t ORDER BY id DESC LIMIT 30")
+@query("{T} SELECT id, row_number() OVER (ORDER BY id DESC) AS posicao FROM t")
 def numbered_rows(spark, sf_dir):
-    latest = notices(spark, sf_dir).orderBy(F.desc("id")).limit(30)
-    return project.numbered(latest, F.desc("id")).select("id", F.col("posicao").cast("long").alias("posicao"))
+    return numbered(notices(spark, sf_dir).select("id"), F.desc("id"))
+
+
+def _places(df: DataFrame, *order) -> DataFrame:
+    return numbered(df, *order, name="lugar").select("id", "lugar")
+
+
+@query("{T} SELECT id, row_number() OVER (ORDER BY pub DESC NULLS LAST, id DESC) AS lugar FROM t WHERE estado <> 'encerrado'")
+def listing_places(spark, sf_dir):
+    """Every current notice's place in the listing."""
+    return _places(listing.selected(notices(spark, sf_dir), _as_of()).select("id", "data_publicacao"), *listing.newest_first())
+
+
+@query("{T} SELECT id, row_number() OVER (ORDER BY pub, titulo, id) AS lugar FROM t WHERE pub >= DATE '2001-06-01' AND pub < DATE '2001-07-01'")
+def period_places(spark, sf_dir):
+    """Every notice's place in the period's list; ties by id, so that places are the same in each run."""
+    rows = report.monthly_summary(_typed(spark, sf_dir), _as_of()).select("id", "data_publicacao", "titulo")
+    return _places(rows, *report.oldest_first(), F.col("id"))
+
+
+@query("{T} SELECT id, row_number() OVER (ORDER BY coalesce(pub, DATE '1970-01-01'), id) AS lugar FROM t")
+def oldest_first_places(spark, sf_dir):
+    return _places(_typed(spark, sf_dir).select("id", "data_publicacao"), *listing.by_date(newest=False))
 
 
 # Statistics ------------------------------------------------------------------------------------------------------------
@@ -316,7 +338,7 @@ _C_REST = (
     "contains(k, 'aquisicao de servicos') OR contains(k, 'prestacao de servicos') AS serv, contains(k, 'empreitada') AS empr FROM c0), "
     "c2 AS (SELECT *, cpv_712 AND (len(ac) > 0 OR len(co) > 0) AS por_cpv, len(xc) > 0 OR len(su) > 0 AS bloq, len(en) > 0 AND len(ex) = 0 AS isol FROM c1)"
 )
-_C = "{T}, c0 AS (SELECT id, " + _fold("trim(titulo)") + " AS x, contains(coalesce(cpv, ''), '712') AS cpv_712, " + _fold("coalesce(tipo_procedimento, '')") + " AS k FROM t), " + _C_REST + " "
+_C = "{T}, c0 AS (SELECT id, trim(regexp_replace(" + _fold("concat_ws(' ', titulo, texto)") + ", '\\s+', ' ', 'g')) AS x, contains(coalesce(cpv, ''), '712') AS cpv_712, " + _fold("coalesce(tipo_procedimento, '')") + " AS k FROM t), " + _C_REST + " "
 
 
 @query(_C + "SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS relevante, serv AS aquisicao_servicos, empr AS empreitada FROM c2")
@@ -345,9 +367,9 @@ def _worth(c: str) -> str:
     return f"({_some(c, STRONG_WORDS)} OR {_some(c, PROJECT_WORDS)} OR ({_some(c, BUILDING_WORDS)} AND {_some(c, SERVICE_WORDS)}) OR {_some(c, COMPETITION_WORDS)})"
 
 
-@query("{T}, s AS (SELECT id, " + _SEARCH.format("titulo") + " AS x FROM t) SELECT id, " + _worth("x") + " AS consultar FROM s")
+@query("{T}, r AS (SELECT " + RAW_SQL + " FROM t), s AS (SELECT k, " + _SEARCH.format("concat_ws(' ', contractDesignation, description, contractingEntity, contractingProcedureType, contractType, modelType, type)") + " AS x FROM r) SELECT CAST(k AS VARCHAR) AS id, " + _worth("x") + " AS consultar FROM s")
 def phrase_prefilter(spark, sf_dir):
-    return notices(spark, sf_dir).select("id", classify.worth_details(text.search_form(F.col("titulo"))).alias("consultar"))
+    return raw_notices(notices(spark, sf_dir)).select("id", classify.worth_details(project.prefilter_text()).alias("consultar"))
 
 
 @query("{T} SELECT id, " + " + ".join(f"CASE WHEN contains(lower(titulo), {_q(k)}) THEN {v} ELSE 0 END" for k, v in L.WEIGHTS.items()) + " AS pontos FROM t")
@@ -452,7 +474,7 @@ def overlay_detail(spark, sf_dir):
     return project.overlay(df, details(df)).select("id", "titulo", "preco_base", "data_limite")
 
 
-@query("{T} SELECT t.id, t.link, t.titulo, coalesce(nullif(trim(d.preco_base), ''), t.preco_base) AS preco_base, coalesce(nullif(trim(d.data_limite), ''), t.data_limite) AS data_limite FROM t LEFT JOIN details d ON t.link = d.link")
+@query("{T} SELECT t.id, t.link, coalesce(nullif(trim(d.titulo), ''), t.titulo) AS titulo, coalesce(nullif(trim(d.preco_base), ''), t.preco_base) AS preco_base, coalesce(nullif(trim(d.data_limite), ''), t.data_limite) AS data_limite FROM t LEFT JOIN details d ON t.link = d.link")
 def upsert_coalesce(spark, sf_dir):
     df = notices(spark, sf_dir)
     return store.upsert(df, details(df)).select("id", "link", "titulo", "preco_base", "data_limite")
@@ -476,62 +498,95 @@ def backfill_counters(spark, sf_dir):
     return store.backfill(df, details(df))[1]
 
 
-@query(_C + ", r AS (SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS rel FROM c2) SELECT count(*) AS analisados, count(*) FILTER (WHERE rel) AS relevantes, count(*) FILTER (WHERE NOT rel) AS excluidos, count(*) FILTER (WHERE rel AND id % 4 <> 0) AS novos, count(*) FILTER (WHERE rel AND id % 4 = 0) AS existentes FROM r")
+@query(_C + ", r AS (SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS rel FROM c2) SELECT count(*) AS analisados, count(*) FILTER (WHERE rel) AS relevantes, count(*) FILTER (WHERE NOT rel) AS excluidos, count(*) FILTER (WHERE rel AND id % 4 <> 0) AS novos, count(*) FILTER (WHERE rel AND id % 4 = 0) AS existentes, count(*) FILTER (WHERE rel AND id % 4 = 0) AS atualizados FROM r")
 def run_counters(spark, sf_dir):
     df = notices(spark, sf_dir)
     return aggregate.run_counters(pipeline.classified(df), df.where("id % 4 = 0"))
 
 
+def _formatted(c: str) -> str:
+    return f"coalesce(strftime({_d_date(c)}, '%d-%m-%Y'), nullif(trim(regexp_replace({c}, '\\s+', ' ', 'g')), ''))"
+
+
+def _line(label: str, c: str) -> str:
+    return f"'{label}: ' || nullif(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+
+
+_RAW_TITLE = "coalesce(nullif(trim(contractDesignation), ''), nullif(trim(description), ''))"
+_RAW_ENTITY = "CASE WHEN k % 3 = 0 THEN concat('Câmara ', k % 5, CASE WHEN k % 2 = 0 THEN '; Junta' ELSE '' END) ELSE coalesce(nullif(trim(contractingEntity), ''), nullif(trim(entity), '')) END"
+_RAW_CPV = "CASE k % 3 WHEN 0 THEN '71200000-0, Serviços de arquitetura; 45000000-7' WHEN 1 THEN '71400000-2' ELSE '' END"
+_RAW_KINDS = "[coalesce(contractType, ''), coalesce(contractingProcedureType, ''), coalesce(modelType, ''), coalesce(type, '')]"
+_RAW_LINES = {"Descrição": _RAW_TITLE, "Entidade": _RAW_ENTITY, "Tipo de ato": "type", "Tipo de modelo": "modelType", "Tipo de contrato": "contractType", "Tipo de procedimento": "contractingProcedureType", "CPV": _RAW_CPV, "Preço base": "basePrice", "Prazo para propostas": "proposalDeadline", "Data de publicação": "drPublicationDate", "Número do anúncio": "announcementNumber"}
+
+
+def _normalised(relation: str) -> str:
+    """Raw records of a relation as flat notices."""
+    kinds = f"nullif(array_to_string(list_filter({_RAW_KINDS}, lambda w, i: w <> '' AND list_position({_RAW_KINDS}, w) = i), '; '), '')"
+    lines = ", ".join(_line(label, c) for label, c in _RAW_LINES.items())
+    return (
+        f"SELECT k AS no, id AS id_portal_base, coalesce({_RAW_TITLE}, 'Sem título') AS titulo, {_RAW_ENTITY} AS entidade, concat('https://portal.example.org/detalhe/?type=anuncios&id=', id) AS link, {_formatted('drPublicationDate')} AS data, "
+        f"{_formatted('proposalDeadline')} AS data_limite, nullif(trim(basePrice), '') AS preco_base, {_RAW_CPV} AS cpv, {kinds} AS tipo_procedimento, coalesce(announcementNumber, id) AS numero_anuncio, reference AS link_anuncio_dr, concat_ws(chr(10), {lines}) AS texto FROM {relation}"
+    )
+
+
+_PREFILTER = "contractDesignation, description, contractingEntity, contractingProcedureType, contractType, modelType, type"
+_OVERLAID = ", ".join(f"coalesce(nullif(d.{c}, ''), r.{c}) AS {c}" for c in ("contractDesignation", "contractType", "basePrice", "proposalDeadline"))
+_RULES = f"({_some('f', STRONG_WORDS)} OR {_some('f', PROJECT_WORDS)} OR ({_some('f', BUILDING_WORDS)} AND {_some('f', SERVICE_WORDS)}))"
 _RUN = (
-    "{T}, l AS (SELECT t.* EXCLUDE (titulo, preco_base, data_limite), t.titulo AS seen, coalesce(nullif(d.titulo, ''), t.titulo) AS titulo, coalesce(nullif(d.preco_base, ''), t.preco_base) AS preco_base, "
-    f"coalesce(nullif(d.data_limite, ''), t.data_limite) AS data_limite FROM t LEFT JOIN details d ON t.id = d.id WHERE pub IS NULL OR pub >= {_DAY} - 3650), "
-    "p AS (SELECT *, " + _SEARCH.format("concat_ws(' ', seen, entidade, cpv, tipo_procedimento)") + " AS form FROM l), "
-    "c0 AS (SELECT *, " + _fold("trim(titulo)") + " AS x, contains(coalesce(cpv, ''), '712') AS cpv_712, " + _fold("coalesce(tipo_procedimento, '')") + f" AS k FROM p WHERE {_worth('form')}), " + _C_REST
-    + ", r AS (SELECT *, concat('Qualidade ', id % 90, '% • Preço ', 100 - id % 90, '%') AS resumo, CASE id % 3 WHEN 0 THEN '05-07-2001 17:00' WHEN 1 THEN '09-07-2001' END AS entrega FROM c2 "
-    "WHERE serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol), "
-    "old AS (SELECT t.id, t.link, t.titulo, coalesce(nullif(trim(r.preco_base), ''), t.preco_base) AS preco_base, coalesce(nullif(trim(r.data_limite), ''), t.data_limite) AS data_limite, r.resumo AS criterio_resumo, r.entrega AS data_entrega_propostas "
-    "FROM t LEFT JOIN r ON t.link = r.link WHERE t.id % 2 = 0), "
-    "new AS (SELECT nullif(trim(titulo), '') AS titulo, link, nullif(trim(preco_base), '') AS preco_base, nullif(trim(data_limite), '') AS data_limite, resumo AS criterio_resumo, entrega AS data_entrega_propostas FROM r WHERE id % 2 = 1) "
+    f"{{T}}, r AS (SELECT {RAW_SQL}, pub FROM t), dr AS (SELECT {RAW_DETAIL_SQL} FROM notices WHERE id % 2 = 0), "
+    f"worth AS (SELECT * FROM (SELECT *, {_SEARCH.format(f'concat_ws(chr(32), {_PREFILTER})')} AS form FROM r WHERE pub IS NULL OR pub >= {_DAY} - 3650) WHERE {_worth('form')} AND k % 7 <> 0), "
+    f"whole AS (SELECT r.* EXCLUDE (contractDesignation, contractType, basePrice, proposalDeadline), {_OVERLAID} FROM worth r LEFT JOIN dr d ON d.k = r.k), "
+    f"found AS (SELECT * FROM (SELECT *, {_SEARCH.format('texto')} AS f FROM ({_normalised('whole')})) WHERE no % 3 < 2 OR {_RULES}), "
+    f"recs AS (SELECT *, false AS novo FROM ({_normalised('(SELECT * FROM r WHERE k % 7 = 0)')}) UNION ALL SELECT * EXCLUDE (f), true AS novo FROM found), "
+    "c0 AS (SELECT *, trim(regexp_replace(" + _fold("concat_ws(' ', titulo, texto)") + ", '\\s+', ' ', 'g')) AS x, no % 3 = 0 AS cpv_712, " + _fold("coalesce(tipo_procedimento, '')") + " AS k FROM recs), " + _C_REST
+    + ", a AS (SELECT *, coalesce(serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol, false) AS rel, novo AND link_anuncio_dr IS NOT NULL AS lido FROM c2), "
+    "v AS (SELECT *, CASE WHEN lido THEN concat('Qualidade ', no % 90, '% • Preço ', 100 - no % 90, '%') END AS criterio_resumo, CASE WHEN lido THEN CASE no % 3 WHEN 0 THEN '05-07-2001 17:00' WHEN 1 THEN '09-07-2001' END END AS data_entrega_propostas FROM a WHERE rel) "
+)
+_OVER = ["titulo", "entidade", "data", "preco_base", "data_limite", "cpv", "tipo_procedimento"]
+_READ = ["link_anuncio_dr", "criterio_resumo", "data_entrega_propostas"]
+_RUN_STORE = (
+    "SELECT t.link, " + ", ".join(f"coalesce(nullif(trim(v.{c}), ''), t.{c}) AS {c}" for c in _OVER) + ", " + ", ".join(f"v.{c}" for c in _READ) + " FROM t LEFT JOIN v ON v.link = t.link WHERE t.id % 2 = 0 "
+    "UNION ALL SELECT link, " + ", ".join(f"nullif(trim({c}), '') AS {c}" for c in _OVER) + ", " + ", ".join(_READ) + " FROM v WHERE no % 2 = 1"
 )
-_RUN_COLUMNS = ["titulo", "link", "preco_base", "data_limite", "criterio_resumo", "data_entrega_propostas"]
 
 
-@query(_RUN + f"SELECT {', '.join(_RUN_COLUMNS)} FROM old UNION ALL SELECT {', '.join(_RUN_COLUMNS)} FROM new")
-def daily_run(spark, sf_dir):
-    """The whole daily run against a store that holds every other notice."""
+def _run(spark, sf_dir) -> pipeline.Run:
+    """The whole daily run with a store that holds every other notice and a checkpoint that holds every seventh record."""
     df = notices(spark, sf_dir)
-    return pipeline.run(df, details(df), df.where("id % 2 = 0"), _as_of(), pipeline.Config(days=3650))[0].select(*_RUN_COLUMNS)
+    raw = raw_notices(df)
+    seen = pipeline.record_layout(raw.where("cast(id AS long) % 7 = 0"))
+    return pipeline.run(raw, raw_details(df), gazettes(df), seen, df.where("id % 2 = 0"), _as_of(), pipeline.Config(days=3650))
+
+
+@query(_RUN + _RUN_STORE)
+def daily_run(spark, sf_dir):
+    """The store after the daily run."""
+    return _run(spark, sf_dir).store.select("link", *_OVER, *_READ)
 
 
-@query(_RUN + "SELECT count(*) AS analisados, count(*) FILTER (WHERE relevante_) AS relevantes, count(*) FILTER (WHERE NOT relevante_) AS excluidos, count(*) FILTER (WHERE relevante_ AND id % 2 = 1) AS novos, count(*) FILTER (WHERE relevante_ AND id % 2 = 0) AS existentes FROM (SELECT id, serv AND (len(ex) > 0 OR por_cpv) AND NOT bloq AND NOT isol AS relevante_ FROM c2)")
+@query(_RUN + "SELECT count(*) AS analisados, count(*) FILTER (WHERE rel) AS relevantes, count(*) FILTER (WHERE NOT rel) AS excluidos, count(*) FILTER (WHERE rel AND no % 2 = 1) AS novos, count(*) FILTER (WHERE rel AND no % 2 = 0) AS existentes, count(*) FILTER (WHERE rel AND no % 2 = 0) AS atualizados FROM a")
 def daily_run_counters(spark, sf_dir):
-    df = notices(spark, sf_dir)
-    return pipeline.run(df, details(df), df.where("id % 2 = 0"), _as_of(), pipeline.Config(days=3650))[1]
+    return _run(spark, sf_dir).counters
+
+
+@query(_RUN + "SELECT id_portal_base, titulo, numero_anuncio, md5(texto) AS texto, novo FROM recs")
+def daily_run_checkpoint(spark, sf_dir):
+    """Records found so far: those of the checkpoint and the new ones that passed both checks."""
+    out = _run(spark, sf_dir).checkpoint
+    return out.select("id_portal_base", "titulo", "numero_anuncio", F.md5("texto").alias("texto"), (F.col("id_portal_base").cast("long") % 7 != 0).alias("novo"))
 
 
 # Raw records ---------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "{T}, r AS (SELECT " + RAW_SQL + " FROM t) SELECT r.id AS id_portal_base, coalesce(nullif(trim(contractDesignation), ''), nullif(trim(description), ''), 'Sem título') AS titulo, "
-    "CASE WHEN k % 3 = 0 THEN concat('Câmara ', k % 5, CASE WHEN k % 2 = 0 THEN '; Junta' ELSE '' END) ELSE nullif(trim(entity), '') END AS entidade, "
-    "CASE WHEN pub IS NULL THEN regexp_replace(trim(drPublicationDate), '\\s+', ' ', 'g') ELSE strftime(pub, '%d-%m-%Y') END AS data, nullif(trim(proposalDeadline), '') AS data_limite, nullif(trim(basePrice), '') AS preco_base, "
-    "CASE k % 3 WHEN 0 THEN '71200000-0, Serviços de arquitetura; 45000000-7' WHEN 1 THEN '71400000-2' ELSE '' END AS cpv, "
-    "nullif(concat_ws('; ', nullif(contractType, ''), nullif(CASE WHEN contractingProcedureType <> contractType THEN contractingProcedureType END, '')), '') AS tipo_procedimento FROM r JOIN t ON t.id = r.k"
-)
+@query("{T}, r AS (SELECT " + RAW_SQL + " FROM t) SELECT id_portal_base, titulo, entidade, link, data, data_limite, preco_base, cpv, tipo_procedimento, numero_anuncio, link_anuncio_dr FROM (" + _normalised("r") + ")")
 def raw_normalised(spark, sf_dir):
-    """Raw records as flat notices: names, entities, codes as objects and texts, dates."""
+    """Raw records as flat notices: names, entities, codes as objects and texts, kinds, dates."""
     out = project.normalised(raw_notices(notices(spark, sf_dir)))
-    return out.select("id_portal_base", "titulo", "entidade", "data", "data_limite", "preco_base", "cpv", "tipo_procedimento")
+    return out.select("id_portal_base", "titulo", "entidade", "link", "data", "data_limite", "preco_base", "cpv", "tipo_procedimento", "numero_anuncio", "link_anuncio_dr")
 
 
-@query(
-    "{T}, r AS (SELECT " + RAW_SQL + " FROM t) SELECT id AS id_portal_base, concat_ws(chr(10), 'Descrição: ' || nullif(trim(coalesce(nullif(trim(contractDesignation), ''), description)), ''), "
-    "CASE WHEN k % 3 = 0 THEN concat('Entidade: Câmara ', k % 5, CASE WHEN k % 2 = 0 THEN '; Junta' ELSE '' END) ELSE 'Entidade: ' || nullif(trim(entity), '') END, "
-    "'Tipo de contrato: ' || nullif(contractType, ''), 'Tipo de procedimento: ' || nullif(contractingProcedureType, ''), "
-    "CASE k % 3 WHEN 0 THEN 'CPV: 71200000-0, Serviços de arquitetura; 45000000-7' WHEN 1 THEN 'CPV: 71400000-2' END, 'Preço base: ' || nullif(regexp_replace(trim(basePrice), '\\s+', ' ', 'g'), ''), "
-    "'Prazo para propostas: ' || nullif(trim(proposalDeadline), ''), 'Data de publicação: ' || nullif(regexp_replace(trim(drPublicationDate), '\\s+', ' ', 'g'), '')) AS texto FROM r"
-)
+@query("{T}, r AS (SELECT " + RAW_SQL + " FROM t) SELECT id_portal_base, texto FROM (" + _normalised("r") + ")")
 def raw_full_text(spark, sf_dir):
     return project.normalised(raw_notices(notices(spark, sf_dir))).select("id_portal_base", "texto")
 
@@ -545,7 +600,7 @@ def detail_unwrapped(spark, sf_dir):
 
 # Dashboard -----------------------------------------------------------------------------------------------------------------
 
-_FIELDS = "lower(concat_ws(' ', nullif(titulo, ''), nullif(entidade, ''), nullif(cpv, ''), nullif(tipo_procedimento, '')))"
+_FIELDS = "lower(concat_ws(' ', nullif(titulo, ''), nullif(entidade, ''), nullif(distrito, ''), nullif(municipio, ''), nullif(preco_base, '')))"
 _CATEGORY = _case("lower(titulo)", L.CATEGORIES, L.OTHER_CATEGORY)
 _SERVICE = _case(_fold("concat_ws(' ', titulo, tipo_procedimento)"), L.SERVICES, None)
 _PROCEDURE = _fold("coalesce(tipo_procedimento, '')")
@@ -562,9 +617,20 @@ def dashboard_search_hits(spark, sf_dir):
     return _dashboard(spark, sf_dir, search="Escola BÁSICA")
 
 
-@query(f"{{T}} SELECT id FROM t WHERE {_CATEGORY} = 'Escolas' AND entidade = 'NATION_1'")
+@query(f"{{T}} SELECT id FROM t WHERE contains({_FIELDS}, ',50 €')")
+def dashboard_search_price(spark, sf_dir):
+    return _dashboard(spark, sf_dir, search=" ,50 € ")
+
+
+@query(f"{{T}} SELECT id FROM t WHERE contains({_FIELDS}, 'nation_1 município 1')")
+def dashboard_search_place(spark, sf_dir):
+    """Across the end of one field and the beginning of the next."""
+    return _dashboard(spark, sf_dir, search="Nation_1 MUNICÍPIO 1")
+
+
+@query(f"{{T}} SELECT id FROM t WHERE {_CATEGORY} = 'Escolas' AND distrito = 'NATION_1'")
 def dashboard_category_and_district(spark, sf_dir):
-    return _dashboard(spark, sf_dir, category=(classify.category(F.col("titulo")), "Escolas"), district=(F.col("entidade"), "NATION_1"))
+    return _dashboard(spark, sf_dir, category=(classify.category(F.col("titulo")), "Escolas"), district=(F.col("distrito"), "NATION_1"))
 
 
 @query(f"{{T}} SELECT id FROM t WHERE contains({_PROCEDURE}, 'consulta previa') OR contains({_PROCEDURE}, 'empreitadas')")
@@ -585,7 +651,7 @@ def dashboard_cards(spark, sf_dir):
 
 @query(f"{{T}} SELECT id FROM t WHERE contains({_FIELDS}, 'projeto') AND {_CATEGORY} = 'Outros' AND contains({_PROCEDURE}, 'servicos') AND coalesce({_SERVICE} IN ('Elaboração de projeto', 'Revisão / Análise de projeto'), false) AND estado = 'aberto'")
 def dashboard_all_filters(spark, sf_dir):
-    return _dashboard(spark, sf_dir, search="projeto", category=(classify.category(F.col("titulo")), "Outros"), district=(F.col("entidade"), "Todos"), procedures=["serviços"], services=["Elaboração de projeto", "Revisão / Análise de projeto"], kind="ativos")
+    return _dashboard(spark, sf_dir, search="projeto", category=(classify.category(F.col("titulo")), "Outros"), district=(F.col("distrito"), "Todos os distritos"), procedures=["serviços"], services=["Elaboração de projeto", "Revisão / Análise de projeto"], kind="ativos")
 
 
 @query("{T} SELECT id FROM t WHERE (contains(lower(titulo), 'museu') OR contains(lower(coalesce(entidade, '')), 'museu')) AND estado = 'sem_prazo'")
@@ -597,7 +663,7 @@ def simple_list(spark, sf_dir):
 def monthly_order(spark, sf_dir):
     """Latest first, ties by id; the place in that order is part of the row."""
     month = report.monthly_summary(_typed(spark, sf_dir), _as_of())
-    return project.numbered(month, F.desc("data_publicacao"), F.desc("id"), name="lugar").select("id", F.col("lugar").cast("long").alias("lugar"))
+    return _places(month.select("id", "data_publicacao"), F.desc("data_publicacao"), F.desc("id"))
 
 
 @query("{T} SELECT id, pub AS dia FROM t")
@@ -683,3 +749,6 @@ def incremental_dedup(spark, sf_dir):
 def monthly_events(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.groupBy(F.trunc("ts", "MM").cast("date").alias("mes"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("valor"))
+
+
+from . import store_queries  # noqa: E402, F401  (registers its queries here)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 _TEXT = ["data_limite", "preco_base", "cpv", "tipo_procedimento", "link_anuncio_dr", "data_entrega_propostas", "criterio_tipo", "criterio_resumo", "criterio_detalhe", "entregaveis"]
+#: Where a notice is from: shown and searched, not given by the collector.
+PLACE = ["distrito", "municipio"]
 STORED = StructType(
     [
         StructField("id", LongType(), False),
@@ -16,10 +18,11 @@ STORED = StructType(
         StructField("data", StringType()),
         StructField("relevante", IntegerType()),
         *(StructField(c, StringType()) for c in _TEXT),
+        *(StructField(c, StringType()) for c in PLACE),
     ]
 )
 #: Columns that an update fills in where it has a value.
-ENRICHED = ["entidade", "data", *_TEXT]
+ENRICHED = ["titulo", "entidade", "data", *_TEXT]
 
 
 def align(df: DataFrame, schema: StructType = STORED) -> DataFrame:

@@ -58,9 +58,11 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_several_updates_for_a_key_are_one(spark):
-    new = spark.createDataFrame([("l1", "5", None), ("l1", None, "d1"), ("l3", "7", "d"), ("l3", "8", None)], "link string, preco_base string, data_limite string")
-    rows = sorted((r.link, r.preco_base, r.data_limite) for r in store.upsert(base(spark), new).collect())
-    assert rows == [("l1", "5", "d1"), ("l2", None, "x"), ("l3", "8", "d")]
+    new = spark.createDataFrame([(1, "l1", "5", None, "A"), (2, "l1", " ", "d1", " "), (3, "l3", "9 €", "d", "B"), (4, "l3", "10 €", None, None), (5, None, "x", "x", "x"), (6, " ", "x", "x", "x")], "n int, link string, preco_base string, data_limite string, titulo string")
+    rows = sorted((r.link, r.titulo, r.preco_base, r.data_limite) for r in store.upsert(base(spark), new, order="n").collect())
+    assert rows == [("l1", "A", "5", "d1"), ("l2", "b", None, "x"), ("l3", "B", "10 €", "d")]
+    shuffled = store.upsert(base(spark), new.orderBy(F.desc("n")).repartition(3), order="n")
+    assert sorted((r.link, r.titulo, r.preco_base, r.data_limite) for r in shuffled.collect()) == rows
     listing = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
     assert sorted(map(tuple, project.overlay(listing, spark.createDataFrame([(1, "x"), (1, "y"), (2, "")], "id int, t string")).collect())) == [(1, "y"), (2, "b")]
 
