@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: About so many labelled rows of each language are learned from, chosen by a hash of doc_id.
 ROWS_PER_LANGUAGE = 2500
+#: Nor more than about so many bytes of text of each language, which bounds the model where rows are long.
+BYTES_PER_LANGUAGE = 64_000_000
 LONGEST = 4
 #: One in so many rows of the sample is set aside while the agreement of words is found, in languages of so many rows.
 CALIBRATING, CALIBRATING_FROM = 10, 20
@@ -169,10 +171,12 @@ def is_held_out() -> Column:
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learn every token of a sample of the rows that aren't held out, bounded in each language; no language is left out.
 
-    The model comes to the driver and is broadcast: rows_per_language and the number of languages bound it.
+    The model comes to the driver and is broadcast: rows_per_language, BYTES_PER_LANGUAGE and the number of languages bound it.
     """
     own = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("_lang"), F.expr(f"least({_SCALE}, {rows_per_language * _SCALE} div n + 1)").alias("_share"), (F.col("n") >= CALIBRATING_FROM).alias("_many"))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    share = F.expr(f"least({_SCALE}, {rows_per_language * _SCALE} div n + 1, {BYTES_PER_LANGUAGE * _SCALE} div greatest(bytes, 1) + 1)")
+    sizes = sizes.select(F.col("lang").alias("_lang"), share.alias("_share"), (F.col("n") >= CALIBRATING_FROM).alias("_many"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(_SCALE))
     own = own.select("lang", F.col("text").cast("string").alias("text"), draw.alias("draw"))
     # one row a language, as many as the model on the driver has; a shuffle by so few keys would be one task's work each

@@ -26,42 +26,52 @@ from .suffixes import drop_repeats
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those of further kinds that the trees accept."""
     return personal_data(table(spark, sf_dir, "documents"))
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeated spans cover."""
     return drop_repeated_spans(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, through a ledger that begins empty."""
     return secret_findings(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat from a smaller doc_id."""
     return drop_repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of line runs."""
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of benchmark items cover."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and group of near copies."""
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 

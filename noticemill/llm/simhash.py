@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, line_hash
 
 SHINGLE = 3
 SEED = 42
@@ -95,9 +95,10 @@ def drop_near_copies(docs: DataFrame, dense_cell: int = DENSE_CELL) -> DataFrame
     without doc_id stays only in a group where none has one, and one row of it.
     """
     keep = Scratch(docs.sparkSession).keep
-    version = F.xxhash64(F.col("text").cast("binary"))
+    first, second = line_hash(F.col("text").cast("binary"))
+    version = F.struct(first.alias("a"), second.alias("b"))  # texts of one version are taken for one, so 128 bits
     texts = docs.select(version.alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marks = texts.mapInArrow(_fingerprints, "doc_id long, fp long").groupBy(F.col("doc_id").alias("version")).agg(F.min("fp").alias("fp"))
+    marks = texts.mapInArrow(_fingerprints, "doc_id struct<a:bigint,b:bigint>, fp long").groupBy(F.col("doc_id").alias("version")).agg(F.min("fp").alias("fp"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), version.alias("version"))
     rows = docs.select(place.alias("place")).groupBy("place.version").agg(F.min("place").alias("place"))
     marks = keep(marks.join(rows, "version").groupBy("fp").agg(F.min("place").alias("place")))
