@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from .extract import has_cpv, in_cpv_family
-from .text import any_phrase, bound, classify_form, fold, matches, search_form
+from .phrases import any_indexed, indexed_lists
+from .text import any_phrase, bound, classify_form, fold, search_form
 
 
 def _any_of_kind(kinds: Column, words: list[str]) -> Column:
@@ -17,13 +18,14 @@ def _any_of_kind(kinds: Column, words: list[str]) -> Column:
 def analyse(title: Column, text: Column, cpvs: Column, kinds: Column) -> Column:
     """Struct of a notice's relevance for architecture, with matches, exclusions and reasons."""
     whole = classify_form(F.concat_ws(" ", title, text))
-    found = lambda t: F.struct(
-        *(matches(t, words).alias(n) for n, words in (("explicit", L.EXPLICIT), ("action", L.DESIGN_ACTION), ("coordination", L.COORDINATION), ("exclusion", L.EXCLUSION), ("supervision", L.SUPERVISION), ("engineering", L.ENGINEERING))),
+    lists = {"explicit": L.EXPLICIT, "action": L.DESIGN_ACTION, "coordination": L.COORDINATION, "exclusion": L.EXCLUSION, "supervision": L.SUPERVISION, "engineering": L.ENGINEERING}
+    found = lambda m: F.struct(
+        *(m[n].alias(n) for n in lists),
         _any_of_kind(kinds, L.SERVICE_CONTRACTS).alias("service"),
         _any_of_kind(kinds, L.WORKS_CONTRACTS).alias("works"),
         F.coalesce(in_cpv_family(cpvs), F.lit(False)).alias("cpv"),
     )
-    return bound(bound(whole, found), _decide)
+    return bound(bound(indexed_lists(whole, lists), found), _decide)
 
 
 def _decide(m: Column) -> Column:
@@ -47,11 +49,11 @@ def _decide(m: Column) -> Column:
 
 def worth_details(text: Column) -> Column:
     """Prefilter before details are looked up; text in search form."""
-    return bound(text, lambda t: _worth(t) | any_phrase(t, L.COMPETITION_WORDS))
+    return bound(text, lambda t: _worth(t) | any_indexed(t, L.COMPETITION_WORDS))
 
 
 def _worth(t: Column) -> Column:
-    return any_phrase(t, L.STRONG_WORDS) | any_phrase(t, L.PROJECT_WORDS) | (any_phrase(t, L.BUILDING_WORDS) & any_phrase(t, L.SERVICE_WORDS))
+    return any_indexed(t, L.STRONG_WORDS) | any_indexed(t, L.PROJECT_WORDS) | (any_indexed(t, L.BUILDING_WORDS) & any_indexed(t, L.SERVICE_WORDS))
 
 
 def looks_relevant(cpv: Column, text: Column) -> Column:

@@ -101,3 +101,29 @@ def days_left_label(n: Column) -> Column:
 def freshness(published: Column, as_of: Column) -> Column:
     n = F.datediff(as_of, published)
     return F.when(n <= 0, "Hoje").when(n == 1, "Ontem").when(n <= 7, F.concat(n.cast("string"), F.lit(" dias")))
+
+
+#: Shown where there is no date.
+NO_DATE = "Sem data"
+
+
+def _shown(c: Column, form: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(NO_DATE)).otherwise(F.coalesce(form, c))
+
+
+def display_date(c: Column) -> Column:
+    """Three parts between hyphens the other way round, with slashes; other texts as they are."""
+    parts = F.split(c, "-", -1)
+    return _shown(c, F.when(F.size(parts) == 3, F.array_join(F.reverse(parts), "/")))
+
+
+def display_delivery(c: Column) -> Column:
+    """DD/MM/YYYY and perhaps HH:MM of a text that begins as DD-MM-YYYY; other texts as they are."""
+    pattern = r"(?U)^([0-9]{2})-([0-9]{2})-([0-9]{4})(?:\s+([0-9]{2}:[0-9]{2}))?"
+    part = lambda i: F.regexp_extract(c, pattern, i)
+    return _shown(c, F.when(part(1) != "", F.rtrim(F.concat(part(1), F.lit("/"), part(2), F.lit("/"), part(3), F.lit(" "), part(4)))))
+
+
+def display_history(c: Column) -> Column:
+    """DD/MM/YYYY of a text that begins as YYYY-MM-DD and names a day; other texts as they are."""
+    return _shown(c, F.date_format(F.try_to_date(F.regexp_extract(c, "^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:$|[T ])", 1), "yyyy-MM-dd"), "dd/MM/yyyy"))

@@ -25,10 +25,14 @@ def newest_first() -> tuple[Column, Column]:
     return F.desc_nulls_last("data_publicacao"), F.desc("id")
 
 
-def page(df: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
-    """The rows of one page, in the order of listings."""
+def checked(number: int, size: int) -> None:
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("page numbers begin at 1, sizes go from 1 to 100")
+
+
+def page(df: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
+    """The rows of one page, in the order of listings."""
+    checked(number, size)
     return df.orderBy(*newest_first()).offset((number - 1) * size).limit(size)
 
 

@@ -14,6 +14,7 @@ from ..operators.project import enriched, flat_text, normalised, overlay, prefil
 from ..operators.store import already_in, append_new, insert_new, keep_first, not_in, upsert
 from ..schema import align
 from ..sources.notices import recent
+from ..stored import Scratch
 
 _READ = ("criterio_tipo", "criterio_resumo", "criterio_detalhe", "data_entrega_propostas")
 
@@ -71,9 +72,13 @@ def record_layout(df: DataFrame) -> DataFrame:
 
 
 def run(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint: DataFrame, store: DataFrame, as_of: Column, config: Config = Config()) -> Run:
-    """All records of the checkpoint are analysed, relevant ones inserted or, where the store has their link, laid over its rows."""
-    records = collect(listing, details, gazettes, checkpoint, as_of, config)
-    rows = records.withColumn("analise", analyse(F.col("titulo"), F.col("texto"), F.col("cpvs"), F.col("tipos_contrato")))
+    """All records of the checkpoint are analysed, relevant ones inserted or, where the store has their link, laid over its rows.
+
+    Records and their analysis are stored, since several results read them.
+    """
+    keep = Scratch(listing.sparkSession).keep
+    records = keep(collect(listing, details, gazettes, checkpoint, as_of, config))
+    rows = keep(records.withColumn("analise", analyse(F.col("titulo"), F.col("texto"), F.col("cpvs"), F.col("tipos_contrato"))))
     relevant = rows.where("analise.relevante")
     updated = upsert(align(store), already_in(relevant, store))
     return Run(insert_new(updated, not_in(relevant, store)), records, run_counters(rows, store))

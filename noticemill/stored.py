@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,22 @@ def hadoop(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_made: ContextVar[list[Scratch] | None] = ContextVar("_made", default=None)
+
+
+@contextmanager
+def clearing() -> Iterator[None]:
+    """Deletes at its end what Scratches made inside still keep: for a caller that has stored the result by then."""
+    outer, own = _made.get(), []
+    _made.set(own)
+    try:
+        yield
+    finally:
+        _made.set(outer)
+    for scratch in own:
+        scratch.clear()
+
+
 class Scratch:
     """Tables that a call stores in the shared folder, so that lineage ends there and lost executors cost no more than a read.
 
@@ -38,6 +57,8 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/noticemill-{uuid.uuid4().hex}"
         self._kept: dict[int, tuple[DataFrame, str]] = {}
+        if (made := _made.get()) is not None:
+            made.append(self)
         place, files = hadoop(spark, self.folder)
         files.mkdirs(place)
         files.deleteOnExit(place)
