@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 EXAMPLES = 4000
 ROUNDS = 40
 RATE = 0.3
@@ -421,7 +423,7 @@ _TRAINED: dict[str, tuple] = {}
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of all kinds) of each row of docs.
 
     A null text counts as empty and has no span. Rows that repeat come back as often; an empty table gives no rows;
     other columns are not read. Spans of a base kind don't overlap each other but may overlap others. Of further kinds'
@@ -434,9 +436,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     own = _proposed(own, BASE | GENERATORS).drop("text")
     own = _selected(own.select("doc_id", *(_kept_base(k).alias(k) for k in BASE), _passing(*_TRAINED["model"]).alias("passed")))
     more = [_named(k, _of_kind(k)) for k in MORE]
-    return own.select(
+    found = own.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(F.concat_ws(",", *BASE), 256).alias("base_sha256"),
         F.concat_ws(",", *BASE, *more).alias("spans"),
+        (sum((F.size(k) for k in BASE), F.lit(0)) + F.size("stands")).cast("long").alias("n_spans"),
     )
+    # stored, as a filter behind it would else be pushed below and do all the work twice
+    return Scratch(spark).keep(found)

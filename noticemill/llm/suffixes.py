@@ -335,8 +335,13 @@ def _unpacked(columns: list[list[bytes]]) -> list[np.ndarray]:
 
 
 def _suffixes(columns: list[list[bytes]]):
-    """(data, docs, starts, lefts, run of each suffix, its place, its reach) of a block."""
+    """(data, docs, starts, lefts, run of each suffix, its place, its reach) of a block.
+
+    A block of 2^31 bytes or more, which one string in very many documents can make, is an error, not a wrong result.
+    """
     data, size, doc, start, left = _unpacked(columns)
+    if len(data) >= 1 << 31:
+        raise ValueError(f"a block of {len(data)} bytes: 2^31 or more are not supported")
     windows = size - (MIN_BYTES - 1)
     run = np.repeat(np.arange(len(size), dtype=np.int32), windows)
     begin = (np.cumsum(size) - size).astype(np.int32)  # a block has fewer than 2^31 bytes
