@@ -10,6 +10,7 @@ from noticemill.llm.decontaminate import drop_contaminated
 from noticemill.llm.langid import keep_identified
 from noticemill.llm.lines import without_repeated_lines
 from noticemill.llm.simhash import drop_near_copies
+from noticemill.stored import clearing
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     scratch, docs, kept = Scratch(spark), table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        with clearing():  # what a stage has stored for itself
+            docs = scratch.keep(stage(spark, docs, sf_dir))
         if kept is not None:
             scratch.drop(kept)
         kept = docs
