@@ -193,3 +193,27 @@ def chat_digests(conversations: DataFrame, template: Template = Template()) -> D
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", text_parts(F.col("text")).alias("parts"))
     return read_back(formatted(turns, template), template)
+
+
+def _sql_escapes(text: str, t: Template) -> str:
+    """How many escapes a text gets."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    inside = [f"(len({text}) - len(replace({text}, {quoted(c)}, ''))) // {len(c)}" for c in (ESCAPE, *t.controls)]
+    tails = sorted({c[:i] for c in t.controls for i in range(1, len(c))})
+    return " + ".join(inside) + f" + CASE WHEN {' OR '.join(f'suffix({text}, {quoted(x)})' for x in tails)} THEN 1 ELSE 0 END"
+
+
+def oracle_sql(control_turns: list[tuple[int, int, str, str]], t: Template = Template()) -> str:
+    """Digests of the turns themselves, lengths of the formatted text by counting what is escaped."""
+    more = ", ".join(f"({c}, {n}, '{role}', '{text}')" for c, n, role, text in control_turns)
+    around = len(t.begin) + len(t.middle) + len(t.end)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {more}) x(conv_id, turn, role, text))),
+e AS (SELECT *, len(text) + {_sql_escapes("text", t)} + len(role) + {_sql_escapes("role", t)} + {around} AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' {order})) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (WHERE role IN ({", ".join(f"'{r}'" for r in t.trained)})), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER (WHERE role IN ({", ".join(f"'{r}'" for r in t.trained)})), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
+FROM e GROUP BY conv_id
+"""

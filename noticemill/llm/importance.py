@@ -16,6 +16,7 @@ from ..functions.text import bound
 from ..operators.numbering import numbered
 from .common import Scratch
 from .decontaminate import LOWER, UPPER, words
+from .oracles import CRC_TABLE, crc32
 
 BUCKETS = 10_000
 LONGEST = 3  # words of the longest run
@@ -93,3 +94,26 @@ def sampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_wo
     """The rows of docs that are drawn, columns unchanged; of rows that repeat a doc_id all stay once one is drawn."""
     kept = resampled(docs, target, percent, least_words, seed).where("rank is not null").select(F.col("doc_id").alias("_drawn")).distinct()
     return docs.join(kept, F.col("doc_id").cast("long") == F.col("_drawn"), "left_semi")
+
+
+def _sql_features(table: str, key: str) -> str:
+    own = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+    return f"SELECT {key}, len(w) AS n_words, unnest({runs}) AS s FROM (SELECT {key}, {own} AS w FROM {table})"
+
+
+#: The same by a table of features.
+ORACLE_SQL = f"""
+WITH {CRC_TABLE},
+f AS MATERIALIZED ({_sql_features("documents", "doc_id")}), tf AS MATERIALIZED ({_sql_features("benchmark", "item_id")}),
+u AS MATERIALIZED (SELECT s, {crc32("s")} % {BUCKETS} AS b FROM (SELECT s FROM f UNION SELECT s FROM tf), tab),
+sc AS (SELECT b, count(*) AS n FROM f JOIN u USING (s) GROUP BY b), tc AS (SELECT b, count(*) AS n FROM tf JOIN u USING (s) GROUP BY b),
+g AS (SELECT r.b, CAST(floor(1000 * ln(CAST((coalesce(tc.n, 0) + 1) * ((SELECT count(*) FROM f) + {BUCKETS}) AS DOUBLE) / CAST((coalesce(sc.n, 0) + 1) * ((SELECT count(*) FROM tf) + {BUCKETS}) AS DOUBLE))) AS BIGINT) AS g
+      FROM range({BUCKETS}) r(b) LEFT JOIN sc ON sc.b = r.b LEFT JOIN tc ON tc.b = r.b),
+w AS (SELECT doc_id, any_value(n_words) AS n_words, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM f JOIN u USING (s) JOIN g USING (b) GROUP BY doc_id),
+d AS (SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('{SEED}:', documents.doc_id)), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+      FROM documents LEFT JOIN w ON w.doc_id = documents.doc_id),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM d WHERE n_words >= {LEAST_WORDS})
+SELECT d.doc_id, n_features, weight, score, CASE WHEN place <= {PERCENT} * n // 100 THEN place END AS rank FROM d LEFT JOIN p ON p.doc_id = d.doc_id
+"""

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import decontaminate
 from .bpe import bpe_round_trip
 from .chat import chat_digests
+from .chat import oracle_sql as chat_sql
 from .common import table
 from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
 from .embeddings import near_vectors
+from .importance import ORACLE_SQL as IMPORTANCE_SQL
 from .importance import resampled
 from .langid import identify_languages
 from .pii import personal_data
@@ -21,6 +23,7 @@ from .lines import dedup_lines
 from .secrets import secret_findings
 from .sentences import drop_repeated_spans
 from .simhash import simhash_groups
+from .spelling import ORACLE_SQL as SPELLING_SQL
 from .spelling import spelling_variants
 from .suffixes import drop_repeats
 
@@ -110,4 +113,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_spelling_variants": op12_spelling_variants,
     "op13_chat_format": op13_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_runs": LINES_SQL, "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_runs": LINES_SQL, "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op11_importance_resampling": IMPORTANCE_SQL, "op12_spelling_variants": SPELLING_SQL, "op13_chat_format": chat_sql(CONTROL_TURNS)}

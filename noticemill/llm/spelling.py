@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .decontaminate import LOWER, UPPER
+from .oracles import CRC_TABLE, crc32
 
 LEAST_LENGTH = 6
 LEAST_COUNT = 5
@@ -123,3 +124,22 @@ def spelling_variants(docs: DataFrame, ratio: int = RATIO, dense_cell: int = DEN
 def normalised_words(variants: DataFrame) -> DataFrame:
     """(word, root) of the words that a text would be rewritten with."""
     return variants.where("form is not null").select("word", "root")
+
+
+#: The same by the strings that are left without the letter of each place.
+ORACLE_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE len(run) >= {LEAST_LENGTH} GROUP BY ALL),
+h AS (SELECT run, n, {crc32("concat(doc_id, ':', run)")} AS h FROM g, tab),
+o AS (SELECT CASE WHEN h % {ONE_IN} = 0 THEN concat(left(run, h % len(run)), substr(run, h % len(run) + 2)) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE len(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+k AS MATERIALIZED (SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) AS rest FROM (SELECT word, n, unnest(range(len(word))) AS i FROM v)),
+p AS (SELECT a.word AS u, b.word AS w, b.n AS m FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT k.word, v.word, v.n FROM k JOIN v ON k.rest = v.word UNION SELECT v.word, k.word, k.n FROM k JOIN v ON k.rest = v.word),
+b AS (SELECT u, w, m, row_number() OVER (PARTITION BY u ORDER BY m DESC, w) AS place, count(*) OVER (PARTITION BY u) AS n_near FROM p),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {RATIO} * v.n THEN w END AS form, CASE WHEN m >= {RATIO} * v.n THEN m END AS form_n
+      FROM v LEFT JOIN b ON b.u = v.word AND place = 1),
+t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word JOIN f AS e ON e.word = t.root AND e.form IS NULL
+"""

@@ -659,7 +659,7 @@ def test_queries_equal_their_sql(spark):
     from noticemill.llm.queries import ORACLE_SQL, QUERIES
 
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         got = QUERIES[name](spark, SF)
