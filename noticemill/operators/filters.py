@@ -19,6 +19,12 @@ def in_period(period: str) -> Column:
     return F.col("estado") != "encerrado" if period == "atual" else F.col("estado") == "encerrado"
 
 
+def in_period_stored(period: str, as_of: Column) -> Column:
+    """The same by the stored end of the period, so that the scan skips what lies outside."""
+    end = F.col("data_fim")
+    return end.isNull() | (end >= as_of) if period == "atual" else end < as_of
+
+
 def in_period_by_year(published: Column, as_of: Column, period: str) -> Column:
     return F.year(published) == F.year(as_of) if period == "atual" else F.year(published) < F.year(as_of)
 

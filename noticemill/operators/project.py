@@ -122,10 +122,14 @@ def flat_text(raw: DataFrame) -> DataFrame:
 
 
 def typed(df: DataFrame, as_of: Column) -> DataFrame:
-    """Adds data_publicacao, data_fim, estado, preco: what filters and aggregates read, best stored with the rows."""
-    published = parse_date(F.col("data"))
-    out = df.withColumn("data_publicacao", published).withColumn("preco", parse_price(F.col("preco_base")))
-    out = out.withColumn("data_fim", deadline(F.col("data_publicacao"), F.col("data_limite")))
+    """Adds data_publicacao, data_fim, estado, preco: what filters and aggregates read. Those that are stored with the rows are taken."""
+    out = df
+    if "data_publicacao" not in df.columns:
+        out = out.withColumn("data_publicacao", parse_date(F.col("data")))
+    if "preco" not in df.columns:
+        out = out.withColumn("preco", parse_price(F.col("preco_base")))
+    if "data_fim" not in df.columns:
+        out = out.withColumn("data_fim", deadline(F.col("data_publicacao"), F.col("data_limite")))
     return out.withColumn("estado", state(F.col("data_fim"), as_of))
 
 

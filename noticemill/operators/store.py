@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, dedup_bullets
 from ..schema import ENRICHED, STORED, align
+from ..stored import CommitConflict, create_once
 from .filters import with_criteria
 from .project import enriched, last_given
 
@@ -137,19 +139,35 @@ def _versions(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "version long, path string")
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new version, then point to it; earlier versions stay as backups. Returns the version's path."""
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    last = _versions(spark, root).agg(F.max("version")).first()[0] or 0
-    spark.createDataFrame([(last + 1, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/_pointers")
-    return path
+def snapshot_number(spark: SparkSession, root: str) -> int:
+    """The number of the latest snapshot, 0 if there is none."""
+    return _versions(spark, root).agg(F.max("version")).first()[0] or 0
+
 
+def write_snapshot(df: DataFrame, root: str, after: int | None = None) -> str:
+    """Write a new version, then point to it; earlier versions stay as backups. Returns the version's path.
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The version of the greatest number; of two that were written at once the greater path, for all readers alike."""
-    latest = _versions(spark, root).agg(F.max(F.struct("version", "path")).alias("last")).first()["last"]
-    if latest is None:
+    after is the number of the snapshot that df was made from: CommitConflict is raised if another writer has taken the
+    next number since. Without it the next free number is taken.
+    """
+    spark, root = df.sparkSession, root.rstrip("/")
+    path = f"{root}/v-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    number = (snapshot_number(spark, root) if after is None else after) + 1
+    while True:
+        try:
+            create_once(spark, f"{root}/_pointers/{number:012d}.json", json.dumps({"version": number, "path": path}))
+            return path
+        except FileExistsError:
+            if after is not None:
+                raise CommitConflict(f"snapshot {number} of {root} is taken") from None
+            number += 1
+
+
+def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The latest version, or the one of a number."""
+    rows = _versions(spark, root)
+    last = rows.where(F.lit(number is None) | (F.col("version") == F.lit(number))).agg(F.max(F.struct("version", "path")).alias("last")).first()["last"]
+    if last is None:
         raise FileNotFoundError(f"no snapshot in {root}")
-    return spark.read.parquet(latest["path"])
+    return spark.read.parquet(last["path"])

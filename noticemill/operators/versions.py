@@ -16,16 +16,15 @@ import json
 import uuid
 from dataclasses import dataclass, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegerType, LongType, StructField, StructType
 
 from ..functions.dates import deadline, parse_date
 from ..functions.money import parse_price
-from ..schema import STORED, align
-from ..stored import Scratch, hadoop
-from .store import folded, insert_new, upsert
+from ..schema import ENRICHED, STORED, align
+from ..stored import CommitConflict, Scratch, create_once, hadoop
+from .store import folded, insert_new
 
 UNDATED = 0
 #: Columns that are parsed once, when a row is stored.
@@ -34,10 +33,6 @@ SCHEMA = StructType([*STORED.fields, *TYPED, StructField("mes", IntegerType()),
 _PLACE = ["mes", "parte"]
 
 
-class CommitConflict(RuntimeError):
-    """Another writer has taken the version that a commit was for."""
-
-
 @dataclass(frozen=True)
 class Version:
     """One version of a table: its number, the folder of each (mes, parte), what was merged into it, the greatest id."""
@@ -94,26 +89,11 @@ def at(spark: SparkSession, root: str, number: int) -> Version:
 
 
 def commit(spark: SparkSession, version: Version) -> Version:
-    """Take a version's number, or raise CommitConflict if it is taken.
-
-    The file is written aside and renamed to where nothing may be, as stream checkpoints do: readers see it whole or not
-    at all, and of two writers one succeeds wherever a rename doesn't replace files.
-    """
+    """Take a version's number, or raise CommitConflict if it is taken."""
     body = {k: getattr(version, k) for k in ("buckets", "parts", "folders", "batches", "top")}
-    target, files = hadoop(spark, _file(version.root, version.number))
-    aside, _ = hadoop(spark, f"{version.root}/versions/.{uuid.uuid4().hex}")
-    out = files.create(aside, False)
-    out.write(bytearray(json.dumps(body).encode()))
-    out.close()
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    never_replacing = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        context.rename(files.makeQualified(aside), files.makeQualified(target), never_replacing)
-    except Py4JJavaError as e:
-        files.delete(aside, False)
-        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
-            raise
+        create_once(spark, _file(version.root, version.number), json.dumps(body))
+    except FileExistsError:
         raise CommitConflict(f"version {version.number} of {version.root} is taken") from None
     return version
 
@@ -164,8 +144,8 @@ def _write(rows: DataFrame, version: Version) -> tuple[tuple[int, int, str], ...
     """Rows into a folder of their own; what is there, by (mes, parte)."""
     spark, commit_name = rows.sparkSession, uuid.uuid4().hex
     name, path = f"write_{commit_name}", f"{version.root}/data/{commit_name}"
-    # as many tasks as buckets, dealt as buckets are, so that a task writes one file a pair at most
-    dealt = rows.repartition(version.buckets, "link")
+    # dealt by folder and bucket, so that each of its files is written by one task, and as many tasks as there are write
+    dealt = rows.repartition(*_PLACE, F.pmod(F.hash("link"), F.lit(version.buckets)))
     dealt.write.format("parquet").partitionBy(*_PLACE).bucketBy(version.buckets, "link").sortBy("link").option("path", path).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # external: its files stay
     found = []
@@ -182,15 +162,16 @@ def create(spark: SparkSession, root: str, df: DataFrame, buckets: int = 8, part
     empty = Version(root.rstrip("/"), 1, buckets, parts)
     rows = typed_rows(df, parts)
     top = df.agg(F.max("id")).first()[0] or 0
-    return commit(spark, replace(empty, folders=_write(rows, empty), top=top))
+    return commit(spark, replace(empty, folders=tuple(sorted(_write(rows, empty))), top=top))
 
 
 def merge(spark: SparkSession, version: Version, updates: DataFrame, order: str | None = None, batch: tuple[str, int] | None = None, insert: bool = True) -> Version:
     """The next version: updates laid over the rows of their links, new links inserted.
 
-    Only the (mes, parte) in which a row changes or arrives are written; a row whose date changes leaves its old month. A
-    batch (stream, number) that the version already holds changes nothing, so that a batch may be given twice. Raises
-    CommitConflict if another writer was faster.
+    Only the (mes, parte) in which a row becomes different or arrives are written; a row whose date changes leaves its old
+    month. A batch (stream, number) that the version already holds changes nothing, so that a batch may be given twice.
+    Where nothing becomes different the version stays, or is committed with its folders as they are if a batch is to be
+    noted. Raises CommitConflict if another writer was faster.
     """
     done = dict(version.batches)
     if batch and done.get(batch[0], -1) >= batch[1]:
@@ -200,15 +181,19 @@ def merge(spark: SparkSession, version: Version, updates: DataFrame, order: str
     store = read(spark, version)
     # where the links are: their month and part only, from the store as it lies; updates go to its buckets
     here = scratch.keep(store.select("link", *_PLACE).join(new.select("link"), "link", "left_semi"))
-    known = new.join(here.select("link"), "link", "left_semi")
+    laid = scratch.keep(_laid_over(_at_places(store, here), new))
+    links = laid.where("_differs").select("link").distinct()
+    changed = scratch.keep(typed_rows(laid.join(links, "link", "left_semi"), version.parts))
     fresh = new.join(here.select("link"), "link", "left_anti")
-    changed = scratch.keep(typed_rows(upsert(_at_places(store, here).join(here.select("link"), "link", "left_semi").select(*STORED.names), known), version.parts))
     arrived = scratch.keep(typed_rows(_numbered(fresh, version.top), version.parts)) if insert else changed.limit(0)
-    moved = here.select(*_PLACE).union(changed.select(*_PLACE)).union(arrived.select(*_PLACE)).distinct().collect()  # a row a folder
+    left = laid.join(links, "link", "left_semi").select(F.col("_mes").alias("mes"), F.col("_parte").alias("parte"))
+    moved = left.union(changed.select(*_PLACE)).union(arrived.select(*_PLACE)).distinct().collect()  # a row a folder
     touched = {(r["mes"], r["parte"]) for r in moved}
-    stay = _in_places(store, touched).join(here.select("link"), "link", "left_anti")
-    rows = stay.unionByName(changed).unionByName(arrived)
-    written = _write(rows, version) if touched else ()
+    if not touched and not batch:
+        scratch.clear()
+        return version
+    stay = _in_places(store, touched).join(changed.select("link"), "link", "left_anti")
+    written = _write(stay.unionByName(changed).unionByName(arrived), version) if touched else ()
     folders = tuple(f for f in version.folders if f[:2] not in touched) + written
     top = max(version.top, arrived.agg(F.max("id")).first()[0] or 0)
     if batch:
@@ -218,6 +203,17 @@ def merge(spark: SparkSession, version: Version, updates: DataFrame, order: str
     return commit(spark, out)
 
 
+def _laid_over(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored rows of the links of new, one update a link, with its values, where they were, and whether they differ now."""
+    given = [c for c in ENRICHED if c in new.columns]
+    both = rows.join(new.select(F.col("link").alias("_link"), *(F.col(c).alias(f"_new_{c}") for c in given)), F.col("link") == F.col("_link"))
+    differs = F.lit(False)
+    for c in given:
+        differs = differs | (F.col(f"_new_{c}").isNotNull() & ~F.col(f"_new_{c}").eqNullSafe(F.col(c)))
+    values = (F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in STORED.names)
+    return both.select(*values, differs.alias("_differs"), F.col("mes").alias("_mes"), F.col("parte").alias("_parte"))
+
+
 def _in_places(store: DataFrame, places: set[tuple[int, int]]) -> DataFrame:
     """Rows of these (mes, parte), by a filter that prunes the others."""
     by_month: dict[int, list[int]] = {}

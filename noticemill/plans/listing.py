@@ -17,6 +17,8 @@ def selected(df: DataFrame, as_of: Column, period: str = "atual", search: str |
     rows = df.where(P.contains_text(search, "titulo", "entidade", "cpv")).where(P.contains_text(entity, "entidade")).where(P.contains_text(procedure, "tipo_procedimento"))
     if only_relevant:
         rows = rows.where(F.col("relevante") == 1)
+    if "data_fim" in df.columns:  # a stored table
+        return typed(rows.where(P.in_period_stored(period, as_of)), as_of).where(P.equals("estado", state))
     return typed(rows, as_of).where(P.in_period(period)).where(P.equals("estado", state))
 
 

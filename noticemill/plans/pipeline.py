@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import analyse, looks_relevant, worth_details
 from ..functions.text import collapse
+from ..operators import versions
 from ..operators.aggregate import run_counters
 from ..operators.project import enriched, flat_text, normalised, overlay, prefilter_text
 from ..operators.store import already_in, append_new, insert_new, keep_first, not_in, upsert
-from ..schema import align
+from ..schema import STORED, align
 from ..sources.notices import recent
 from ..stored import Scratch
 
@@ -71,6 +72,10 @@ def record_layout(df: DataFrame) -> DataFrame:
     return normalised(df).select("*", *(F.lit(None).cast("string").alias(c) for c in _READ))
 
 
+def _analysed(records: DataFrame) -> DataFrame:
+    return records.withColumn("analise", analyse(F.col("titulo"), F.col("texto"), F.col("cpvs"), F.col("tipos_contrato")))
+
+
 def run(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint: DataFrame, store: DataFrame, as_of: Column, config: Config = Config()) -> Run:
     """All records of the checkpoint are analysed, relevant ones inserted or, where the store has their link, laid over its rows.
 
@@ -78,7 +83,34 @@ def run(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint:
     """
     keep = Scratch(listing.sparkSession).keep
     records = keep(collect(listing, details, gazettes, checkpoint, as_of, config))
-    rows = keep(records.withColumn("analise", analyse(F.col("titulo"), F.col("texto"), F.col("cpvs"), F.col("tipos_contrato"))))
+    rows = keep(_analysed(records))
     relevant = rows.where("analise.relevante")
     updated = upsert(align(store), already_in(relevant, store))
     return Run(insert_new(updated, not_in(relevant, store)), records, run_counters(rows, store))
+
+
+@dataclass(frozen=True)
+class TableRun:
+    """What a run on the versioned table leaves: its version before and after, the checkpoint, counters and what has changed."""
+
+    before: versions.Version
+    after: versions.Version
+    checkpoint: DataFrame
+    counters: DataFrame
+    changes: DataFrame
+
+
+def run_table(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint: DataFrame, root: str, as_of: Column, config: Config = Config()) -> TableRun:
+    """The same on the versioned table in root: only the folders that relevant records touch are written.
+
+    The table is joined by link without an exchange on its side, and the counters of rows that are really different come
+    from the folders that the two versions don't share.
+    """
+    spark = listing.sparkSession
+    keep = Scratch(spark).keep
+    records = keep(collect(listing, details, gazettes, checkpoint, as_of, config))
+    rows = keep(_analysed(records))
+    relevant = rows.where("analise.relevante").select(*(c for c in STORED.names if c in rows.columns))
+    before = versions.latest(spark, root)
+    after = versions.merge_retrying(spark, root, relevant)
+    return TableRun(before, after, records, run_counters(rows, versions.read(spark, before)), versions.changes(spark, before, after))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .functions import classify, dates, extract, text
 from .operators import measures, project, search_index, store, versions
-from .plans import paging
-from .queries import _DAY, _as_of, _d_date, _normalised, query
+from .plans import listing, paging, pipeline
+from .queries import _DAY, _OVER, _READ, _RUN, _RUN_STORE, _as_of, _d_date, _normalised, _page, query
 from .schema import align
 from .sources import notices as source
 from .sources import pages
-from .sources.fixtures import RAW_SQL, notices, raw_notices
+from .sources.fixtures import RAW_SQL, gazettes, notices, raw_details, raw_notices
 from .stored import Scratch
 from .streaming import lookback
 from .streaming.upserts import stream_upserts
@@ -142,6 +142,34 @@ def lookback_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("event_id")
 
 
+@query(_page("estado <> 'encerrado'"))
+def table_listing_page1(spark, sf_dir):
+    """The first page of current notices from the stored table: nothing is parsed, files that have ended are skipped."""
+    return listing.listing(versions.read(spark, _table(spark, sf_dir, "true")), _as_of())[0]
+
+
+def _table_run(spark, sf_dir) -> pipeline.TableRun:
+    df = notices(spark, sf_dir)
+    raw = raw_notices(df)
+    seen = pipeline.record_layout(raw.where("cast(id AS long) % 7 = 0"))
+    return pipeline.run_table(raw, raw_details(df), gazettes(df), seen, _table(spark, sf_dir).root, _as_of(), pipeline.Config(days=3650))
+
+
+@query(_RUN + _RUN_STORE)
+def daily_run_table(spark, sf_dir):
+    """The daily run on the versioned table."""
+    return versions.read(spark, _table_run(spark, sf_dir).after).select("link", *_OVER, *_READ)
+
+
+_DIFFERENT = " OR ".join(f"coalesce(nullif(trim(v.{c}), ''), t.{c}) IS DISTINCT FROM t.{c}" for c in _OVER) + " OR " + " OR ".join(f"v.{c} IS NOT NULL" for c in _READ)
+
+
+@query(_RUN + f"SELECT (SELECT count(*) FROM v WHERE no % 2 = 1) AS inserted, (SELECT count(*) FROM t JOIN v ON t.link = v.link WHERE t.id % 2 = 0 AND ({_DIFFERENT})) AS updated, 0 AS deleted")
+def daily_run_changes(spark, sf_dir):
+    """Rows that the daily run has made or made different, from two versions of the table."""
+    return versions.change_counts(_table_run(spark, sf_dir).changes)
+
+
 # Sources, sinks and small forms -------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +32,33 @@ def hadoop(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has taken the version that a commit was for."""
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that only one of several writers can create; FileExistsError if it is there.
+
+    It is written aside and renamed to where nothing may be, as stream checkpoints do: readers see it whole or not at
+    all, and of two writers one succeeds wherever a rename doesn't replace files.
+    """
+    target, files = hadoop(spark, path)
+    aside, _ = hadoop(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = files.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm, sc = spark._jvm, spark.sparkContext
+    never_replacing = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), sc._jsc.hadoopConfiguration())
+    try:
+        context.rename(files.makeQualified(aside), files.makeQualified(target), never_replacing)
+    except Py4JJavaError as e:
+        files.delete(aside, False)
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        raise FileExistsError(path) from None
+
+
 _made: ContextVar[list[Scratch] | None] = ContextVar("_made", default=None)
 
 

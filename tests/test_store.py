@@ -10,6 +10,7 @@ from noticemill.plans import listing
 from noticemill.schema import STORED, align
 from noticemill.sources import notices as source
 from noticemill.sources.fixtures import AS_OF, notices
+from noticemill.stored import CommitConflict
 from noticemill.streaming.ingest import ingest_distinct
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +56,11 @@ def test_snapshots(spark, tmp_path):
     assert store.read_snapshot(spark, root).count() == 1
     with pytest.raises(FileNotFoundError):
         store.read_snapshot(spark, str(tmp_path / "none"))
+    assert store.read_snapshot(spark, root, 1).count() == 2 and store.snapshot_number(spark, root) == 2
+    store.write_snapshot(base(spark), root, after=2)
+    with pytest.raises(CommitConflict):  # made from the second one, which has a successor
+        store.write_snapshot(base(spark).limit(0), root, after=2)
+    assert store.snapshot_number(spark, root) == 3 and store.read_snapshot(spark, root).count() == 2
 
 
 def test_several_updates_for_a_key_are_one(spark):

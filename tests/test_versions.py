@@ -115,6 +115,19 @@ def test_merge_equals_upsert_and_insert(spark, some, tmp_path):
     assert versions.read(spark, w).count() == len(ids) + 1
 
 
+def test_updates_that_change_nothing_write_nothing(spark, some, tmp_path):
+    root = str(tmp_path / "t")
+    v = versions.create(spark, root, some.withColumn("titulo", F.trim("titulo")))
+    same = some.select("link", "titulo", "data", F.lit(" ").alias("preco_base"))
+    assert versions.merge(spark, v, same) == v
+    noted = versions.merge(spark, v, same, batch=("s", 0))
+    assert noted.folders == v.folders and noted.number == 2 and versions.merge(spark, noted, same, batch=("s", 0)) == noted
+    twice = some.limit(1).union(some.limit(1).withColumn("id", F.lit(9000).cast("long")).withColumn("titulo", F.lit("B")))
+    w = versions.create(spark, str(tmp_path / "d"), twice)
+    after = versions.merge(spark, w, some.limit(1).select("link", F.lit("B").alias("titulo")))
+    assert [r.titulo for r in versions.read(spark, after).collect()] == ["B", "B"]
+
+
 def test_of_two_writers_one_commits(spark, some, tmp_path):
     root = str(tmp_path / "t")
     v = versions.create(spark, root, some)
@@ -200,3 +213,12 @@ def test_numbering(spark, parts):
         dealt = spark.createDataFrame([(3,)] * 5000, "n int")
         ids = numbering.numbered(dealt, F.asc("n"), parts=parts)
         assert sorted(r.posicao for r in ids.collect()) == list(range(1, 5001))
+
+
+def test_listing_of_the_table_parses_nothing_and_skips_what_has_ended(spark, some, tmp_path):
+    rows = versions.read(spark, versions.create(spark, str(tmp_path / "t"), some))
+    for period in ("atual", "historico"):
+        stored, parsed = (listing.listing(x, day(AS_OF), 1, 50, period=period) for x in (rows, some))
+        assert stored[0].collect() == parsed[0].collect() and stored[1].first() == parsed[1].first()
+        text = plan(stored[0])
+        assert "data_fim" in text.split("PushedFilters:")[1].split("]")[0] and "gettimestamp" not in text and "regexp" not in text.split("FileScan")[1]
