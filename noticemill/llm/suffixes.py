@@ -1,7 +1,9 @@
 """Suffix-array dedup: maximal repeats of byte strings, and removal of what an earlier document has.
 
 A window of MIN_BYTES bytes belongs to the block of its least GRAM-byte hash, so equal windows meet in one block,
-wherever they stand. Documents first exchange these hashes alone; only text around hashes that two documents share is
+wherever they stand. Strings of GRAM bytes that a sample finds in many documents count as greater than all others, so
+that a phrase which stands in many texts between different words doesn't bring all of them into one block: only windows
+without any rarer string go by it, and these are copies. Documents first exchange these hashes alone; only text around hashes that two documents share is
 sent on, as runs of windows with one least hash. A maximal repeat within a block begins at an open window: one whose
 copies differ on their left, or of which a copy begins its run. The suffixes from these windows (each reaches to the
 end of its run) are sorted, the longest common prefixes of neighbours found and their intervals scanned with a stack;
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,11 @@ GRAM = 20
 #: Bytes of text for each block, which a task holds whole; there are four blocks a partition at least.
 BLOCK_BYTES = 4_000_000
 _SPAN = MIN_BYTES - GRAM + 1  # windows that one string of GRAM bytes lies in
+#: Frequent strings are found in a share of the documents of so many bytes at most, as those of so many of them or more;
+#: the most frequent ones, so many at most, are told to all tasks. Only what meets where depends on it, no result.
+SAMPLE_SHARE, SAMPLE_BYTES, SAMPLE_DOCS, MOST_FREQUENT = 1 / 16, 256_000_000, 20, 200_000
+_MARKS = 1 << 22  # places of a table of frequent hashes; another hash that falls on a marked place counts as frequent, too
+_SAMPLE_TASK_BYTES = 8_000_000
 _FLUSH_ENTRIES = 2_000_000
 _FLUSH_BYTES = 32_000_000
 _TABLE = np.random.default_rng(4).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -54,21 +62,23 @@ def _rolling(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def least_hashes(x: np.ndarray, min_bytes: int = MIN_BYTES) -> np.ndarray:
-    """The least hash of the GRAM-byte strings in each window of min_bytes bytes."""
+def least_hashes(x: np.ndarray, min_bytes: int = MIN_BYTES, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The least hash of the GRAM-byte strings in each window of min_bytes bytes, those marked as frequent after all others."""
     h, span, width = _rolling(x, GRAM), min_bytes - GRAM + 1, 1
+    if frequent is not None:
+        h = (h >> np.uint64(1)) | (frequent[(h & np.uint64(_MARKS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
     while 2 * width <= span:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
     return np.minimum(h[: len(h) - (span - width)], h[span - width :]) if span > width else h
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(x: np.ndarray, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, window after the last, hash) of each run of windows with one least hash.
 
     Periodic texts, in which that string comes again and again, are cut so that no run has more windows than others.
     """
-    low = least_hashes(x)
+    low = least_hashes(x, frequent=frequent)
     edges = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
     size = np.diff(np.append(edges, len(low)))
     if size.max() > _SPAN:
@@ -85,7 +95,27 @@ def _groups(order_key: np.ndarray) -> np.ndarray:
 _EXCHANGE = "part long, hashes binary, docs binary, back binary"
 
 
-def _anchors(blocks: int):
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): hashes of strings that several documents of a task hold, and in how many."""
+    own = [np.unique(_rolling(np.frombuffer(text.as_buffer(), np.uint8), GRAM)) for batch in batches for text in batch.column(0) if len(text.as_py() or b"") >= GRAM]
+    if own:
+        gram, n = np.unique(np.concatenate(own), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[n > 1].view(np.int64)), pa.array(n[n > 1])], ["gram", "n"])
+
+
+def frequent_marks(own: DataFrame, total: int) -> np.ndarray:
+    """The table of frequent hashes of texts with total bytes."""
+    share = min(SAMPLE_SHARE, SAMPLE_BYTES / max(1, total))
+    sample = own.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 24)) < int(share * (1 << 24))).select("text")
+    tasks = max(1, round(share * total / _SAMPLE_TASK_BYTES))
+    counts = sample.repartition(tasks).mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= SAMPLE_DOCS).orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram")
+    marks = np.zeros(_MARKS, bool)
+    marks[np.array([r["gram"] for r in found.collect()], np.int64) & (_MARKS - 1)] = True
+    return marks
+
+
+def _anchors(blocks: int, frequent: Broadcast):
     """The least hashes of a task's documents, packed by block. back: whether the document still waits for the answer."""
 
     def pack(hashes: list[np.ndarray], docs: list[int]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +151,7 @@ def _anchors(blocks: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(text.as_buffer() or b"", np.uint8)
                 if len(x) >= MIN_BYTES:
-                    hashes.append(np.unique(_runs(x)[2]))
+                    hashes.append(np.unique(_runs(x, frequent.value)[2]))
                     docs.append(doc)
                     total += len(hashes[-1])
                 if total > _FLUSH_ENTRIES:
@@ -177,7 +207,7 @@ _SEGMENTS = "part long, content binary, sizes binary, docs binary, starts binary
 _RANGES = "doc_id long, first long, last long"
 
 
-def _segments(blocks: int, settle: bool = True, every: bool = False):
+def _segments(blocks: int, settle: bool = True, every: bool = False, frequent: Broadcast | None = None):
     """Runs of windows whose least hash is shared, packed by block.
 
     If settle, a string goes out for its least document in the task alone: the others' windows are known to go.
@@ -212,7 +242,7 @@ def _segments(blocks: int, settle: bool = True, every: bool = False):
                 raw = text.as_py()
                 if (not every and hashes.as_py() is None) or len(raw) < MIN_BYTES:
                     continue
-                first, end, value = _runs(np.frombuffer(raw, np.uint8))
+                first, end, value = _runs(np.frombuffer(raw, np.uint8), frequent.value if frequent else None)
                 if every:
                     own = np.arange(len(value))
                 else:
@@ -472,9 +502,10 @@ def _runs_of_shared(own: DataFrame, settle: bool) -> tuple[DataFrame, int]:
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(4 * partitions, -(-total // BLOCK_BYTES))
     deal = lambda df: df.repartition(partitions, "part").sortWithinPartitions("part")
-    shared = deal(own.mapInArrow(_anchors(blocks), _EXCHANGE)).mapInArrow(_shared, "doc_id long, hash long")
+    frequent = own.sparkSession.sparkContext.broadcast(frequent_marks(own, total))  # 4 MB
+    shared = deal(own.mapInArrow(_anchors(blocks, frequent), _EXCHANGE)).mapInArrow(_shared, "doc_id long, hash long")
     shared = shared.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
-    return deal(own.join(shared, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_segments(blocks, settle), _SEGMENTS)), partitions
+    return deal(own.join(shared, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_segments(blocks, settle, frequent=frequent), _SEGMENTS)), partitions
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:

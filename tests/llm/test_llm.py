@@ -688,3 +688,28 @@ def brute_groups(texts):
 
 def test_simhash_components(docs, texts):
     assert {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()} == brute_groups(texts)
+
+
+def test_suffix_blocks_are_bounded_with_a_phrase_in_all_documents(spark):
+    """A phrase shorter than a window in every text, between different words: what a string of up to so many documents brings bounds a block."""
+    rnd, phrase = random.Random(8), "all rights reserved by the invented firm"
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    for n in (1000, 8000):
+        rows = [(i, f"{word(200)}{phrase}{word(200)}") for i in range(n)] + [(n + i, f"{'shared by some texts only, and long enough to go ' * 2}{word(60)}") for i in range(20)]
+        runs, _ = suffixes._runs_of_shared(suffixes._texts(spark.createDataFrame(rows, TEXTS)), settle=True)
+        most = runs.where("part >= 0").groupBy("part").agg(F.sum(F.length("content")).alias("n")).agg(F.max("n")).first()[0]
+        assert most < 62 * suffixes.SAMPLE_DOCS / suffixes.SAMPLE_SHARE, (n, most)  # 61,748 bytes for 1,000 documents, were it not set apart
+    out = {r.doc_id: r for r in suffixes.drop_repeats(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert not any(out[i].n_removed for i in range(n)) and all(out[n + i].n_removed >= 50 for i in range(1, 20))
+
+
+def test_suffix_repeats_whatever_counts_as_frequent(spark, monkeypatch):
+    rnd = random.Random(9)
+    parts = ["".join(rnd.choices("ab", k=rnd.choice([30, 50, 70, 200]))) for _ in range(6)]
+    rows = [(i, "".join(rnd.choices(parts, k=rnd.randint(0, 6)))) for i in range(60)]
+    want = brute_repeats(rows)
+    marks = np.random.default_rng(1).random(suffixes._MARKS) < 0.5
+    for table in (np.zeros(suffixes._MARKS, bool), np.ones(suffixes._MARKS, bool), marks):
+        monkeypatch.setattr(suffixes, "frequent_marks", lambda own, total: table)  # noqa: B023
+        got = suffixes.drop_repeats(spark.createDataFrame(rows, TEXTS)).collect()
+        assert {r.doc_id: tuple(r)[1:] for r in got} == want
