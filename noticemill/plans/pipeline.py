@@ -63,8 +63,10 @@ def collect(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpo
     whole = overlay(not_in(candidates(listing, as_of, config), seen, "id"), details)
     kept = flat_text(whole).where(looks_relevant(F.col("cpv"), F.col("texto"))).select(*whole.columns)
     found = normalised(kept)
-    said = enriched(gazettes.dropDuplicates(["link_anuncio_dr"])).select("link_anuncio_dr", *_READ)
-    return append_new(checkpoint, found.join(said, "link_anuncio_dr", "left").select(*found.columns, *_READ), "id_portal_base")
+    said = gazettes.dropDuplicates(["link_anuncio_dr"]).select("link_anuncio_dr", F.col("texto").alias("_said"))
+    # read after the join, so that only documents of records that were found are
+    read = enriched(found.join(said, "link_anuncio_dr", "left"), "_said").select(*found.columns, *_READ)
+    return append_new(checkpoint, read, "id_portal_base")
 
 
 def record_layout(df: DataFrame) -> DataFrame:

@@ -36,9 +36,16 @@ FROM (
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as tasks can run at least: a small file is one partition, and one task would do all work on its rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation")}
-    return spark.sql(NOTICES_SQL, **tables)
+    columns = ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return spark.sql(NOTICES_SQL, **tables | {"orders": spread(tables["orders"].select(*columns))})
 
 
 def details(df: DataFrame) -> DataFrame:
