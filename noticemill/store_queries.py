@@ -55,7 +55,7 @@ def table_merged(spark, sf_dir):
     return versions.read(spark, after).select("link", "titulo", "data", "preco_base", "data_limite", "data_publicacao", F.col("mes").cast("long").alias("mes"))
 
 
-@query("{T} SELECT count(*) FILTER (WHERE id % 2 = 1) AS inserted, count(*) FILTER (WHERE id % 2 = 0) AS updated, 0 AS deleted, (SELECT count(*) FROM t WHERE id % 2 = 0 AND id % 5 <> 0) AS unchanged FROM t WHERE id % 5 = 0")
+@query("{T} SELECT count(*) FILTER (WHERE id % 2 = 1) AS inserted, count(*) FILTER (WHERE id % 2 = 0) AS updated, CAST(0 AS BIGINT) AS deleted, (SELECT count(*) FROM t WHERE id % 2 = 0 AND id % 5 <> 0) AS unchanged FROM t WHERE id % 5 = 0")
 def table_changes(spark, sf_dir):
     """What a merge has inserted, updated and left, from the difference of two versions."""
     before = _table(spark, sf_dir)
@@ -92,7 +92,7 @@ _TERMS = ["museu", "ão de", "é", "NATION_1", "71200000-0", "ío", "xyz", "a"]
 
 
 @query(
-    "{T}, w AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in _TERMS) + "]) AS termo) SELECT termo, count(*) AS n, sum(id) AS ids FROM t, w WHERE contains(lower(titulo), lower(termo)) OR contains(lower(coalesce(entidade, '')), lower(termo)) OR contains(lower(coalesce(cpv, '')), lower(termo)) GROUP BY termo"
+    "{T}, w AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in _TERMS) + "]) AS termo) SELECT termo, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM t, w WHERE contains(lower(titulo), lower(termo)) OR contains(lower(coalesce(entidade, '')), lower(termo)) OR contains(lower(coalesce(cpv, '')), lower(termo)) GROUP BY termo"
 )
 def search_index_hits(spark, sf_dir):
     """Terms of one and more characters through the index; hits are checked against their rows."""
@@ -164,7 +164,7 @@ def daily_run_table(spark, sf_dir):
 _DIFFERENT = " OR ".join(f"coalesce(nullif(trim(v.{c}), ''), t.{c}) IS DISTINCT FROM t.{c}" for c in _OVER) + " OR " + " OR ".join(f"v.{c} IS NOT NULL" for c in _READ)
 
 
-@query(_RUN + f"SELECT (SELECT count(*) FROM v WHERE no % 2 = 1) AS inserted, (SELECT count(*) FROM t JOIN v ON t.link = v.link WHERE t.id % 2 = 0 AND ({_DIFFERENT})) AS updated, 0 AS deleted")
+@query(_RUN + f"SELECT (SELECT count(*) FROM v WHERE no % 2 = 1) AS inserted, (SELECT count(*) FROM t JOIN v ON t.link = v.link WHERE t.id % 2 = 0 AND ({_DIFFERENT})) AS updated, CAST(0 AS BIGINT) AS deleted")
 def daily_run_changes(spark, sf_dir):
     """Rows that the daily run has made or made different, from two versions of the table."""
     return versions.change_counts(_table_run(spark, sf_dir).changes)
