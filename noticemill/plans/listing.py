@@ -50,8 +50,9 @@ def listing(df: DataFrame, as_of: Column, number: int = 1, size: int = 20, **fil
 RECORD = ["id", "titulo", "entidade", "link", "data", "relevante", "data_limite", "preco_base", "cpv", "tipo_procedimento"]
 
 
-def by_id(df: DataFrame, id: int) -> DataFrame:
-    return df.where(F.col("id") == id).select(*RECORD)
+def by_id(df: DataFrame, id: int, *more: str) -> DataFrame:
+    """The notice of an id, no row if there is none; more: columns behind the record's own."""
+    return df.where(F.col("id") == id).select(*RECORD, *more)
 
 
 def by_date(newest: bool = True, order: str = "id") -> tuple[Column, Column]:

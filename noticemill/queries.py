@@ -164,9 +164,9 @@ def listing_total_by_state(spark, sf_dir):
     return _typed(spark, sf_dir).groupBy("estado").agg(F.count("*").alias("total"))
 
 
-@query("{T} SELECT id, titulo, entidade, link, data, relevante, data_limite, preco_base, cpv, tipo_procedimento FROM t WHERE id = 7")
+@query("{T} SELECT id, titulo, entidade, link, data, relevante, data_limite, preco_base, cpv, tipo_procedimento, estado FROM t WHERE id = 7")
 def notice_by_id(spark, sf_dir):
-    return listing.by_id(notices(spark, sf_dir), 7)
+    return listing.by_id(_typed(spark, sf_dir), 7, "estado")
 
 
 @query("{T} SELECT id, entidade FROM t WHERE lower(titulo) LIKE '%p_oj%cto%' OR lower(coalesce(entidade, '')) LIKE '%p_oj%cto%' OR lower(titulo) LIKE '%esc_la%'")

@@ -37,3 +37,9 @@ def test_query(spark, duck, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
+
+
+def test_notice_by_id_has_the_state(spark):
+    (row,) = QUERIES["notice_by_id"](spark, SF).collect()
+    (state,) = QUERIES["deadline_state"](spark, SF).where("id = 7").collect()
+    assert (row.id, row.estado) == (7, state.estado) and "estado" in ORACLE_SQL["notice_by_id"].rsplit("SELECT", 1)[1]
