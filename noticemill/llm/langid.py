@@ -13,9 +13,11 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,14 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """A token scores the floor of its length in each language, and more in the languages it was seen in."""
+    """A token scores the floor of its length in each language, and more in the languages it was seen in.
+
+    What looks tokens up is laid out when it is first asked for: the driver, which hands the model on, never does.
+    """
 
     languages: list[str]
-    rows: dict[tuple[int, str], int]  # (0, word) or (n, n-gram) to a row
+    lengths: np.ndarray  # a row's token has this length, 0 for a word
+    tokens: pa.Array
     floors: np.ndarray  # by length and language
     ends: np.ndarray  # a row's columns and gains end here, and the next row's begin
     columns: np.ndarray
@@ -63,14 +69,26 @@ class Model:
 
     def __post_init__(self) -> None:
         self.room = max(1000, REMEMBERED // max(1, len(self.languages)))
-        small = len(self.rows) * len(self.languages) <= DENSE
-        self.dense = np.zeros((len(self.rows), len(self.languages))) if small else None
-        if small:
-            self.dense[np.repeat(np.arange(len(self.rows)), np.diff(self.ends, prepend=0)), self.columns] = self.gains
-        self.cache = np.zeros((self.room if self.languages else 1, len(self.languages)))
+
+    @cached_property
+    def rows(self) -> dict[tuple[int, str], int]:
+        """(0, word) or (n, n-gram) to a row."""
+        return {key: i for i, key in enumerate(zip(self.lengths.tolist(), self.tokens.to_pylist()))}
+
+    @cached_property
+    def dense(self) -> np.ndarray | None:
+        if len(self.tokens) * len(self.languages) > DENSE:
+            return None
+        out = np.zeros((len(self.tokens), len(self.languages)))
+        out[np.repeat(np.arange(len(self.tokens)), np.diff(self.ends, prepend=0)), self.columns] = self.gains
+        return out
+
+    @cached_property
+    def cache(self) -> np.ndarray:
+        return np.zeros((self.room if self.languages else 1, len(self.languages)))
 
     def parts(self) -> tuple:
-        return self.languages, self.rows, self.floors, self.ends, self.columns, self.gains, self.agreement
+        return self.languages, self.lengths, self.tokens, self.floors, self.ends, self.columns, self.gains, self.agreement
 
     def mean(self, n: int, rows: list[int]) -> np.ndarray:
         if self.dense is not None:
@@ -123,20 +141,29 @@ class Model:
 
 def build(counts: list[tuple[int, str, str, int]]) -> Model:
     """The model of (length or 0 for a word, token, language, count) rows, add-one smoothed."""
-    languages = sorted({lang for _, _, lang, _ in counts})
-    column = {lang: i for i, lang in enumerate(languages)}
-    rows: dict[tuple[int, str], int] = {}
-    for n, token, _, _ in counts:
-        rows.setdefault((n, token), len(rows))
-    row = np.fromiter((rows[n, token] for n, token, _, _ in counts), np.int64, len(counts))
-    own = np.fromiter((column[lang] for _, _, lang, _ in counts), np.int32, len(counts))
-    seen = np.fromiter((c for _, _, _, c in counts), np.float64, len(counts))
+    columns = list(zip(*counts)) if counts else [()] * 4
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.int64())
+    return _built(pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["n", "token", "lang", "c"]))
+
+
+def _built(counts: pa.Table) -> Model:
+    """The same of a table of n, token, lang, c; no Python object is made of a token."""
+    languages = sorted(pc.unique(counts["lang"]).to_pylist())
+    own = pc.index_in(counts["lang"], pa.array(languages, pa.string())).to_numpy()
+    # a length is one digit before the token
+    wide = pa.large_string()
+    named = pc.binary_join_element_wise(counts["n"].cast(wide), counts["token"].cast(wide), pa.scalar("", wide))
+    named = named.combine_chunks().dictionary_encode()
+    row, tokens = named.indices.to_numpy(), pc.utf8_slice_codeunits(named.dictionary, 1)
+    n, seen = counts["n"].to_numpy(), counts["c"].to_numpy().astype(np.float64)
+    lengths = np.zeros(len(tokens), np.int8)
+    lengths[row] = n
     sums = np.zeros((LONGEST + 1, len(languages)))
-    np.add.at(sums, (np.fromiter((n for n, _, _, _ in counts), np.int64, len(counts)), own), seen)
-    kinds = np.bincount(np.fromiter((n for n, _ in rows), np.int64, len(rows)), minlength=LONGEST + 1)
+    np.add.at(sums, (n, own), seen)
+    kinds = np.bincount(lengths, minlength=LONGEST + 1)
     order = np.argsort(row, kind="stable")
-    ends = np.cumsum(np.bincount(row, minlength=len(rows)))
-    return Model(languages, rows, -np.log(np.maximum(sums + kinds[:, None], 1)), ends, own[order], np.log1p(seen[order]))
+    ends = np.cumsum(np.bincount(row, minlength=len(tokens)))
+    return Model(languages, lengths, tokens, -np.log(np.maximum(sums + kinds[:, None], 1)), ends, own[order].astype(np.int32), np.log1p(seen[order]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +210,11 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     sample = own.join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).where("draw < _share").select("lang", "text", (F.col("_many") & (F.col("draw") % CALIBRATING == 0)).alias("aside"))
     tokens = sample.mapInArrow(_count, "lang string, aside boolean, n int, token string, c long")
     totals = tokens.groupBy("n", "token", "lang").agg(F.sum("c").alias("c"), F.sum(F.when(~F.col("aside"), F.col("c"))).alias("part"))
-    counts = list(zip(*(x.to_pylist() for x in totals.toArrow().columns)))
-    without = build([(n, token, lang, part) for n, token, lang, _, part in counts if part])
-    model = build([x[:4] for x in counts])
-    model.agreement = _agreement(without, sample.where("aside").select("lang", "text"))
+    counts = totals.toArrow()
+    without = counts.filter(pc.greater(counts["part"], 0)).drop_columns("c").rename_columns({"part": "c"})
+    model = _built(counts)
+    del counts
+    model.agreement = _agreement(_built(without), sample.where("aside").select("lang", "text"))
     return model
 
 

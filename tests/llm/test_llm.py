@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries and round trips; odd inputs."""
 
 import hashlib
+import pathlib
 import random
 import re
 import time
@@ -713,3 +714,17 @@ def test_suffix_repeats_whatever_counts_as_frequent(spark, monkeypatch):
         monkeypatch.setattr(suffixes, "frequent_marks", lambda own, total: table)  # noqa: B023
         got = suffixes.drop_repeats(spark.createDataFrame(rows, TEXTS)).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == want
+
+
+def test_language_model_is_handed_on_without_python_tokens(spark, docs):
+    model = langid.train(docs)
+    assert not {"rows", "dense", "cache"} & set(vars(model))
+    assert not any(isinstance(x, dict) for x in model.parts())
+    assert model.predict("123") == ("und", 0.0) and model.rows and set(vars(model)) >= {"rows"}
+
+
+def test_stored_tables_have_no_marker_files(spark):
+    scratch = common.Scratch(spark)
+    assert scratch.keep(spark.range(3)).count() == 3
+    names = [p.name for p in pathlib.Path(scratch.folder.removeprefix("file:")).rglob("*")]
+    assert any(n.endswith(".parquet") for n in names) and not any("_SUCCESS" in n for n in names)
