@@ -88,9 +88,10 @@ def _short(size: int):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Distinct (doc_id, version, item_id, first, last): word places in a text that an item's windows cover.
+    """(doc_id, version, item_id, first, last): word places in a text that an item's windows cover, repeats included.
 
-    version is a hash of the text, so that rows which share a doc_id stay apart.
+    version is a hash of the text, so that rows which share a doc_id stay apart. What has met is stored; the rest is a
+    projection of that, cheaper to run again than to store.
     """
     scratch = Scratch(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
@@ -108,7 +109,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST
     few = items.where(f"n > 0 and n < {WINDOW}").withColumn("at", F.lit(0))
     sizes = sorted(r["n"] for r in few.select("n").distinct().collect())  # nine at most
     if not sizes:
-        return out.distinct()
+        return out
     # one pass over the texts for the windows of all these sizes
     name = F.coalesce(*(F.when(F.col("n") == k, _short(k)(F.lit(0))) for k in sizes))
     mine = scratch.keep(few.select("item_id", name.alias("gram"), _around(range(WINDOW - 1)).alias("theirs")))
@@ -119,7 +120,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST
     met = met.withColumn("size", F.size(F.filter("theirs", lambda w: w.isNotNull())))
     same = F.slice("ours", F.lit(1), F.col("size")) == F.slice("theirs", F.lit(1), F.col("size"))
     met = met.where(same).select("doc_id", "version", "item_id", F.col("at").alias("first"), (F.col("at") + F.col("size") - 1).alias("last"))
-    return out.union(met).distinct()
+    return out.union(met)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -128,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     Null or empty texts have no words and no hits; rows that repeat come back as often; empty tables give no rows,
     or no hits; only doc_id and text, item_id and text are read. A text of 2^28 words or more raises an error.
     """
-    found = Scratch(docs.sparkSession).keep(hits(docs, benchmark, broadcast_bytes))
+    found = hits(docs, benchmark, broadcast_bytes)
     key = ["doc_id", "version"]
     covered = found.select(*key, F.explode(F.sequence("first", "last")).alias("at")).distinct()
     covered = covered.groupBy(key).agg(F.count("*").alias("n_hit"))

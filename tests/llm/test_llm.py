@@ -728,3 +728,14 @@ def test_stored_tables_have_no_marker_files(spark):
     assert scratch.keep(spark.range(3)).count() == 3
     names = [p.name for p in pathlib.Path(scratch.folder.removeprefix("file:")).rglob("*")]
     assert any(n.endswith(".parquet") for n in names) and not any("_SUCCESS" in n for n in names)
+
+
+def test_decontamination_stores_what_has_met_only(spark, monkeypatch):
+    stored, keep = [], common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df: stored.append(df.columns) or keep(self, df))
+    ten, twice = " ".join(f"w{i}" for i in range(10)), " ".join(["a"] * 14)
+    items = spark.createDataFrame([("x", f"{ten} more"), ("y", twice)], "item_id string, text string")
+    rows = [(1, f"so {ten} it goes"), (2, twice), (2, twice), (3, "none")]
+    out = sorted((r.doc_id, r.n_hit, r.n_items) for r in decontaminate.contamination(spark.createDataFrame(rows, TEXTS), items).collect())
+    assert out == [(1, 10, 1), (2, 14, 1), (2, 14, 1), (3, 0, 0)]
+    assert [sorted(x) for x in stored] == [["gram", "item_id", "theirs"], ["at", "doc_id", "item_id", "ours", "theirs", "version"]]
