@@ -18,6 +18,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,16 +212,33 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     tokens = sample.mapInArrow(_count, "lang string, aside boolean, n int, token string, c long")
     totals = tokens.groupBy("n", "token", "lang").agg(F.sum("c").alias("c"), F.sum(F.when(~F.col("aside"), F.col("c"))).alias("part"))
     counts = totals.toArrow()
-    without = counts.filter(pc.greater(counts["part"], 0)).drop_columns("c").rename_columns({"part": "c"})
+    # one model at a time on the driver
+    agreement = _agreement(_share(_without(counts), docs), sample.where("aside").select("lang", "text"))
     model = _built(counts)
-    del counts
-    model.agreement = _agreement(_built(without), sample.where("aside").select("lang", "text"))
+    model.agreement = agreement
     return model
 
 
-def _agreement(model: Model, rows: DataFrame) -> float:
-    """The agreement of words under which the rows' languages are likeliest; 0 if there is no row to tell."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.parts())
+def _without(counts: pa.Table) -> Model:
+    """The model of the rows that aren't set aside."""
+    return _built(counts.filter(pc.greater(counts["part"], 0)).drop_columns("c").rename_columns({"part": "c"}))
+
+
+def _share(model: Model, docs: DataFrame) -> Broadcast:
+    """The parts of a model for all tasks; its size is bounded by the row sample."""
+    return docs.sparkSession.sparkContext.broadcast(model.parts())
+
+
+def _learned(docs: DataFrame, model: Model | None) -> Broadcast:
+    """The parts of the model, or else of one that is trained; what training leaves with Arrow goes back to the system."""
+    shared = _share(train(docs) if model is None else model, docs)
+    pa.default_memory_pool().release_unused()
+    return shared
+
+
+def _agreement(shared: Broadcast, rows: DataFrame) -> float:
+    """The agreement of words under which the rows' languages are likeliest; 0 if there is no row to tell. It drops the model's parts."""
+    pa.default_memory_pool().release_unused()
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -236,6 +254,7 @@ def _agreement(model: Model, rows: DataFrame) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(AGREEMENTS)), pa.int32()), pa.array(loss)], ["r", "loss"])
 
     found = rows.mapInArrow(losses, "r int, loss double").groupBy("r").agg(F.sum("loss").alias("loss")).collect()  # one row an agreement
+    shared.destroy()  # else the driver keeps it until it collects its garbage
     best = min((x for x in found if x.loss > 0), key=lambda x: (x.loss, x.r), default=None)
     return AGREEMENTS[best.r] if best else 0.0
 
@@ -247,9 +266,7 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
     learned. score is the calibrated posterior of lang_pred among the learned languages. Ties go to the language that sorts
     first. Repeated rows come back as often; an empty table gives no rows; other columns are not read.
     """
-    if model is None:
-        model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded by the row sample
+    shared = _learned(docs, model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -270,9 +287,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, model: Model | No
     Rows with a null text or one without letters go, as nothing identifies them; repeated rows and rows without doc_id
     are judged by their text alone. Where nothing can be learned no row stays. An empty table gives no rows.
     """
-    if model is None:
-        model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    shared = _learned(docs, model)
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

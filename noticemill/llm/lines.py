@@ -41,9 +41,10 @@ def _place() -> Column:
     return F.struct(*_KEY)
 
 
-def _ranked(scratch: Scratch, suffixes: DataFrame, names: list[str]) -> DataFrame:
-    """(key, left, rank, first, diverse) of the suffixes whose names several places share, stored.
+def _ranked(scratch: Scratch, suffixes: DataFrame, names: list[str]) -> DataFrame | None:
+    """(key, left, rank, first, diverse) of the suffixes whose names several places share, stored; null if there is none.
 
+    The suffixes are a stored table, as they are read twice; it is dropped.
     first: whether it is the first of its class. diverse: whether its class doesn't always follow the same line.
     """
     shared = suffixes.groupBy(*names).agg(
@@ -52,9 +53,10 @@ def _ranked(scratch: Scratch, suffixes: DataFrame, names: list[str]) -> DataFram
         (F.coalesce(F.min("left") < F.max("left"), F.lit(True)) | (F.count("left") < F.count("*"))).alias("diverse"),
     )
     ranked = shared.where("least < most").orderBy(*names).select(*names, F.monotonically_increasing_id().alias("rank"), "least", "diverse")
-    shared = scratch.keep(ranked)
-    out = scratch.keep(suffixes.join(shared, names).select(*_KEY, "left", shared["rank"].alias("rank"), (_place() == F.col("least")).alias("first"), "diverse"))
-    scratch.drop(shared)
+    shared, out = scratch.keep(ranked), None
+    if not shared.isEmpty():
+        out = scratch.keep(suffixes.join(shared, names).select(*_KEY, "left", shared["rank"].alias("rank"), (_place() == F.col("least")).alias("first"), "diverse"))
+    scratch.drop(shared, suffixes)
     return out
 
 
@@ -69,13 +71,15 @@ def suffix_ranks(docs: DataFrame, scratch: Scratch) -> list[DataFrame]:
     scratch.drop(single, shared)
     before = named.select("doc_id", "version", (F.col("n") + 1).alias("n"), F.col("rank").alias("left"))
     followed = scratch.keep(named.join(before, _KEY, "left").withColumnRenamed("rank", "a"))
-    levels = [_ranked(scratch, followed, ["a"])]
-    scratch.drop(named, followed)
-    while not levels[-1].isEmpty():
-        last = levels[-1].select(*_KEY, "left", F.col("rank").alias("a"))
-        further = last.select("doc_id", "version", (F.col("n") - (1 << len(levels) - 1)).alias("n"), F.col("a").alias("b"))
-        levels.append(_ranked(scratch, last.join(further, _KEY), ["a", "b"]))
-    return levels[:-1]
+    scratch.drop(named)
+    levels: list[DataFrame] = []
+    level = _ranked(scratch, followed, ["a"])
+    while level is not None:
+        last = level.select(*_KEY, "left", F.col("rank").alias("a"))
+        further = last.select("doc_id", "version", (F.col("n") - (1 << len(levels))).alias("n"), F.col("a").alias("b"))
+        levels.append(level)
+        level = _ranked(scratch, scratch.keep(last.join(further, _KEY)), ["a", "b"])
+    return levels
 
 
 def _entering(levels: list[DataFrame], k: int) -> DataFrame:
@@ -95,22 +99,25 @@ def maximal_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     levels = suffix_ranks(docs, scratch)
     stored: list[DataFrame] = []
     for k in reversed(range(len(levels))):
-        members = _entering(levels, k)
+        members, read = _entering(levels, k), levels[k + 1 : k + 2]
         if stored:
             # members of the deeper nodes; a node with one member is done
             alone = stored[-1].groupBy("kind", "node").agg(F.count("*").alias("size")).where("size > 1").select("kind", "node")
             held = stored[-1].join(alone, ["kind", "node"], "left_semi").withColumn("at", F.col("n") + F.col("depth"))
             # those that share the 2^k lines that follow with another one move on, and the first of them stays, too
             following = levels[k].select("doc_id", "version", F.col("n").alias("at"), F.col("rank").alias("next"))
-            longer = held.join(following, ["doc_id", "version", "at"]).groupBy("kind", "node", "next").agg(F.min(_place()).alias("least"), F.max(_place()).alias("most"))
+            held = scratch.keep(held.join(following, ["doc_id", "version", "at"], "left"))  # read twice
+            longer = held.where("next is not null").groupBy("kind", "node", "next").agg(F.min(_place()).alias("least"), F.max(_place()).alias("most"))
             longer = scratch.keep(longer.where("least < most").select("kind", "node", "next", "least", F.monotonically_increasing_id().alias("name")))
-            tried = held.join(following, ["doc_id", "version", "at"], "left").join(longer, ["kind", "node", "next"], "left")
+            tried = held.join(longer, ["kind", "node", "next"], "left")
             leads = _place() == F.col("least")
             stays = F.struct("kind", "node", "depth", "first")
             moves = F.struct(F.lit(2 * k).alias("kind"), F.col("name").alias("node"), (F.col("depth") + (1 << k)).alias("depth"), leads.alias("first"))
             then = F.when(F.col("name").isNull(), F.array(stays)).when(leads, F.array(stays, moves)).otherwise(F.array(moves))
             members = members.unionByName(tried.select(*_KEY, F.inline(then)))
+            read += [held, longer]
         stored.append(scratch.keep(members))
+        scratch.drop(*read)
     if not stored:
         return docs.sparkSession.createDataFrame([], "doc_id long, version long, n int, length int")
     out = stored[0]

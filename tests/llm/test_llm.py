@@ -5,6 +5,7 @@ import pathlib
 import random
 import re
 import time
+import weakref
 import zlib
 
 import numpy as np
@@ -388,6 +389,24 @@ def test_run_of_short_lines_counts_as_a_whole(spark):
     assert left == dict(rows) | {2: "three\nfour", 4: "seven"}
 
 
+def test_line_dedup_round_runs_few_stages(spark):
+    def stages(n):
+        run = "\n".join(f"line {i} of the run" for i in range(n))
+        spark.sparkContext.setJobGroup(f"lines {n}", "")
+        left = {r.doc_id: r.text for r in lines.without_repeated_lines(spark.createDataFrame([(1, run), (2, f"{run}\nend"), (3, f"x\n{run}")], TEXTS)).collect()}
+        assert left == {1: run, 2: "end", 3: "x"}
+        tracker = spark.sparkContext.statusTracker()
+        return len({s for j in tracker.getJobIdsForGroup(f"lines {n}") for s in tracker.getJobInfo(j).stageIds})
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # so that plans don't depend on sizes
+    try:
+        assert stages(8) - stages(4) <= 50  # one round more
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def brute_links(vectors):
     n, own = len(vectors), [(i, k, np.asarray(v, float)) for i, k, v in vectors if k is not None and v and np.isfinite(v).all() and np.any(v)]
     root, count = {i: i for i, _, _ in vectors}, {i: 0 for i, _, _ in vectors}
@@ -723,6 +742,20 @@ def test_language_model_is_handed_on_without_python_tokens(spark, docs):
     assert model.predict("123") == ("und", 0.0) and model.rows and set(vars(model)) >= {"rows"}
 
 
+def test_driver_holds_one_language_model_at_a_time(spark, docs, monkeypatch):
+    made, built = [], langid._built
+
+    def watched(counts):
+        assert not any(m() for m in made)
+        out = built(counts)
+        made.append(weakref.ref(out))
+        return out
+
+    monkeypatch.setattr(langid, "_built", watched)
+    langid.keep_identified(docs)
+    assert len(made) == 2 and not any(m() for m in made)
+
+
 def test_stored_tables_have_no_marker_files(spark):
     scratch = common.Scratch(spark)
     assert scratch.keep(spark.range(3)).count() == 3
