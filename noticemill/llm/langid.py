@@ -71,10 +71,18 @@ class Model:
     def __post_init__(self) -> None:
         self.room = max(1000, REMEMBERED // max(1, len(self.languages)))
 
+    @cached_property
+    def by_length(self) -> list[dict[str, int]]:
+        """By length, 0 for words: a token to its row. What looks tokens up reads these, as no key has a tuple of its own."""
+        out: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for i, (n, token) in enumerate(zip(self.lengths.tolist(), self.tokens.to_pylist())):
+            out[n][token] = i
+        return out
+
     @cached_property
     def rows(self) -> dict[tuple[int, str], int]:
-        """(0, word) or (n, n-gram) to a row."""
-        return {key: i for i, key in enumerate(zip(self.lengths.tolist(), self.tokens.to_pylist()))}
+        """The same in one: (0, word) or (n, n-gram) to a row."""
+        return {(n, token): i for n, own in enumerate(self.by_length) for token, i in own.items()}
 
     @cached_property
     def dense(self) -> np.ndarray | None:
@@ -101,11 +109,11 @@ class Model:
         return self.floors[n] + out / len(rows)
 
     def word(self, word: str) -> np.ndarray:
-        at = self.rows.get((0, word))
+        at = self.by_length[0].get(word)
         if at is not None:
             return self.mean(0, [at])
         for n in range(LONGEST, 0, -1):
-            if found := [i for g in grams_of(word, n) if (i := self.rows.get((n, g))) is not None]:
+            if found := [i for g in grams_of(word, n) if (i := self.by_length[n].get(g)) is not None]:
                 return self.mean(n, found)
         return np.zeros(len(self.languages))
 
@@ -172,9 +180,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[str, bool], Counter] = defaultdict(Counter)
 
     def flush() -> pa.RecordBatch:
-        rows = [(*key, n, token, c) for key, x in found.items() for (n, token), c in x.items()]
+        columns = lang, aside, n, token, c = [], [], [], [], []
+        for key, x in found.items():  # column by column, without a tuple for each row
+            lang += [key[0]] * len(x)
+            aside += [key[1]] * len(x)
+            n += (k[0] for k in x)
+            token += (k[1] for k in x)
+            c += x.values()
         found.clear()
-        columns = list(zip(*rows)) if rows else [()] * 5
         kinds = (pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["lang", "aside", "n", "token", "c"])
 
