@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ UNDETERMINED = "und"
 REMEMBERED = 1_200_000
 #: A model of so many scores is laid out with all languages of each token; only speed depends on it.
 DENSE = 8_000_000
+#: New words are scored so many at once, by the number of languages; only speed and memory depend on it.
+AT_ONCE = 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 _SCALE = 1 << 20
 
@@ -86,36 +89,66 @@ class Model:
 
     @cached_property
     def dense(self) -> np.ndarray | None:
+        """Each token's scores by row, and behind them room for the words remembered; none if that were too many."""
         if len(self.tokens) * len(self.languages) > DENSE:
             return None
-        out = np.zeros((len(self.tokens), len(self.languages)))
-        out[np.repeat(np.arange(len(self.tokens)), np.diff(self.ends, prepend=0)), self.columns] = self.gains
+        out = np.zeros((len(self.tokens) + self.room, len(self.languages)))
+        np.take(self.floors, self.lengths, axis=0, out=out[: len(self.tokens)], mode="clip")
+        out[np.repeat(np.arange(len(self.tokens)), np.diff(self.ends, prepend=0)), self.columns] += self.gains
         return out
 
+    @cached_property
+    def learned(self) -> dict[str, int]:
+        """The words whose scores are laid out, to their rows."""
+        return {} if self.dense is None else self.by_length[0]
+
     @cached_property
     def cache(self) -> np.ndarray:
-        return np.zeros((self.room if self.languages else 1, len(self.languages)))
+        """The scores that texts add up; the last rows are those of the words remembered."""
+        return np.zeros((self.room, len(self.languages))) if self.dense is None else self.dense
 
     def parts(self) -> tuple:
         return self.languages, self.lengths, self.tokens, self.floors, self.ends, self.columns, self.gains, self.agreement
 
-    def mean(self, n: int, rows: list[int]) -> np.ndarray:
-        if self.dense is not None:
-            return self.floors[n] + self.dense[rows].mean(axis=0)
-        out = np.zeros(len(self.languages))
-        for i in rows:
-            own = slice(self.ends[i - 1] if i else 0, self.ends[i])
-            out[self.columns[own]] += self.gains[own]
-        return self.floors[n] + out / len(rows)
-
-    def word(self, word: str) -> np.ndarray:
+    def found(self, word: str) -> tuple[int, list[int]]:
+        """The length that a word is scored by, 0 for its own, and the rows of its known tokens of that length."""
         at = self.by_length[0].get(word)
         if at is not None:
-            return self.mean(0, [at])
+            return 0, [at]
         for n in range(LONGEST, 0, -1):
-            if found := [i for g in grams_of(word, n) if (i := self.by_length[n].get(g)) is not None]:
-                return self.mean(n, found)
-        return np.zeros(len(self.languages))
+            known = self.by_length[n].get
+            if rows := [i for g in grams_of(word, n) if (i := known(g)) is not None]:
+                return n, rows
+        return 0, []
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word: the mean over its known tokens, zeros if none is known."""
+        found = [self.found(w) for w in words]
+        counts = np.array([len(x) for _, x in found], np.int64)
+        rows = np.fromiter(chain.from_iterable(x for _, x in found), np.int64, int(counts.sum()))
+        ends = self.ends[rows]
+        sizes = ends - np.where(rows > 0, self.ends[rows - 1], 0)
+        at = np.repeat(ends - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        cells = np.repeat(np.repeat(np.arange(len(words)), counts), sizes) * len(self.languages) + self.columns[at]
+        sums = np.bincount(cells, self.gains[at], len(words) * len(self.languages)).reshape(len(words), -1)
+        out = self.floors[[n for n, _ in found]] + sums / np.maximum(counts, 1)[:, None]
+        out[counts == 0] = 0
+        return out
+
+    def word(self, word: str) -> np.ndarray:
+        return self.words([word])[0]
+
+    def remember(self, words: list[str]) -> list[int]:
+        """The rows in the cache of at most as many words as it has room for."""
+        if len(self.known) + len(words) > self.room:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        step = max(1, AT_ONCE // len(self.languages))
+        for some in (new[i : i + step] for i in range(0, len(new), step)):
+            begin = len(self.cache) - self.room + len(self.known)
+            self.cache[begin : begin + len(some)] = self.words(some)
+            self.known.update(zip(some, range(begin, begin + len(some))))
+        return [self.known[w] for w in words]
 
     def total(self, text: str | None) -> tuple[np.ndarray, int] | None:
         """The sum over the words of a text for each language, and their number; null if it has no letter or nothing was learned."""
@@ -125,18 +158,10 @@ class Model:
         total = np.zeros(len(self.languages))
         for begin in range(0, len(words), self.room):
             some = words[begin : begin + self.room]
-            if len(self.known) + len(some) > self.room:
-                self.known.clear()
-            at = list(map(self.known.get, some))
-            if None in at:
-                for i, x in enumerate(at):
-                    if x is None:
-                        w = some[i]
-                        if w not in self.known:
-                            self.known[w] = k = len(self.known)
-                            self.cache[k] = self.word(w)
-                        at[i] = self.known[w]
-            total += self.cache[at].sum(axis=0)
+            at = np.fromiter(map(self.learned.get, some, repeat(-1)), np.int64, len(some))
+            if len(missing := np.flatnonzero(at < 0)):
+                at[missing] = self.remember([some[i] for i in missing.tolist()])
+            total += self.cache.take(at, axis=0).sum(axis=0)
         return total, len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:

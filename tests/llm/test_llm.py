@@ -531,6 +531,21 @@ def test_language_id_is_the_same_in_both_layouts():
     assert model.dense is not None and all(np.allclose(model.word(w), sparse.word(w)) for w in ["casa", "thça", "tã", "x"])
 
 
+def test_language_id_remembers_only_words_that_were_not_learned(monkeypatch):
+    """Learned words are looked up where they are laid out, in no cache; neither its size nor the layout changes a sum."""
+    counts = [(0, "casa", "pt", 5), (0, "house", "en", 5), (2, "ça", "pt", 3), (2, "th", "en", 3), (1, "t", "en", 2), (1, "ã", "pt", 2)]
+    text = "Casa thça house tã x casa thça " + " ".join(f"th{a}{b} casa" for a in "abc" for b in "xyz")
+    model, small, sparse = (langid.build(counts) for _ in range(3))
+    model.predict("casa house casa")
+    assert not model.known
+    expected = sum(model.word(w) for w in langid.words_of(text))
+    assert np.allclose(model.total(text)[0], expected) and set(model.known) == set(langid.words_of(text)) - {"casa", "house"}
+    small.room, sparse.dense = 3, None
+    monkeypatch.setattr(langid, "AT_ONCE", 4)
+    for other in (small, sparse):
+        assert np.allclose(other.total(text)[0], expected) and len(other.known) <= other.room
+
+
 def test_language_id_keeps_all_words_of_the_sample(spark):
     ids = iter(i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1)
     name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
