@@ -1,9 +1,10 @@
-"""Substring index: postings of the one to three character grams of the searched columns.
+"""Substring index: postings of the one to three character grams of the searched columns' texts.
 
-A term's rarest grams are looked up, the ids that have all of them are candidates, and candidates are checked against their
-rows, so that hits are those of a scan. Postings lie in folders by the hash of the gram, sorted by gram, so that a lookup
-opens a few folders and skips what lies outside the gram's stretch of them. Terms shorter than three characters are grams
-themselves.
+Each distinct text is indexed once, under its hash; holders say which rows have it. A term's rarest grams are looked up, the
+rows of the texts that have all of them are candidates, and candidates are checked against their rows, so that hits are
+those of a scan and texts that share a hash do no harm. Postings lie in folders by the hash of the gram, sorted by gram, so
+that a lookup opens a few folders and skips what lies outside the gram's stretch of them; holders lie likewise by text.
+Terms shorter than three characters are grams themselves.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from .filters import contains_text
 
 LONGEST = 3
 USED = 3  # grams of a term that are looked up
-POSTINGS, COUNTS = "id long, gram string, part int", "gram string, n long, part int"
+TEXTS = 100_000  # texts whose postings a task sorts
+BROADCAST = 100_000  # texts of a term up to which all tasks get them; more are joined by key
+POSTINGS, COUNTS, HOLDERS = "key long, gram string, part int", "gram string, n long, part int", "id long, key long, part int"
 
 
 @dataclass(frozen=True)
@@ -51,34 +54,50 @@ def _part(gram: Column, parts: int) -> Column:
 
 
 def build(rows: DataFrame, root: str, columns: tuple[str, ...] = ("titulo", "entidade", "cpv"), parts: int = 16, salt: int = 4) -> Index:
-    """Store the index of rows, which have an id. A gram that most rows hold is written by salt tasks, not one."""
-    found = F.array_distinct(F.flatten(F.array(*(_grams(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in columns))))
-    postings = rows.select(F.col("id").cast("long").alias("id"), F.explode(found).alias("gram")).withColumn("part", _part(F.col("gram"), parts))
-    dealt = postings.repartition(parts * salt, "part", F.pmod(F.xxhash64("id"), F.lit(salt))).sortWithinPartitions("part", "gram", "id")
-    root = root.rstrip("/")
-    dealt.write.partitionBy("part").parquet(f"{root}/postings")
-    spark = rows.sparkSession
+    """Store the index of rows, which have an id. Texts are dealt to parts * salt tasks, to more where there are many.
+
+    Each task sorts and writes what it has read: neither postings nor holders are exchanged, of texts only distinct ones.
+    """
+    root, spark = root.rstrip("/"), rows.sparkSession
+    each = F.explode(F.array_distinct(F.array(*(F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns)))).alias("text")
+    held = rows.select(F.col("id").cast("long").alias("id"), each).where("text <> ''").select("id", F.xxhash64("text").alias("key"))
+    _store(held.withColumn("part", _part(F.col("key"), parts)), f"{root}/holders", "key", "id")
+    rows.select(each).where("text <> ''").distinct().write.parquet(f"{root}/texts")
+    texts = spark.read.schema("text string").parquet(f"{root}/texts")
+    dealt = texts.repartition(max(parts * salt, texts.count() // TEXTS), "text")
+    postings = dealt.select(F.xxhash64("text").alias("key"), F.explode(_grams(F.col("text"))).alias("gram"))
+    _store(postings.withColumn("part", _part(F.col("gram"), parts)), f"{root}/postings", "gram", "key")
     counts = spark.read.schema(POSTINGS).parquet(f"{root}/postings").groupBy("part", "gram").agg(F.count("*").alias("n"))
     counts.repartition(parts, "part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{root}/counts")
     return Index(root, tuple(columns), parts)
 
 
+def _store(df: DataFrame, path: str, *order: str) -> None:
+    df.sortWithinPartitions("part", *order).write.option("compression", "zstd").partitionBy("part").parquet(path)
+
+
 def _of_grams(df: DataFrame, index: Index, grams: list[str]) -> DataFrame:
     """Rows of these grams; other folders are pruned, as the hashes of literals fold to literals."""
     return df.where(F.col("part").isin(*(_part(F.lit(g), index.parts) for g in grams))).where(F.col("gram").isin(grams))
 
 
 def candidates(spark: SparkSession, index: Index, term: str) -> DataFrame | None:
-    """Ids of the rows that hold a term's rarest grams; None if the term has none, as all rows are hits then."""
+    """Ids of the rows with a text that holds a term's rarest grams, once for each such text; None if the term has no grams, as all rows are hits then."""
     grams = grams_of(term.strip().lower())
     if not grams:
         return None
     counts = {r["gram"]: r["n"] for r in _of_grams(spark.read.schema(COUNTS).parquet(f"{index.root}/counts"), index, grams).collect()}  # a row a gram of the term
     postings = spark.read.schema(POSTINGS).parquet(f"{index.root}/postings")
+    holders = spark.read.schema(HOLDERS).parquet(f"{index.root}/holders")
     if len(counts) < len(grams):
-        return postings.limit(0).select("id")
+        return holders.limit(0).select("id")
     rarest = sorted(grams, key=lambda g: (counts[g], g))[:USED]
-    return _of_grams(postings, index, rarest).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("id")
+    bit = F.element_at(F.create_map(*(F.lit(x) for i, g in enumerate(rarest) for x in (g, 1 << i))), F.col("gram"))
+    keys = _of_grams(postings, index, rarest).groupBy("key").agg(F.bit_or(bit).alias("has")).where(F.col("has") == (1 << len(rarest)) - 1)
+    keys = keys.select("key", _part(F.col("key"), index.parts).alias("part"))
+    if counts[rarest[0]] <= BROADCAST:
+        keys = F.broadcast(keys)
+    return keys.join(holders, ["part", "key"]).select("id")
 
 
 def search(rows: DataFrame, index: Index, term: str) -> DataFrame:

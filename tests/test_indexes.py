@@ -65,6 +65,24 @@ def test_search_index_equals_the_scan(spark, tmp_path):
     assert search_index.search(rows.limit(0), none, "a").count() == 0
 
 
+def test_search_index_keeps_each_text_once(spark, tmp_path):
+    titles = ["Museu de Évora", "Rede de água", "Escola"]
+    rows = spark.range(3000).selectExpr("id", f"array({', '.join(map(repr, titles))})[cast(id % 3 AS int)] AS titulo", "CAST(NULL AS string) AS entidade", "'Museu de Évora' AS cpv").cache()
+    index = search_index.build(rows, str(tmp_path / "i"), parts=5)
+    grams = lambda t: {t[i : i + n].lower() for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    postings = spark.read.parquet(f"{index.root}/postings")
+    assert postings.count() == sum(len(grams(t)) for t in titles)  # not of each row
+    assert spark.read.parquet(f"{index.root}/holders").count() == 3000 + 2000  # a row whose columns say the same holds it once
+    for term, n in {"museu": 3000, "rede de": 1000, "escola": 1000, "esc rede": 0}.items():
+        assert search_index.search(rows, index, term).count() == n, term
+    # more texts than all tasks are to get
+    keep, search_index.BROADCAST = search_index.BROADCAST, 0
+    try:
+        assert search_index.search(rows, index, "e de").count() == 1000 and search_index.search(rows, index, "de").count() == 3000
+    finally:
+        search_index.BROADCAST = keep
+
+
 LISTS = [L.EXPLICIT, L.DESIGN_ACTION, L.COORDINATION, L.EXCLUSION, L.SUPERVISION, L.ENGINEERING, L.STRONG_WORDS, L.PROJECT_WORDS, L.BUILDING_WORDS, L.SERVICE_WORDS, L.COMPETITION_WORDS]
 
 
