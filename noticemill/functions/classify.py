@@ -8,24 +8,41 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from .extract import has_cpv, in_cpv_family
 from .phrases import any_indexed, indexed_lists
-from .text import any_phrase, bound, classify_form, fold, search_form
+from .text import any_phrase, bound, classify_form, fold, phrases, search_form
 
 
-def _any_of_kind(kinds: Column, words: list[str]) -> Column:
-    return F.coalesce(F.exists(F.filter(kinds, lambda k: k.isNotNull()), lambda k: any_phrase(classify_form(k), words)), F.lit(False))
+def _forms(kinds: Column) -> Column:
+    return F.transform(F.filter(kinds, lambda k: k.isNotNull()), classify_form)
+
+
+def _any_of_kind(forms: Column, words: list[str]) -> Column:
+    return F.coalesce(F.exists(forms, lambda k: F.exists(phrases(words), lambda w: F.contains(k, w))), F.lit(False))
 
 
 def analyse(title: Column, text: Column, cpvs: Column, kinds: Column) -> Column:
     """Struct of a notice's relevance for architecture, with matches, exclusions and reasons."""
     whole = classify_form(F.concat_ws(" ", title, text))
     lists = {"explicit": L.EXPLICIT, "action": L.DESIGN_ACTION, "coordination": L.COORDINATION, "exclusion": L.EXCLUSION, "supervision": L.SUPERVISION, "engineering": L.ENGINEERING}
-    found = lambda m: F.struct(
-        *(m[n].alias(n) for n in lists),
-        _any_of_kind(kinds, L.SERVICE_CONTRACTS).alias("service"),
-        _any_of_kind(kinds, L.WORKS_CONTRACTS).alias("works"),
+    found = lambda k: F.struct(
+        *(k["lists"][n].alias(n) for n in lists),
+        _any_of_kind(k["forms"], L.SERVICE_CONTRACTS).alias("service"),
+        _any_of_kind(k["forms"], L.WORKS_CONTRACTS).alias("works"),
         F.coalesce(in_cpv_family(cpvs), F.lit(False)).alias("cpv"),
     )
-    return bound(bound(indexed_lists(whole, lists), found), _decide)
+    return bound(bound(F.struct(indexed_lists(whole, lists).alias("lists"), _forms(kinds).alias("forms")), found), _decide)
+
+
+def relevant(title: Column, text: Column, cpvs: Column, kinds: Column) -> Column:
+    """What analyse() says of relevance alone: nothing more is looked for once that is decided."""
+
+    def decide(t: Column) -> Column:
+        some = lambda *lists: any_indexed(t, [w for words in lists for w in words])
+        by_cpv = F.coalesce(in_cpv_family(cpvs), F.lit(False)) & some(L.DESIGN_ACTION, L.COORDINATION)
+        clear = ~some(L.EXCLUSION, L.SUPERVISION)
+        return bound(some(L.EXPLICIT), lambda explicit: (explicit | (by_cpv & ~some(L.ENGINEERING))) & clear)
+
+    whole = classify_form(F.concat_ws(" ", title, text))
+    return _any_of_kind(_forms(kinds), L.SERVICE_CONTRACTS) & bound(whole, decide)
 
 
 def _decide(m: Column) -> Column:

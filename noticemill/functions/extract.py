@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, clean_text, collapse, fold, pstrip
+from .text import blank_to_null, bound, clean_text, collapse, filled, fold, pstrip
 
 #: The labels of a notice's document.
 CRITERION = r"(?isu)Nome:\s*(.*?)\s+Ponderação:\s*([0-9]{1,3})%"
@@ -21,13 +21,16 @@ def _criteria(text: Column, pattern: str) -> Column:
 
 def award_criteria(text: Column) -> Column:
     """Distinct (nome, peso) in order of appearance; older documents without name labels are read by `name: NN%`."""
-    text = clean_text(text)
-    labelled = F.filter(_criteria(text, CRITERION), lambda x: x["nome"] != "")
-    other = F.filter(
-        _criteria(text, OLD_CRITERION),
-        lambda x: ~F.lower(x["nome"]).rlike("pondera(ção|cao)") & (F.length(x["nome"]) <= 80),
-    )
-    return F.array_distinct(F.when(F.size(labelled) > 0, labelled).otherwise(other))
+
+    def read(t: Column) -> Column:
+        labelled = F.filter(_criteria(t, CRITERION), lambda x: x["nome"] != "")
+        other = F.filter(
+            _criteria(t, OLD_CRITERION),
+            lambda x: ~F.lower(x["nome"]).rlike("pondera(ção|cao)") & (F.length(x["nome"]) <= 80),
+        )
+        return bound(labelled, lambda found: F.when(F.size(found) > 0, found).otherwise(other))
+
+    return F.array_distinct(bound(clean_text(text), read))
 
 
 def criteria_type(criteria: Column) -> Column:
@@ -43,9 +46,9 @@ def delivery_date(text: Column) -> Column:
     """DD-MM-YYYY, with HH:MM if it is there, after the first label that has one; null if none."""
 
     def after(label: str) -> Column:
-        pattern = rf"(?iu){label}\s*[:\-]?\s*([0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}})(?:\s+([0-9]{{2}}:[0-9]{{2}}))?"
-        day, time = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-        return F.when(day != "", F.trim(F.concat_ws(" ", day, time)))
+        # the text is searched once, for day and time together
+        said = F.regexp_extract(text, rf"(?iu){label}\s*[:\-]?\s*([0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}(?:\s+[0-9]{{2}}:[0-9]{{2}})?)", 1)
+        return filled(F.regexp_replace(said, r"\s+", " "))
 
     return F.coalesce(*map(after, DELIVERY_LABELS))
 
@@ -125,7 +128,7 @@ def cpv_list(text: Column) -> Column:
 
 def cpv_entry(x: Column) -> Column:
     """`code, description` of an entry that is a JSON object, else its text."""
-    part = lambda *keys: F.nullif(collapse(F.coalesce(*(F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in keys))), F.lit(""))
+    part = lambda *keys: filled(collapse(F.coalesce(*(filled(F.get_json_object(x, f"$.{k}")) for k in keys))))
     return F.when(F.startswith(F.ltrim(x), F.lit("{")), F.concat_ws(", ", part("code", "cpv", "id"), part("description", "name"))).otherwise(collapse(x))
 
 

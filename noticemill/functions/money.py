@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 PRICE = "decimal(28,6)"
 
 
@@ -14,15 +16,20 @@ def parse_price(c: Column) -> Column:
     With both marks the last one is decimal. One comma is decimal, more group thousands. Of points the last is decimal
     if one or two digits follow it, or the only point is followed by another number of digits than three.
     """
-    s = F.regexp_replace(c, r"[^0-9,.\-]", "")
-    commas, points = F.length(F.regexp_replace(s, "[^,]", "")), F.length(F.regexp_replace(s, "[^.]", ""))
-    tail = F.length(F.substring_index(s, ".", -1))
+    plain = bound(F.regexp_replace(c, r"[^0-9,.\-]", ""), _plain)
+    return F.regexp_extract(plain, "^[0-9]*[.]?[0-9]*$", 0).try_cast(PRICE)
+
+
+def _plain(s: Column) -> Column:
+    """Digits, marks and minus signs with a decimal point alone."""
     no = lambda x, mark: F.replace(x, F.lit(mark), F.lit(""))
+    commas, points = F.length(s) - F.length(no(s, ",")), F.length(s) - F.length(no(s, "."))
+    tail = F.length(F.substring_index(s, ".", -1))
     both = F.when(
         F.length(F.substring_index(s, ",", -1)) < tail, F.replace(no(s, "."), F.lit(","), F.lit("."))
     ).otherwise(no(s, ","))
     last_point = F.concat(no(F.substr(s, F.lit(1), F.length(s) - tail - 1), "."), F.lit("."), F.substring_index(s, ".", -1))
-    plain = (
+    return (
         F.when((commas > 0) & (points > 0), both)
         .when(commas == 1, F.replace(s, F.lit(","), F.lit(".")))
         .when(commas > 1, no(s, ","))
@@ -30,7 +37,6 @@ def parse_price(c: Column) -> Column:
         .when((points == 1) & (tail == 3), no(s, "."))
         .otherwise(s)
     )
-    return F.regexp_extract(plain, "^[0-9]*[.]?[0-9]*$", 0).try_cast(PRICE)
 
 
 def format_eur(d: Column, default: str | None = None) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .text import bound, phrases
 
 SIZE = 5  # characters of a fragment
+#: Letters of Portuguese, the rare ones first: a search compares a fragment only where its first letter is.
+RARE_FIRST = "kwyxjzqhbfgvpltncmudriosea"
 
 
 def _fragments(phrase: str, used: str) -> set[str]:
@@ -25,14 +27,14 @@ def _fragments(phrase: str, used: str) -> set[str]:
 
 @cache
 def grouped(words: tuple[str, ...], used: str = "") -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """(fragment, phrases that hold it), each phrase once: the fragment that covers most of what is left, of equals the first."""
+    """(fragment, phrases that hold it), each phrase once: the fragment that covers most of what is left, of equals one with a rare first letter."""
     left, out = list(words), []
     while left:
         held: dict[str, int] = {}
         for w in left:
             for f in _fragments(w, used):
                 held[f] = held.get(f, 0) + 1
-        best = min(held, key=lambda f: (-held[f], f))
+        best = min(held, key=lambda f: (-held[f], RARE_FIRST.find(f[0]), f))
         own = tuple(w for w in left if best in _fragments(w, used))
         out.append((best, own))
         left = [w for w in left if w not in own]
@@ -59,7 +61,7 @@ def indexed_lists(c: Column, lists: dict[str, list[str]]) -> Column:
 
     def dealt(x: Column) -> Column:
         none = F.array().cast("array<string>")
-        return F.struct(*(F.when(F.size(x) > 0, F.filter(phrases(words), lambda w: F.array_contains(x, w))).otherwise(none).alias(n) for n, words in lists.items()))
+        return F.struct(*(F.when(F.size(x) > 0, F.array_intersect(phrases(words), x)).otherwise(none).alias(n) for n, words in lists.items()))
 
     return bound(c, lambda t: F.when(t.isNotNull(), bound(found(t), dealt)))
 

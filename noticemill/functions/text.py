@@ -9,9 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What Unicode calls white space.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def pstrip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -20,7 +24,7 @@ def blank_to_null(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of Unicode white space as one space, none at the ends; null as empty."""
-    return pstrip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
 @cache
@@ -46,7 +50,7 @@ def fold(c: Column, compat: bool = False) -> Column:
 
 def search_form(c: Column) -> Column:
     """Lower case, folded, only a-z and 0-9 with single spaces."""
-    return F.trim(F.regexp_replace(fold(F.lower(collapse(c)), compat=True), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold(F.lower(F.coalesce(c, F.lit(""))), compat=True), "[^a-z0-9]+", " "))
 
 
 def classify_form(c: Column) -> Column:
@@ -68,6 +72,11 @@ def bound(c: Column, f) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def filled(c: Column) -> Column:
+    """Null for an empty text; c is computed once, also within a lambda, where nullif() computes it twice."""
+    return bound(c, lambda x: F.when(x != "", x))
+
+
 def any_phrase(c: Column, words: list[str]) -> Column:
     return bound(c, lambda t: F.exists(phrases(words), lambda w: F.contains(t, w)))
 

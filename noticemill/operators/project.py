@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions.dates import deadline, formatted, parse_date, state
 from ..functions.extract import award_criteria, cpv_entries, criteria_text, criteria_type, delivery_date
 from ..functions.money import parse_price
-from ..functions.text import blank_to_null, collapse, joined, pstrip, search_form
+from ..functions.text import blank_to_null, collapse, filled, joined, pstrip, search_form
 
 #: Labels of a notice's full text, in order.
 LABELS = {
@@ -69,15 +69,20 @@ def overlay(listing: DataFrame, detail: DataFrame, key: str = "id", order: str |
 
 def full_text(df: DataFrame) -> Column:
     """`Label: value` lines of the fields that are filled."""
-    line = lambda label, c: F.when(collapse(F.col(c)) != "", F.concat(F.lit(f"{label}: "), collapse(F.col(c))))
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), filled(collapse(F.col(c))))
     return F.concat_ws("\n", *(line(label, c) for label, c in LABELS.items() if c in df.columns))
 
 
 def normalised(raw: DataFrame, portal: str = "https://portal.example.org/detalhe/") -> DataFrame:
     """Raw listing records as flat notices."""
-    cpvs = cpv_entries(F.col("cpvs"))
-    kinds = F.array(*(collapse(F.col(c)) for c in ("contractType", "contractingProcedureType", "modelType", "type")))
-    flat = raw.select(
+    # what several columns are made of comes in a projection of its own, so that it is computed once
+    kinds, cpvs = F.col("_kinds"), F.col("_cpvs")
+    read = raw.select(
+        "*",
+        cpv_entries(F.col("cpvs")).alias("_cpvs"),
+        F.array(*(collapse(F.col(c)) for c in ("contractType", "contractingProcedureType", "modelType", "type"))).alias("_kinds"),
+    )
+    flat = read.select(
         "*",
         first_filled(F.col("contractDesignation"), F.col("description")).alias("titulo"),
         entity_name(F.col("contractingEntities"), *map(F.col, ENTITY_FIELDS)).alias("entidade"),

@@ -49,16 +49,21 @@ def insert_new(store: DataFrame, new: DataFrame) -> DataFrame:
     that tasks which run again deal the same ids.
     """
     fresh = not_in(keep_first(new.withColumn("_seq", F.struct(*(c for c in STORED.names if c in new.columns))), ["link"], "_seq"), store).drop("_seq")
-    buckets = max(1024, 4 * int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return align(store).unionByName(numbered_after(fresh, store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))))
+
+
+def numbered_after(fresh: DataFrame, top: DataFrame | int) -> DataFrame:
+    """Stored notices of new links, of which each is there once, with ids after the greatest one, as insert_new() deals them."""
+    buckets = max(1024, 4 * int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = [f.name for f in STORED if f.dataType.typeName() == "string"]
     fresh = fresh.withColumns({c: blank_to_null(F.col(c)) for c in text if c in fresh.columns}).withColumn("relevante", F.lit(1))
-    top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     by_link = F.row_number().over(Window.partitionBy("_bucket").orderBy("link"))
     fresh = fresh.withColumn("_bucket", F.pmod(F.xxhash64("link"), F.lit(buckets))).withColumn("_place", by_link)
     sizes = fresh.groupBy("_bucket").agg(F.count("*").alias("_size"))  # one row a bucket
     before = sizes.select("_bucket", (F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")).alias("_before"))
-    fresh = fresh.join(F.broadcast(before), "_bucket").crossJoin(F.broadcast(top))  # one row
-    return align(store).unionByName(align(fresh.withColumn("id", F.col("_top") + F.col("_before") + F.col("_place"))))
+    fresh = fresh.join(F.broadcast(before), "_bucket")
+    fresh = fresh.withColumn("_top", F.lit(top)) if isinstance(top, int) else fresh.crossJoin(F.broadcast(top))  # one row
+    return align(fresh.withColumn("id", F.col("_top") + F.col("_before") + F.col("_place")))
 
 
 def folded(updates: DataFrame, key: str = "link", order: str | None = None) -> DataFrame:

@@ -16,15 +16,16 @@ import json
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegerType, LongType, StructField, StructType
 
 from ..functions.dates import deadline, parse_date
 from ..functions.money import parse_price
+from ..functions.text import blank_to_null
 from ..schema import ENRICHED, STORED, align
 from ..stored import CommitConflict, Scratch, create_once, hadoop
-from .store import folded, insert_new
+from .store import folded, numbered_after
 
 UNDATED = 0
 #: Columns that are parsed once, when a row is stored.
@@ -58,11 +59,11 @@ def part_of(link: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(link), F.lit(parts)).cast("int")
 
 
-def typed_rows(df: DataFrame, parts: int) -> DataFrame:
-    """Stored notices with what filters read: dates, price, month and part."""
-    out = align(df).withColumn("data_publicacao", parse_date(F.col("data"))).withColumn("preco", parse_price(F.col("preco_base")))
+def typed_rows(df: DataFrame, parts: int, *more: str) -> DataFrame:
+    """Stored notices with what filters read: dates, price, month and part; and more columns of df."""
+    out = align(df, StructType([*STORED.fields, *(df.schema[c] for c in more)])).withColumn("data_publicacao", parse_date(F.col("data"))).withColumn("preco", parse_price(F.col("preco_base")))
     out = out.withColumn("data_fim", deadline(F.col("data_publicacao"), F.col("data_limite")))
-    return out.withColumn("mes", month_key(F.col("data_publicacao"))).withColumn("parte", part_of(F.col("link"), parts)).select(*SCHEMA.names)
+    return out.withColumn("mes", month_key(F.col("data_publicacao"))).withColumn("parte", part_of(F.col("link"), parts)).select(*SCHEMA.names, *more)
 
 
 # Versions ---------------------------------------------------------------------------------------------------------------
@@ -177,17 +178,21 @@ def merge(spark: SparkSession, version: Version, updates: DataFrame, order: str
     if batch and done.get(batch[0], -1) >= batch[1]:
         return version
     scratch = Scratch(spark)
-    new = scratch.keep(folded(updates, "link", order).drop("_rows"))
+    new = _one_each(scratch, updates, order)
     store = read(spark, version)
     # where the links are: their month and part only, from the store as it lies; updates go to its buckets
     here = scratch.keep(store.select("link", *_PLACE).join(new.select("link"), "link", "left_semi"))
-    laid = scratch.keep(_laid_over(_at_places(store, here), new))
-    links = laid.where("_differs").select("link").distinct()
-    changed = scratch.keep(typed_rows(laid.join(links, "link", "left_semi"), version.parts))
+    laid = _laid_over(_at_places(store, here), new)
+    # all rows of a link of which one differs; the join has brought them together
+    laid = laid.withColumn("_differs", F.max("_differs").over(Window.partitionBy("link"))).where("_differs")
+    # a bucket is a task so far; parsing is for as many as there are
+    laid = laid.repartition("link", "id")
+    moving = scratch.keep(typed_rows(laid, version.parts, "_mes", "_parte"))
+    changed = moving.drop("_mes", "_parte")
     fresh = new.join(here.select("link"), "link", "left_anti")
-    arrived = scratch.keep(typed_rows(_numbered(fresh, version.top), version.parts)) if insert else changed.limit(0)
-    left = laid.join(links, "link", "left_semi").select(F.col("_mes").alias("mes"), F.col("_parte").alias("parte"))
-    moved = left.union(changed.select(*_PLACE)).union(arrived.select(*_PLACE)).distinct().collect()  # a row a folder
+    arrived = scratch.keep(typed_rows(numbered_after(fresh, version.top), version.parts)) if insert else changed.limit(0)
+    places = moving.select("_mes", "_parte").union(moving.select(*_PLACE)).union(arrived.select(*_PLACE)).toDF(*_PLACE)
+    moved = places.distinct().collect()  # a row a folder
     touched = {(r["mes"], r["parte"]) for r in moved}
     if not touched and not batch:
         scratch.clear()
@@ -203,6 +208,22 @@ def merge(spark: SparkSession, version: Version, updates: DataFrame, order: str
     return commit(spark, out)
 
 
+def _one_each(scratch: Scratch, updates: DataFrame, order: str | None) -> DataFrame:
+    """folded() of updates, stored. A link's only update goes through the aggregate once, not with each of its columns."""
+    names = [c for c in updates.columns if c not in ("link", order)]
+    if not names:
+        return scratch.keep(folded(updates, "link", order).drop("_rows"))
+    known = updates.where(F.coalesce(F.trim("link"), F.lit("")) != "")
+    first = scratch.keep(known.groupBy("link").agg(F.count("*").alias("_rows"), F.max(F.struct(*names)).alias("_row")))
+    text = {f.name for f in updates.schema if f.dataType.typeName() == "string"}
+    value = lambda c: F.col(f"_row.`{c}`")
+    once = first.where("_rows = 1").select("link", *((blank_to_null(value(c)) if c in text else value(c)).alias(c) for c in names))
+    more = first.where("_rows > 1").select("link")
+    if more.isEmpty():
+        return once
+    return scratch.keep(once.unionByName(folded(updates.join(more, "link", "left_semi"), "link", order).drop("_rows")))
+
+
 def _laid_over(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows of the links of new, one update a link, with its values, where they were, and whether they differ now."""
     given = [c for c in ENRICHED if c in new.columns]
@@ -232,12 +253,6 @@ def _at_places(store: DataFrame, rows: DataFrame) -> DataFrame:
     return _in_places(store, {(r["mes"], r["parte"]) for r in rows.select(*_PLACE).distinct().collect()})
 
 
-def _numbered(fresh: DataFrame, top: int) -> DataFrame:
-    """New notices with ids after top."""
-    none = fresh.sparkSession.createDataFrame([(top,)], "id long").select("id")
-    return insert_new(align(none).where("id is not null"), fresh).where("link is not null")
-
-
 # Versions against each other --------------------------------------------------------------------------------------------
 
 

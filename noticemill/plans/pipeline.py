@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import analyse, looks_relevant, worth_details
+from ..functions.classify import analyse, looks_relevant, relevant, worth_details
 from ..functions.text import collapse
 from ..operators import versions
 from ..operators.aggregate import run_counters
-from ..operators.project import enriched, flat_text, normalised, overlay, prefilter_text
+from ..operators.project import enriched, normalised, overlay, prefilter_text
 from ..operators.store import already_in, append_new, insert_new, keep_first, not_in, upsert
 from ..schema import STORED, align
 from ..sources.notices import recent
@@ -46,11 +46,13 @@ def classified(df: DataFrame) -> DataFrame:
 def candidates(listing: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:
     """Recent raw records, the first of each id, that are worth looking up: those without id and those the prefilter rejects go."""
     rows = recent(listing, as_of, config.days, "drPublicationDate")
-    order = config.order or "_order"
-    if not config.order:
-        rows = rows.withColumn(order, F.struct(*sorted(rows.columns)))
     rows = rows.where(F.coalesce(collapse(F.col("id")), F.lit("")) != "")
-    return keep_first(rows, ["id"], order).drop("_order").where(worth_details(prefilter_text()))
+    if config.order:
+        rows = keep_first(rows, ["id"], config.order)
+    else:  # the row is its own place in the order, so that the aggregate holds it once
+        least = rows.groupBy(F.col("id").alias("_id")).agg(F.min(F.struct(*sorted(rows.columns))).alias("_row"))
+        rows = least.select(*(F.col(f"_row.`{c}`").alias(c) for c in rows.columns))
+    return rows.where(worth_details(prefilter_text()))
 
 
 def collect(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint: DataFrame, as_of: Column, config: Config = Config()) -> DataFrame:
@@ -61,8 +63,10 @@ def collect(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpo
     """
     seen = checkpoint.select(F.col("id_portal_base").alias("id"))
     whole = overlay(not_in(candidates(listing, as_of, config), seen, "id"), details)
-    kept = flat_text(whole).where(looks_relevant(F.col("cpv"), F.col("texto"))).select(*whole.columns)
-    found = normalised(kept)
+    # the check reads codes and text as the record has them. Spark pushes no filter below a column that isn't
+    # deterministic; below the projection it would make them a second time
+    found = normalised(whole).withColumn("_settled", F.monotonically_increasing_id())
+    found = found.where(looks_relevant(F.col("cpv"), F.col("texto")) & (F.col("_settled") >= 0)).drop("_settled")
     said = gazettes.dropDuplicates(["link_anuncio_dr"]).select("link_anuncio_dr", F.col("texto").alias("_said"))
     # read after the join, so that only documents of records that were found are
     read = enriched(found.join(said, "link_anuncio_dr", "left"), "_said").select(*found.columns, *_READ)
@@ -74,21 +78,23 @@ def record_layout(df: DataFrame) -> DataFrame:
     return normalised(df).select("*", *(F.lit(None).cast("string").alias(c) for c in _READ))
 
 
-def _analysed(records: DataFrame) -> DataFrame:
-    return records.withColumn("analise", analyse(F.col("titulo"), F.col("texto"), F.col("cpvs"), F.col("tipos_contrato")))
+def _judged(records: DataFrame) -> DataFrame:
+    """With the part of the analysis that a run reads."""
+    said = relevant(F.col("titulo"), F.col("texto"), F.col("cpvs"), F.col("tipos_contrato"))
+    return records.withColumn("analise", F.struct(said.alias("relevante")))
 
 
 def run(listing: DataFrame, details: DataFrame, gazettes: DataFrame, checkpoint: DataFrame, store: DataFrame, as_of: Column, config: Config = Config()) -> Run:
     """All records of the checkpoint are analysed, relevant ones inserted or, where the store has their link, laid over its rows.
 
-    Records and their analysis are stored, since several results read them.
+    Records and whether they are relevant are stored, since several results read them.
     """
     keep = Scratch(listing.sparkSession).keep
     records = keep(collect(listing, details, gazettes, checkpoint, as_of, config))
-    rows = keep(_analysed(records))
-    relevant = rows.where("analise.relevante")
-    updated = upsert(align(store), already_in(relevant, store))
-    return Run(insert_new(updated, not_in(relevant, store)), records, run_counters(rows, store))
+    rows = keep(_judged(records))
+    found = rows.where("analise.relevante")
+    updated = upsert(align(store), already_in(found, store))
+    return Run(insert_new(updated, not_in(found, store)), records, run_counters(rows, store))
 
 
 @dataclass(frozen=True)
@@ -111,8 +117,8 @@ def run_table(listing: DataFrame, details: DataFrame, gazettes: DataFrame, check
     spark = listing.sparkSession
     keep = Scratch(spark).keep
     records = keep(collect(listing, details, gazettes, checkpoint, as_of, config))
-    rows = keep(_analysed(records))
-    relevant = rows.where("analise.relevante").select(*(c for c in STORED.names if c in rows.columns))
+    rows = keep(_judged(records))
+    found = rows.where("analise.relevante").select(*(c for c in STORED.names if c in rows.columns))
     before = versions.latest(spark, root)
-    after = versions.merge_retrying(spark, root, relevant)
+    after = versions.merge_retrying(spark, root, found)
     return TableRun(before, after, records, run_counters(rows, versions.read(spark, before)), versions.changes(spark, before, after))

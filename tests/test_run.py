@@ -1,10 +1,13 @@
 """Truth tables of what the daily run, the classifier and the dashboard read, on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from noticemill import lexicon as L
 from noticemill.functions import text as T
-from noticemill.functions.classify import analyse, state_label
+from noticemill.functions.classify import analyse, relevant, state_label
 from noticemill.operators import filters, project
 from noticemill.plans import listing, pipeline
 from noticemill.schema import align
@@ -42,6 +45,24 @@ def test_classifier_reads_title_and_text(spark):
         assert got.relevante == case[4], case
 
 
+def test_relevance_alone_is_that_of_the_analysis(spark):
+    rnd = random.Random(3)
+    words = [*L.EXPLICIT[::9], *L.DESIGN_ACTION[::7], *L.COORDINATION[::4], *L.EXCLUSION[::6], *L.SUPERVISION[::6], *L.ENGINEERING[::8], "obra", None]
+    kinds = [None, [], SERVICES, ["Empreitadas de obras públicas"], [None, *SERVICES]]
+    rows = [c[:4] for c in CASES] + [(rnd.choice(words), " ".join(filter(None, rnd.choices(words, k=rnd.randint(0, 2)))), rnd.choice([None, ["71200000-0"], ["45000000-7"]]), rnd.choice(kinds)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "titulo string, texto string, cpvs array<string>, kinds array<string>")
+    columns = [F.col(c) for c in df.columns]
+    got = df.select(analyse(*columns)["relevante"].alias("a"), relevant(*columns).alias("b")).collect()
+    assert all(r.a is r.b for r in got) and {r.b for r in got} == {True, False}
+
+
+def test_a_record_is_made_once(spark):
+    as_of, none = F.lit("2026-07-23").cast("date"), spark.createDataFrame([], "link_anuncio_dr string, texto string")
+    rows = raw(spark, LISTED)
+    out = pipeline.collect(rows, raw(spark, DETAILS), none, pipeline.record_layout(rows).limit(0), as_of)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Descrição: ") == 1  # not for the check again
+
+
 def test_dashboard_searches_what_it_shows(spark):
     rows = [(1, "Escola", "Câmara", "Lisboa", "Sintra", "1.250,50 €", "cpv único", "Concurso"), (2, "Museu", None, "", None, None, None, None)]
     df = spark.createDataFrame(rows, "id int, titulo string, entidade string, distrito string, municipio string, preco_base string, cpv string, tipo_procedimento string")

@@ -10,6 +10,7 @@ from noticemill.operators import numbering, store, versions
 from noticemill.plans import listing
 from noticemill.schema import align
 from noticemill.sources.fixtures import AS_OF, notices
+from noticemill.stored import Scratch
 from noticemill.streaming.upserts import stream_upserts
 
 SF = "/root/testdata/sf0.001"
@@ -115,6 +116,33 @@ def test_merge_equals_upsert_and_insert(spark, some, tmp_path):
     assert versions.read(spark, w).count() == len(ids) + 1
 
 
+def test_single_updates_are_folded_like_others(spark):
+    rows = [("a", "x", " ", 1), ("b", "y", "1", 2), ("b", "z", None, 3), ("b", " ", "2", 1), (" ", "n", "n", 1), (None, "n", "n", 1), ("c", None, "\u00a0", 1)]
+    df = spark.createDataFrame(rows, "link string, titulo string, data string, n int")
+    for some, order in ((df, None), (df, "n"), (df.where("link <> 'b'"), None), (df.where("link <> 'b'"), "n"), (df.select("link"), None)):
+        want = store.folded(some, "link", order).drop("_rows")
+        got = versions._one_each(Scratch(spark), some, order)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_rows_that_share_a_link_move_together(spark, some, tmp_path):
+    base = some.where("id < 40")
+    twin = base.where("id = 7").withColumn("id", F.lit(1000).cast("long")).withColumn("titulo", F.lit("Novo"))
+    first = versions.create(spark, str(tmp_path / "t"), base.unionByName(twin), buckets=2, parts=1)
+    link = twin.first().link
+    second = versions.merge(spark, first, spark.createDataFrame([(link, "Novo", "15-06-2001")], "link string, titulo string, data string"))
+    got = versions.read(spark, second)
+    assert sorted((r.id, r.titulo, r.mes) for r in got.where(F.col("link") == link).collect()) == [(7, "Novo", 200106), (1000, "Novo", 200106)]
+    assert got.count() == base.count() + 1
+    third = versions.merge(spark, second, spark.createDataFrame([(link, "Novo")], "link string, titulo string"))
+    assert third == second  # nothing differs
+    # of two rows of a link only one differs
+    fourth = versions.create(spark, str(tmp_path / "u"), base.unionByName(twin), buckets=2, parts=1)
+    fifth = versions.merge(spark, fourth, spark.createDataFrame([(link, "Novo")], "link string, titulo string"))
+    assert sorted((r.id, r.titulo) for r in versions.read(spark, fifth).where(F.col("link") == link).collect()) == [(7, "Novo"), (1000, "Novo")]
+    assert versions.read(spark, fifth).count() == base.count() + 1
+
+
 def test_updates_that_change_nothing_write_nothing(spark, some, tmp_path):
     root = str(tmp_path / "t")
     v = versions.create(spark, root, some.withColumn("titulo", F.trim("titulo")))
