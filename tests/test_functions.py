@@ -1,6 +1,7 @@
 """Truth tables of the scalar functions."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -126,3 +127,16 @@ def test_criteria_section_and_factors(spark):
     as_text = lambda c: F.array_join(F.transform(extract.factors(c), lambda x: F.concat_ws("=", x["nome"], x["peso"])), "|")
     assert column(spark, [section, ""], as_text) == ["Ponderação=60%|Preço=40%|Prazo=5%", ""]
     assert column(spark, ["a 12,5 %", "7.0%", "x", None], extract.percentage) == ["12.5%", "7%", None, None]
+
+
+def test_forms_of_white_space_are_those_of_the_regular_expressions(spark):
+    rnd = random.Random(5)
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()] + list("\x1c\x1f᠎​⁠﻿")
+    values = [None, "", *spaces, *(f"{s}a{s}" for s in spaces), *("".join(rnd.choices([*spaces, "a", "É", "́", "-", "İ"], k=rnd.randint(1, 12))) for _ in range(2000))]
+    stripped = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    collapsed = lambda c: stripped(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    searched = lambda c: F.trim(F.regexp_replace(text.fold(F.lower(collapsed(c)), compat=True), "[^a-z0-9]+", " "))
+    for f, want in ((text.pstrip, stripped), (text.collapse, collapsed), (text.search_form, searched)):
+        assert column(spark, values, f) == column(spark, values, want)
+    plan = spark.createDataFrame([("a",)], "v string").select(text.pstrip(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # no search at each character
